@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from glimpse.llm.common import SPACED, Words, byte_column, mix, pieces, stage
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
+#: A set's entry in a segment.
+HEAD = np.dtype([("set", "<i8"), ("size", "<u4"), ("length", "<u4")])
 #: Fragments in which a pair's overlap is counted.
 PARTS = 4
 
@@ -46,7 +48,7 @@ def set_id(s: np.ndarray) -> int:
 
 
 def _sets(texts, n):
-    for i, j in pieces(texts):
+    for i, j in pieces(texts, 4 << 20):
         yield i, shingle_sets(texts[i:j], n)
 
 
@@ -98,7 +100,8 @@ def segments(docs: DataFrame, n: int, bits: int) -> DataFrame:
                     x, y = edge[k], edge[k + 1]
                     if x < y:
                         who, length = np.unique(owner[x:y], return_counts=True)
-                        head = np.stack([name[who], size[who], length], 1)
+                        head = np.empty(len(who), HEAD)
+                        head["set"], head["size"], head["length"] = name[who], size[who], length
                         rows.append((int(part[x]), head.tobytes(), np.ascontiguousarray(grams[x:y, None].view(np.uint8)[:, :6]).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["fragment", "sets", "grams"])
 
@@ -130,11 +133,11 @@ def shared_grams(parts: DataFrame, buckets: int) -> DataFrame:
         import pyarrow as pa
 
         def flush(fragment, heads, bodies):
-            head = np.concatenate([np.frombuffer(h, np.int64).reshape(-1, 3) for h in heads])
+            head = np.frombuffer(b"".join(heads), HEAD)
             raw = np.zeros((sum(map(len, bodies)) // 6, 8), np.uint8)
             raw[:, :6] = np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, 6)
             grams = raw.view(np.uint64)[:, 0] | (np.uint64(fragment) << np.uint64(48))  # fragments have at most 16 bits
-            name, size, gram, count = _shared(np.repeat(head[:, 0], head[:, 2]), np.repeat(head[:, 1], head[:, 2]), grams)
+            name, size, gram, count = _shared(np.repeat(head["set"], head["length"]), np.repeat(head["size"].astype(np.int64), head["length"]), grams)
             bucket = (name.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             rows = np.stack([name, size, gram.view(np.int64), count], 1)[order]
@@ -231,7 +234,7 @@ def near_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """set, comp: sets that link with others, and the smallest set of what they reach."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(16, max(6, (8 * tasks - 1).bit_length()))  # some fragments a task
+    bits = min(16, max(6, (tasks - 1).bit_length()))  # about a fragment a task
     parts = segments(docs, n, bits).repartition(tasks, "fragment").sortWithinPartitions("fragment")
     shared = shared_grams(parts, tasks).repartition(tasks, "bucket").sortWithinPartitions("bucket")
     sets = stage(hopeful(shared, percent), "sets")
