@@ -192,8 +192,8 @@ a as (select * from sx where (video_id, segment_id) not in (select video_id, seg
 c as (select a.video_id, segment_id, text, frame_id, abs(seconds-(seg_start+seg_end)/2) as dist, seconds >= seg_start as after_ from a join f on f.video_id = a.video_id
       where frame_id in ((select max(frame_id) from f g where g.video_id = a.video_id and g.seconds < a.seg_start), (select min(frame_id) from f g where g.video_id = a.video_id and g.seconds >= a.seg_start))),
 n as (select video_id, segment_id, frame_id, text from (select *, row_number() over (partition by video_id, segment_id order by dist, after_ desc) as r from c) where r = 1),
-u as (select video_id, frame_id, text, min(segment_id) as at from (select video_id, segment_id, frame_id, text from i union all select * from n) group by all)
-select video_id, frame_id, string_agg(text, ' | ' order by at, text) as text from u group by all""")
+u as (select video_id, frame_id, text, min(segment_id) as o from (select video_id, segment_id, frame_id, text from i union all select * from n) group by all)
+select video_id, frame_id, string_agg(text, ' | ' order by o, text) as text from u group by all""")
 def align_segments_to_frames(spark, d):
     return fr.align_segments(fx.segments(spark, d), _segment_frames(spark, d))
 
