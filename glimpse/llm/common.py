@@ -30,6 +30,14 @@ def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``; its session passes rows to Python in small batches from now on, as texts are long, unless it has a size of its own."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, mod n. A null id counts as empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

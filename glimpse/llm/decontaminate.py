@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glimpse.llm.common import ALNUM, Words, byte_column, free_name, pieces
+from glimpse.llm.common import ALNUM, Words, byte_column, free_name, pieces, text_batches
 
 _HITS = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("longest", T.LongType()),
@@ -147,7 +147,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, into: str, text: str = "text
     A null text has no words; a null item id or item text, and an item without words, occur nowhere.
     """
     schema = T.StructType([*docs.schema.fields, T.StructField(into, _HITS)])
-    done = docs.withColumn(into, F.lit(None).cast(_HITS))
+    done = text_batches(docs).withColumn(into, F.lit(None).cast(_HITS))
     for block in [*_blocks(benchmark, window, block_bytes, most_bytes)] or [_Block([], [], window)]:
 
         def run(batches, block=block):

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimpse.llm.common import SPACED, Words, byte_column, mix, pieces, stage
+from glimpse.llm.common import SPACED, Words, byte_column, mix, pieces, stage, text_batches
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 #: A set's entry in a segment.
@@ -265,7 +265,7 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     Texts without words, and null texts, link with nothing. A null doc_id never names a component while another is there.
     Equal rows are equal sets, and so linked.
     """
-    per = stage(sets_of(docs, n), "doc-sets")
+    per = stage(sets_of(text_batches(docs), n), "doc-sets")
     near = near_sets(docs, n, percent)
     least = per.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"))
     named = least.join(near, "set", "left").withColumn("comp", F.coalesce("comp", "set"))

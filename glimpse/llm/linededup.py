@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimpse.llm.common import free_name, mix, stage
+from glimpse.llm.common import free_name, mix, stage, text_batches
 
 
 def fingerprints(line_hash: np.ndarray, words: np.ndarray, gram_words: int, run_words: int) -> list[tuple[int, int]]:
@@ -79,7 +79,7 @@ def repeated_runs(docs: DataFrame, gram_words: int = 25, run_words: int = 50) ->
             kind = pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__text"), pa.array(lines, pa.list_(pa.int64())), pa.array(prints, kind)], names=["__id", "__text", "lines", "prints"])
 
-    d = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text"), "text")
+    d = text_batches(docs).select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text"), "text")
     kind = d.schema["__id"].dataType.simpleString()
     read = stage(d.mapInArrow(run, f"__id {kind}, __text long, lines array<long>, prints array<struct<gram:long,at:int>>"), "lines").dropDuplicates(["__id", "__text"])
     place = F.struct(F.col("__id").isNull().alias("n"), "__id", "__text", "at")

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimpse.llm.common import SPACED, Words, byte_column, fold, pieces, stage
+from glimpse.llm.common import SPACED, Words, byte_column, fold, pieces, stage, text_batches
 
 
 def _words(batch, name="text"):
@@ -133,7 +133,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, short_list: int = 510,
     Learns from documents outside fold ``held``. ``frequent`` bounds what tasks keep of the vocabulary: words with at least that
     share of all tokens, so 1/frequent of them at most; counts of others come by a join. Null texts are an end alone, as empty ones are.
     """
-    docs = docs.select("doc_id", "text")
+    docs = text_batches(docs).select("doc_id", "text")
     train = docs.where(fold("doc_id", folds) != held)
     counts = stage(token_counts(train), "token-counts")
     n_docs = train.count()

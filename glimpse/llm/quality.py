@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimpse.llm.common import ALNUM, SPACED, Words, byte_column, fold, pieces
+from glimpse.llm.common import ALNUM, SPACED, Words, byte_column, fold, pieces, text_batches
 
 BINS = 12
 _BYTES = {
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, posit
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = 0.5, **how) -> DataFrame:
     """Per document: doc_id, held_out, score (0 to 1, higher: better), predicted. Null texts count as empty ones."""
-    m = fit(docs, labels, folds, held, **how)
+    m = fit(text_batches(docs), labels, folds, held, **how)
 
     def run(batches):
         import pyarrow as pa

@@ -21,13 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimpse.llm.common import byte_column, pieces, scratch, stage
+from glimpse.llm.common import byte_column, pieces, scratch, stage, text_batches
 
 RANKS = os.environ.get("GLIMPSE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: How the vocabulary's makers split text before merging; ids depend on it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Ids in a staged run.
-RUN = 1 << 16
+RUN = 1 << 18
+#: zstandard level of ids on their way; the disk is what limits this operator.
+LEVEL = 9
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -87,19 +89,32 @@ def slot_of(index: np.ndarray, n: int, key: int, rounds: int = 6, back: bool = F
 
 
 def tokenised(docs: DataFrame, vocabulary: str = RANKS) -> DataFrame:
-    """part, at, n, tokens: runs of documents' ids (end marks included) with their place among those of their part."""
+    """part, at, n, tokens: runs of documents' ids (end marks included, compressed) with their place among those of their part."""
 
     def run(batches):
         import pyarrow as pa
 
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
         part, at = TaskContext.get().partitionId(), 0
+        held = b""
+
+        def rows(data, last):
+            nonlocal at
+            ids = [data[c : c + 2 * RUN] for c in range(0, len(data), 2 * RUN)]
+            rest = ids.pop() if ids and not last and len(ids[-1]) < 2 * RUN else b""
+            starts = [at + RUN * k for k in range(len(ids))]
+            sizes = [len(x) // 2 for x in ids]
+            at += sum(sizes)
+            return rest, pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array([squeeze(x) for x in ids], pa.binary())], names=["part", "at", "n", "tokens"])
+
         for b in batches:
             texts = byte_column(b, "text")
             for i, j in pieces(texts, 4 << 20):
-                ids = np.frombuffer(encoder(vocabulary).encode(texts[i:j]), np.uint16)
-                cuts = range(0, len(ids), RUN)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(cuts), pa.int64()), pa.array([at + c for c in cuts], pa.int64()), pa.array([min(RUN, len(ids) - c) for c in cuts], pa.int64()), pa.array([ids[c : c + RUN].tobytes() for c in cuts], pa.binary())], names=["part", "at", "n", "tokens"])
-                at += len(ids)
+                held, out = rows(held + encoder(vocabulary).encode(texts[i:j]), False)
+                yield out
+        yield rows(held, True)[1]
 
     return docs.select("text").mapInArrow(run, "part long, at long, n long, tokens binary")
 
@@ -109,7 +124,7 @@ def sequences(docs: DataFrame, length: int = 1024, shard_slots: int = 4096, key:
 
     Null and empty texts are an end mark alone. Shards are ranges of ``shard_slots`` slots; a shard is in one partition, in order of slots.
     """
-    tokens = stage(tokenised(docs, vocabulary), "tokens", compression="zstd")
+    tokens = stage(tokenised(text_batches(docs), vocabulary), "tokens", compression="none")
     base, total = {}, 0
     for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # one row a partition
         base[r.part], total = total, total + r.n
@@ -119,11 +134,11 @@ def sequences(docs: DataFrame, length: int = 1024, shard_slots: int = 4096, key:
         import pyarrow as pa
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze, expand = zstandard.ZstdCompressor(level=LEVEL).compress, zstandard.ZstdDecompressor().decompress
         for b in batches:
             cols = [[] for _ in range(5)]
             for part, at, data in zip(*(b.column(c).to_pylist() for c in ("part", "at", "tokens")), strict=True):
-                at += base[part]
+                at, data = at + base[part], expand(data)
                 m = len(data) // 2
                 cuts = [at, *range((at // length + 1) * length, at + m, length), at + m]
                 seq = np.array([c // length for c in cuts[:-1]], np.int64)

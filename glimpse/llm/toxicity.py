@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimpse.llm.common import LETTERS, Words, byte_column, fold, pieces
+from glimpse.llm.common import LETTERS, Words, byte_column, fold, pieces, text_batches
 
 _DICT = {"k": 16, "d": 8}
 
@@ -126,5 +126,5 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, thr
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    out = text_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
     return out.select("doc_id", (fold("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
