@@ -105,7 +105,7 @@ def slots(plan: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame
     return s.select("slot", "shard", "no", turn.alias("turn"), permuted(F.col("draw") % F.col("n_blocks"), F.col("n_blocks"), key).alias("block"))
 
 
-def mix(docs: DataFrame, block: int = 128, shard_slots: int = 8192, seed: int = 1, **aims) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, block: int = 64, shard_slots: int = 8192, seed: int = 1, **aims) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix of ``docs`` (doc_id, text, source): (documents, sources, slots).
 
     documents: doc_id, source, size, at, no, pieces by block; sources: targets and quotas; slots: what each output slot holds.
@@ -133,7 +133,7 @@ def cut(laid: DataFrame, block: int) -> DataFrame:
     return p.withColumn("skip", lo - F.col("at")).withColumn("words", hi - lo)
 
 
-def taken(docs: DataFrame, block: int = 128, **how) -> DataFrame:
+def taken(docs: DataFrame, block: int = 64, **how) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target (of its source), taken (words that the mix takes, repeats counted)."""
     laid, _, slot = mix(docs, block=block, **how)
     laid = stage(laid, "mix-laid")
@@ -143,7 +143,7 @@ def taken(docs: DataFrame, block: int = 128, **how) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
-def mixed_texts(docs: DataFrame, block: int = 128, **how) -> DataFrame:
+def mixed_texts(docs: DataFrame, block: int = 64, **how) -> DataFrame:
     """``docs`` as the mix takes them: a row for each document and pass that takes words of it, its text cut to the words taken.
 
     A document taken whole keeps its text as it is; of others, the taken pieces' words are joined by spaces. Rows equal in id,
