@@ -124,12 +124,19 @@ def sequences(docs: DataFrame, length: int = 1024, shard_slots: int = 4096, key:
 
     Null and empty texts are an end mark alone. Shards are ranges of ``shard_slots`` slots; a shard is in one partition, in order of slots.
     """
+    return _placed(*_stream(docs, length, vocabulary), length, shard_slots, key, vocabulary)
+
+
+def _stream(docs: DataFrame, length: int, vocabulary: str) -> tuple[DataFrame, dict[int, int], int]:
+    """Staged ids, the place of each part in the stream, and the number of sequences."""
     tokens = stage(tokenised(text_batches(docs), vocabulary), "tokens", compression="none")
     base, total = {}, 0
     for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # one row a partition
         base[r.part], total = total, total + r.n
-    n = -(-total // length)
+    return tokens, base, -(-total // length)
 
+
+def _placed(tokens: DataFrame, base: dict[int, int], n: int, length: int, shard_slots: int, key: int, vocabulary: str) -> DataFrame:
     def place(batches):
         import pyarrow as pa
         import zstandard
@@ -177,7 +184,7 @@ def sequences(docs: DataFrame, length: int = 1024, shard_slots: int = 4096, key:
             yield batch([record()])
 
     placed = tokens.mapInArrow(place, "shard long, slot long, sequence long, skip int, part binary")
-    dealt = placed.repartitionByRange(max(1, -(-n // shard_slots)), "shard").sortWithinPartitions("slot", "skip")
+    dealt = placed.repartition(max(1, -(-n // shard_slots)), "shard").sortWithinPartitions("slot", "skip")  # a shard is a range of slots; ranges of shards would cost a second pass for bounds
     return dealt.mapInArrow(join, "shard long, slot long, sequence long, n_tokens int, tokens binary")
 
 
@@ -187,8 +194,8 @@ def write_shards(seqs: DataFrame, path: str) -> None:
     raw.write.partitionBy("shard").option("lineSep", "\n").text(path)
 
 
-def read_shards(spark: SparkSession, path: str, length: int = 1024, shard_slots: int = 4096) -> DataFrame:
-    """shard, slot, offset, tokens: the records of written shards, by their fixed stride."""
+def read_shards(spark: SparkSession, path: str, n: int, length: int = 1024, shard_slots: int = 4096, key: int = 20240229) -> DataFrame:
+    """shard, slot, offset, tokens, sequence: the records of written shards of ``n`` sequences, by their fixed stride."""
     stride = 2 * length + 1
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
 
@@ -196,27 +203,20 @@ def read_shards(spark: SparkSession, path: str, length: int = 1024, shard_slots:
         import pyarrow as pa
 
         for b in batches:
-            for shard, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at = list(range(0, len(data), stride))
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(at), pa.int64()), pa.array([shard * shard_slots + a // stride for a in at], pa.int64()), pa.array(at, pa.int64()), pa.array([data[a : a + 2 * length] for a in at], pa.binary())], names=["shard", "slot", "offset", "tokens"])
+            for shard, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                data = memoryview(data.as_buffer())
+                at = np.arange(0, len(data), stride)
+                slot = shard * shard_slots + at // stride
+                records = pa.array([data[a : a + 2 * length] for a in at.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(slot), pa.array(at), records, pa.array(slot_of(slot, n, key, back=True))], names=["shard", "slot", "offset", "tokens", "sequence"])
 
-    return files.select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("long").alias("shard"), "content").mapInArrow(run, "shard long, slot long, offset long, tokens binary")
+    return files.select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("long").alias("shard"), "content").mapInArrow(run, "shard long, slot long, offset long, tokens binary, sequence long")
 
 
 def materialise(docs: DataFrame, path: str | None = None, length: int = 1024, shard_slots: int = 4096, key: int = 20240229, vocabulary: str = RANKS) -> DataFrame:
-    """Write ``docs`` as shards under ``path`` (else a new folder of the shared one) and read them again: shard, slot, offset (of the record in its shard's file), sequence, tokens."""
+    """Write ``docs`` as shards under ``path`` (else a new folder of the shared one) and read them again: shard, slot, offset (of the record in its shard's file), tokens, sequence, path."""
     spark = docs.sparkSession
     path = path or f"{scratch(spark)}/glimpse/shards-{uuid.uuid4().hex}"
-    write_shards(sequences(docs, length, shard_slots, key, vocabulary), path)
-    back = read_shards(spark, path, length, shard_slots)
-    n = back.agg(F.max("slot")).first()[0]
-    n = 0 if n is None else n + 1
-
-    def number(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            seq = slot_of(b.column("slot").to_numpy(), n, key, back=True)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seq, pa.int64())], names=[*b.schema.names, "sequence"])
-
-    return back.mapInArrow(number, "shard long, slot long, offset long, tokens binary, sequence long").withColumn("path", F.lit(path))
+    tokens, base, n = _stream(docs, length, vocabulary)
+    write_shards(_placed(tokens, base, n, length, shard_slots, key, vocabulary), path)
+    return read_shards(spark, path, n, length, shard_slots, key).withColumn("path", F.lit(path))
