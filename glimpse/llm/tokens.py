@@ -197,20 +197,20 @@ def write_shards(seqs: DataFrame, path: str) -> None:
 def read_shards(spark: SparkSession, path: str, n: int, length: int = 1024, shard_slots: int = 4096, key: int = 20240229) -> DataFrame:
     """shard, slot, offset, tokens, sequence: the records of written shards of ``n`` sequences, by their fixed stride."""
     stride = 2 * length + 1
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).where(F.col("length") >= stride)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            for shard, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = memoryview(data.as_buffer())
-                at = np.arange(0, len(data), stride)
-                slot = shard * shard_slots + at // stride
-                records = pa.array([data[a : a + 2 * length] for a in at.tolist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(slot), pa.array(at), records, pa.array(slot_of(slot, n, key, back=True))], names=["shard", "slot", "offset", "tokens", "sequence"])
-
-    return files.select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("long").alias("shard"), "content").mapInArrow(run, "shard long, slot long, offset long, tokens binary, sequence long")
+            slot = b.column("slot").to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(slot_of(slot, n, key, back=True) if len(slot) else slot)], names=[*b.schema.names, "sequence"])
+
+    # Records are cut on the JVM, by generated code that holds a file's bytes once; Python meets a batch of records at a time.
+    k = F.explode(F.sequence(F.lit(0), F.floor(F.col("length") / stride).cast("int") - 1)).alias("k")
+    cut = files.select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("long").alias("shard"), "content", k)
+    records = cut.select("shard", (F.col("shard") * shard_slots + F.col("k")).alias("slot"), (F.col("k").cast("long") * stride).alias("offset"), F.substring("content", F.col("k") * stride + 1, F.lit(2 * length)).alias("tokens"))
+    return text_batches(records).mapInArrow(run, "shard long, slot long, offset long, tokens binary, sequence long")
 
 
 def materialise(docs: DataFrame, path: str | None = None, length: int = 1024, shard_slots: int = 4096, key: int = 20240229, vocabulary: str = RANKS) -> DataFrame:
