@@ -1,8 +1,9 @@
 import pytest
 from oracle import duck, same
 
-from glimpse.plans import catalog
+from glimpse.plans import catalog, files, understanding
 
+assert files and understanding
 DIR = "/root/testdata/sf0.001"
 
 
