@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glimpse.functions.text import collapse_spaces, text_quality
+
 
 def segment_scenes(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``pred`` (video_id, frame_idx, p) with scene_id from 0: a frame above the threshold begins a scene, but the first never splits."""
@@ -198,3 +200,64 @@ def neighbour_frames(frames: DataFrame, anchors: DataFrame, radius: int = 1) ->
     n = frames.select("video_id", "frame_id", F.row_number().over(w).alias("nth"))
     a = anchors.join(n, ["video_id", "frame_id"]).select("video_id", F.col("frame_id").alias("anchor"), F.col("nth").alias("at"), F.explode(F.sequence(F.col("nth") - radius, F.col("nth") + radius)).alias("nth"))
     return a.join(n, ["video_id", "nth"]).select("video_id", "anchor", "frame_id", (F.col("nth") - F.col("at")).cast("long").alias("offset"))
+
+
+def _with(value: Column, then) -> Column:
+    """``then(value)``, the value computed once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def region_signature(patch: Column) -> Column:
+    """A gray patch (array) with mean 0 and deviation 1; a flat one stays."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    centred = _with(total(patch) / F.size(patch), lambda m: F.transform(patch, lambda x: x - m))
+
+    def scaled(c):
+        std = F.sqrt(total(F.transform(c, lambda x: x * x)) / F.size(c))
+        return _with(std, lambda s: F.when(s > 1e-3, F.transform(c, lambda x: x / s)).otherwise(patch))
+
+    return _with(centred, scaled)
+
+
+def region_difference(a: Column, b: Column) -> Column:
+    """Mean absolute difference; null where a side is missing or their sizes differ."""
+    total = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(a) == F.size(b), total / F.size(a))
+
+
+def reuse_duplicate_text(frames: DataFrame, title_below: float = 6.0, ticker_below: float = 8.0) -> DataFrame:
+    """video_id, frame_idx, anchor, reused, text: a frame whose title and ticker are near those of the anchor takes the anchor's text.
+
+    ``frames``: video_id, frame_idx, title, ticker (arrays), text. The anchor is the last frame that was not reused; one without text
+    is not reused. A video's frames are one ordered fold, which carries no texts: these come by a join on the anchor.
+    """
+    item = F.struct("frame_idx", "title", "ticker", (F.coalesce(F.length(F.trim("text")), F.lit(0)) > 0).alias("full"))
+    kind = "struct<title:array<double>,ticker:array<double>,full:boolean,anchor:bigint,out:array<struct<frame_idx:bigint,anchor:bigint>>>"
+    start = F.from_json(F.lit('{"full":false,"out":[]}'), kind)
+
+    def step(acc, x):
+        near = F.coalesce((region_difference(acc["title"], x["title"]) < title_below) & (region_difference(acc["ticker"], x["ticker"]) < ticker_below), F.lit(False)) & acc["full"]
+        keep = lambda n: F.when(near, acc[n]).otherwise(x[n]).alias(n)
+        anchor = F.when(near, acc["anchor"]).otherwise(x["frame_idx"])
+        return F.struct(keep("title"), keep("ticker"), keep("full"), anchor.alias("anchor"), F.concat(acc["out"], F.array(F.struct(x["frame_idx"].alias("frame_idx"), anchor.alias("anchor")))).alias("out"))
+
+    fold = F.aggregate(F.array_sort(F.collect_list(item)), start, step)["out"]
+    at = frames.groupBy("video_id").agg(fold.alias("o")).select("video_id", F.inline("o"))
+    texts = frames.select("video_id", F.col("frame_idx").alias("anchor"), "text")
+    return at.join(texts, ["video_id", "anchor"]).select("video_id", "frame_idx", "anchor", (F.col("frame_idx") != F.col("anchor")).alias("reused"), "text")
+
+
+def rank_text_candidates(candidates: DataFrame, top: int = 5, window: int = 5) -> DataFrame:
+    """video_id, frame_id, text, confidence, score, rank: the readings of a frame, equal ones (in any case) taken together.
+
+    ``candidates``: video_id, frame_id, text, confidence, source, recent (the texts of the last frames). Score: 0.55 * confidence + 0.15 *
+    sources (2 at most, halved) + 0.10 * quality + 0.20 * share of ``recent`` that agrees.
+    """
+    t = collapse_spaces(F.col("text"))
+    c = candidates.withColumn("text", t).where(F.length("text") >= 2).withColumn("k", F.lower("text"))
+    agree = F.size(F.filter(F.coalesce("recent", F.array().cast("array<string>")), lambda r: F.lower(r) == F.col("k")))
+    g = c.withColumn("agree", agree).groupBy("video_id", "frame_id", "k").agg(F.min("text").alias("text"), F.max(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "confidence"))).alias("confidence"), F.countDistinct("source").alias("sources"), F.max("agree").alias("agree"))
+    score = 0.55 * F.col("confidence") + 0.15 * F.least(F.lit(1.0), F.col("sources") / 2) + 0.10 * text_quality(F.col("text")) + 0.20 * F.least(F.lit(1.0), F.col("agree") / window)
+    w = Window.partitionBy("video_id", "frame_id").orderBy(F.desc("score"), F.desc("confidence"), F.desc(F.length("text")), "k")
+    ranked = g.withColumn("score", F.round(score, 4)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return ranked.select("video_id", "frame_id", "text", F.round("confidence", 3).alias("confidence"), "score", "rank")

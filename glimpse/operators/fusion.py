@@ -97,3 +97,20 @@ def display_limit(hits: DataFrame, plain: int = 80, staged: int = 200) -> DataFr
     has = F.max(F.col("stage").isNotNull()).over(Window.partitionBy("query_id"))
     n = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", *KEY))
     return hits.withColumn("has", has).withColumn("n", n).where(F.col("n") <= F.when(F.col("has"), staged).otherwise(plain)).drop("has", "n")
+
+
+def rrf_by_keywords(visual: DataFrame, ocr: DataFrame, asr: DataFrame, queries: DataFrame, k: int = 60, limit: int = 1000) -> DataFrame:
+    """As ``rrf``, each query (query_id, on_screen, spoken) with its own weights: text branches weigh more where it named words for them.
+
+    A query that has hits in the visual branch alone keeps their order.
+    """
+    w = queries.select("query_id", F.when(F.size("on_screen") > 0, 1.15).otherwise(0.90).alias("o"), F.when(F.size("spoken") > 0, 1.10).otherwise(0.85).alias("a"))
+    part = lambda b, n: b.select("query_id", *KEY, "rank", F.lit(n).alias("branch"))
+    u = part(visual, "v").unionByName(part(ocr, "o")).unionByName(part(asr, "a")).join(w, "query_id")
+    weight = F.when(F.col("branch") == "v", 1.0).when(F.col("branch") == "o", F.col("o")).otherwise(F.col("a"))
+    return ranked(u.groupBy("query_id", *KEY).agg(F.round(F.sum(weight / (k + F.col("rank"))), 6).alias("score")), limit)
+
+
+def two_stage(coarse: DataFrame, queries: DataFrame, keep: int = 500, top_k: int = 10) -> DataFrame:
+    """Re-rank each query's ``keep`` best."""
+    return rerank(coarse.where(F.col("rank") <= keep), queries, top_k)

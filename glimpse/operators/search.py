@@ -162,3 +162,50 @@ def enrich_hits(hits: DataFrame, docs: DataFrame, frames: DataFrame) -> DataFram
     """``hits`` with text ('' if none) and seconds (frame / 25 if unknown)."""
     j = hits.join(docs.select(*KEY, "text"), KEY, "left").join(frames.select(*KEY, "seconds"), KEY, "left")
     return j.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("seconds", F.coalesce("seconds", F.round(F.col("frame_id") / 25.0, 3)))
+
+
+def refine_search(queries: DataFrame, marked: DataFrame, vectors: DataFrame, k: int = 1000) -> DataFrame:
+    """Search again with what users marked (query_id, id, relevant): query_id, video_id, frame_id, score, rank. Queries without a relevant vector have no rows."""
+    found = lookup_vectors(marked.select("id").distinct(), vectors).select("id", "vec")
+    feedback = marked.join(found, "id").select("query_id", "relevant", "vec")
+    asked = queries.join(feedback.where("relevant").select("query_id").distinct(), "query_id", "left_semi")
+    return knn_search(rocchio(asked, feedback), vectors, k)
+
+
+def video_qa(queries: DataFrame, vectors: DataFrame, docs: DataFrame, spoken: DataFrame, k: int = 50) -> DataFrame:
+    """query_id, video_id, frame_id, score, rank: inside one video each (query_id, video_id, text, qvec), nearest vectors and frames whose texts hold a word of the query.
+
+    A frame among the nearest keeps its cosine; of others, on-screen text that holds a word of three letters or more scores 0.99, speech 0.98.
+    """
+    near = queries.select("query_id", "video_id", "qvec").join(vectors.select(*KEY, "vec"), "video_id")
+    hits = ranked(near.select("query_id", *KEY, F.round(dot(F.col("qvec"), F.col("vec")), 6).alias("score")), k).drop("rank")
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) >= 3)
+    q = queries.select("query_id", "video_id", words.alias("words"))
+
+    def holding(texts: DataFrame, score: float) -> DataFrame:
+        j = texts.select(*KEY, F.lower("text").alias("t")).join(q, "video_id")
+        return j.where(F.exists("words", lambda w: F.contains("t", w))).select("query_id", *KEY, F.lit(score).alias("score"))
+
+    more = holding(docs, 0.99).unionByName(holding(spoken, 0.98)).groupBy("query_id", *KEY).agg(F.max("score").alias("score"))
+    more = more.join(hits.select("query_id", *KEY), ["query_id", *KEY], "left_anti")
+    return ranked(hits.unionByName(more), k)
+
+
+# Words that ask for a place, and the kinds of places that an answer names.
+PLACE_ASKED = ("xã", "huyện", "tỉnh", "ở đâu", "nơi")
+PLACE_NAMED = r"(?iu)(?:xã|huyện|tỉnh)\s+\p{L}[\p{L}\s]+"
+
+
+def qa_answer(hits: DataFrame, queries: DataFrame, top: int = 5, longest: int = 100) -> DataFrame:
+    """query_id, answer, source: from the first of a query's ``top`` hits (rank, on_screen, spoken) that has one.
+
+    Where the query asks for a place: the place that on-screen text names; else its first line; else the speech; cut at ``longest``.
+    """
+    q = queries.select("query_id", F.exists(F.array(*[F.lit(w) for w in PLACE_ASKED]), lambda w: F.contains(F.lower("text"), w)).alias("where"))
+    h = hits.where(F.col("rank") <= top).join(q, "query_id")
+    shown, said = F.trim(F.coalesce("on_screen", F.lit(""))), F.trim(F.coalesce("spoken", F.lit("")))
+    place = F.when(F.col("where"), F.nullif(F.trim(F.regexp_extract(shown, PLACE_NAMED, 0)), F.lit("")))
+    line = F.nullif(F.substring(F.split(shown, "\n")[0], 1, longest), F.lit(""))
+    answer = F.coalesce(place, line, F.nullif(F.substring(said, 1, longest), F.lit("")))
+    found = h.select("query_id", "rank", answer.alias("answer"), F.when(shown != "", "on_screen").otherwise("spoken").alias("source")).where("answer is not null")
+    return found.groupBy("query_id").agg(F.min_by(F.struct("answer", "source"), "rank").alias("a")).select("query_id", "a.answer", "a.source")

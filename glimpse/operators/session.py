@@ -130,3 +130,28 @@ def contest_score(t: Column, limit: Column, wrong: Column) -> Column:
 def write_submission(lines: DataFrame, path: str, most: int = 100) -> None:
     """One text file a query under path/query_id=..., ``most`` lines at most, in order."""
     lines.where(F.col("line_no") <= most).repartition("query_id").sortWithinPartitions("query_id", "line_no").select("query_id", F.col("line").alias("value")).write.partitionBy("query_id").text(path)
+
+
+def validate_submission(lines: DataFrame, most: int = 100) -> DataFrame:
+    """file, line_no, line, problem: the lines of submissions as they are sent; ``problem`` names why a line is left out (header, repeated).
+
+    ``lines``: file, line_no, line. Blank lines don't count; ``most`` lines are looked at, a header among them. A video loses its .mp4.
+    In files of questions the answer loses outer quotes, is cut at 100 characters and quoted anew. Of lines with the same video (in any
+    case), frame and, for questions, answer, the first stays.
+    """
+    w = Window.partitionBy("file").orderBy("line_no")
+    q = lines.withColumn("line", F.trim("line")).where("line != ''").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+    qa = F.contains(F.lower("file"), F.lit("qa"))
+    head = (F.col("n") == 1) & F.lower("line").rlike("video|frame|answer|mediaitem|time")
+    parts = F.transform(F.split("line", ","), lambda p: F.trim(p))
+    q = q.withColumn("p", parts).withColumn("v", F.trim(F.regexp_replace(F.col("p")[0], r"(?i)\.mp4$", "")))
+    rest = F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0)))
+    answer = F.trim(F.array_join(F.slice("p", 3, F.greatest(F.size("p") - 2, F.lit(0))), ","))
+    bare = F.when(answer.rlike(r"""(?s)^(".*"|'.*')$""") & (F.length(answer) >= 2), F.trim(F.substring(answer, F.lit(2), F.length(answer) - 2))).otherwise(answer)
+    quoted = F.concat(F.col("v"), F.lit(","), F.col("p")[1], F.lit(',"'), F.replace(F.substring(bare, 1, 100), F.lit('"'), F.lit('""')), F.lit('"'))
+    asks = qa & (F.size("p") >= 3)
+    q = q.withColumn("clean", F.when(asks, quoted).otherwise(F.concat_ws(",", F.array("v"), rest))).withColumn("header", head)
+    key = F.when(asks, F.lower("clean")).when(F.size("p") >= 2, F.concat_ws("_", F.lower("v"), F.col("p")[1])).otherwise(F.lower("clean"))
+    again = F.row_number().over(Window.partitionBy("file", "header", "key").orderBy("n")) > 1
+    q = q.withColumn("key", key).withColumn("again", again)
+    return q.select("file", "line_no", F.col("clean").alias("line"), F.when(F.col("header"), "header").when(F.col("again"), "repeated").alias("problem"))

@@ -1,10 +1,12 @@
+import os
+
 import pytest
 from oracle import duck, same
 
-from glimpse.plans import catalog, files, understanding
+from glimpse.plans import answers, catalog, files, understanding
 
-assert files and understanding
-DIR = "/root/testdata/sf0.001"
+assert answers and files and understanding
+DIR = os.environ.get("GLIMPSE_TEST_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
