@@ -32,7 +32,7 @@ class _Block:
         self.vocab, word = np.unique(w.hash, return_inverse=True)
         word = word + 1
         self.bits = max(1, int(len(self.vocab)).bit_length())
-        self.per = 63 // self.bits
+        self.per = 62 // self.bits  # one bit is left free, as the bound above a key of all ones must fit as well
         start, length, item = [], [], []
         for i in range(len(texts)):
             n, at = int(w.count[i]), int(w.first[i])
