@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from glimpse.llm.common import LETTERS, Words, byte_column, fold, free_name, pieces, text_batches
 
 VOCABULARY = os.environ.get("GLIMPSE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
-#: Longer words count by their first characters this many; longer pieces aren't used.
-WORD_CHARS, PIECE_CHARS = 20, 8
 UNKNOWN = 1e-7
+#: Characters of a word, and of a batch of words, that are in hand at a time; sums are rescaled after this many characters.
+BLOCK, CELLS, RESCALE = 512, 100_000, 8
 
 
 def load_pieces(path: str = VOCABULARY) -> dict[str, int]:
@@ -30,73 +30,163 @@ def load_pieces(path: str = VOCABULARY) -> dict[str, int]:
     for i in range(sp.vocab_size()):
         if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
             piece = sp.id_to_piece(i).lower()
-            if 0 < len(piece) <= PIECE_CHARS:
+            if piece:
                 out.setdefault(piece, len(out))
     return out
 
 
+def beginnings(vocab: dict[str, int]) -> dict[str, int]:
+    """The pieces with their numbers, and all that pieces begin with, with -1."""
+    out = {piece[:k]: -1 for piece in vocab for k in range(1, len(piece))}
+    return out | vocab
+
+
 class Lattice:
-    """The pieces that may end at each character of many words: ids[word, end, length - 1]; one beyond the last piece is none."""
-
-    def __init__(self, words: list[str], vocab: dict[str, int]):
-        words = ["▁" + w[:WORD_CHARS] for w in words]
-        self.length = np.fromiter(map(len, words), np.int64, len(words))
-        self.width = int(self.length.max(initial=1))
-        none, single = len(vocab), len(vocab) + 1
-        self.ids = np.full((len(words), self.width + 1, PIECE_CHARS), none, np.int32)
-        get = vocab.get
-        for k, w in enumerate(words):
-            row = self.ids[k]
-            for end in range(1, len(w) + 1):
-                for size in range(1, min(PIECE_CHARS, end) + 1):
-                    i = get(w[end - size : end])
-                    if i is not None:
-                        row[end, size - 1] = i
-                    elif size == 1:
-                        row[end, 0] = single
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """p: [pieces + 2, languages]. The sums over segmentations of each beginning: [word, end, language]."""
-        a = np.zeros((len(self.length), self.width + 1, p.shape[1]))
-        a[:, 0] = 1
-        for end in range(1, self.width + 1):
-            for size in range(1, min(PIECE_CHARS, end) + 1):
-                a[:, end] += a[:, end - size] * p[self.ids[:, end, size - 1]]
-        return a
-
-    def backward(self, p: np.ndarray) -> np.ndarray:
-        b = np.zeros((len(self.length), self.width + 1, p.shape[1]))
-        b[np.arange(len(self.length)), self.length] = 1
-        for start in range(self.width - 1, -1, -1):
-            for size in range(1, min(PIECE_CHARS, self.width - start) + 1):
-                b[:, start] += b[:, start + size] * p[self.ids[:, start + size, size - 1]]
-        return b
+    """All segmentations of many words of any length. Words go in batches of like length, and through each in blocks of ``BLOCK`` characters.
+
+    Sums over segmentations are kept for the last characters only, as many as the longest piece has, beside a running logarithm.
+    """
+
+    def __init__(self, words: list[str], vocab: dict[str, int], begin: dict[str, int] | None = None):
+        self.words = ["▁" + w for w in words]
+        self.length = np.fromiter(map(len, self.words), np.int64, len(words))
+        self.none, self.longest = len(vocab), max(map(len, vocab), default=1)
+        self.begin = beginnings(vocab) if begin is None else begin
+        self.kept: dict[int, np.ndarray] = {}
+        order = np.argsort(self.length, kind="stable")
+        wide = np.minimum(self.length[order], BLOCK)
+        self.batches, i = [], 0
+        while i < len(order):
+            n = max(1, int(np.searchsorted(np.arange(1, len(order) - i + 1) * wide[i:], CELLS, side="right")))
+            self.batches.append(order[i : i + n])
+            i += n
+
+    def _blocks(self, k: int) -> list[tuple[int, int]]:
+        """The blocks of a batch: first end less one, and how many of its words are over by then."""
+        length = self.length[self.batches[k]]
+        return [(lo, int(np.searchsorted(length, lo, side="right"))) for lo in range(0, int(length[-1]), BLOCK)]
+
+    def _ids(self, k: int, lo: int, over: int) -> np.ndarray:
+        """The pieces that may end at each character of a block: ids[word, end - lo - 1, longest - length]; ``none`` is none, one more an unknown character."""
+        if lo == 0 and k in self.kept:
+            return self.kept[k]
+        rows, most = self.batches[k][over:], self.longest
+        width = min(BLOCK, int(self.length[rows[-1]]) - lo)
+        at, found, get = [], [], self.begin.get
+        for r, w in enumerate(map(self.words.__getitem__, rows.tolist())):
+            stop, base = min(len(w), lo + width), (r * width - lo - 1) * most
+            for start in range(max(0, lo + 1 - most), stop):
+                for end in range(start + 1, min(start + most, stop) + 1):
+                    i = get(w[start:end])
+                    if end > lo and (i is not None and i >= 0 or end == start + 1):
+                        at.append(base + end * most + most - (end - start))
+                        found.append(self.none + 1 if i is None or i < 0 else i)
+                    if i is None:
+                        break
+        ids = np.full(len(rows) * width * most, self.none, np.int32)
+        ids[at] = found
+        ids = ids.reshape(len(rows), width, most)
+        if int(self.length[rows[-1]]) <= BLOCK:
+            self.kept[k] = ids
+        return ids
+
+    def _forward(self, ids: np.ndarray, p: np.ndarray, last: np.ndarray, log: np.ndarray, each) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over segmentations of beginnings through a block, from those of the last characters before it, times exp(log). ``each(j, sums, log)`` sees those of each end."""
+        most, width = self.longest, ids.shape[1]
+        a = np.concatenate([last, np.zeros((len(ids), width, p.shape[1]))], 1)
+        for j in range(width):
+            a[:, most + j] = np.einsum("nzl,nzl->nl", a[:, j : j + most], p[ids[:, j]])
+            each(j, a[:, most + j], log)
+            if j % RESCALE == RESCALE - 1 or j == width - 1:
+                a[:, j + 1 : j + 1 + most], log = _rescaled(a[:, j + 1 : j + 1 + most], log)
+        return a[:, width:], log
+
+    def _start(self, k: int, languages: int) -> tuple[np.ndarray, np.ndarray]:
+        last = np.zeros((len(self.batches[k]), self.longest, languages))
+        last[:, -1] = 1
+        return last, np.zeros((len(last), languages))
 
     def log_probability(self, p: np.ndarray) -> np.ndarray:
-        return np.log(np.maximum(self.forward(p)[np.arange(len(self.length)), self.length], 1e-300))
+        out = np.zeros((len(self.length), p.shape[1]))
+        for k, batch in enumerate(self.batches):
+            last, log = self._start(k, p.shape[1])
+            gone = 0
+            for lo, over in self._blocks(k):
+                rows = batch[over:]
+
+                def each(j, sums, log, rows=rows, ends=self.length[rows] - lo - 1):
+                    i, n = np.searchsorted(ends, (j, j + 1))
+                    out[rows[i:n]] = np.log(sums[i:n]) + log[i:n]
+
+                last, log = self._forward(self._ids(k, lo, over), p, last[over - gone :], log[over - gone :], each)
+                gone = over
+        return out
 
     def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected counts of the pieces, words weighted by language: weight [word, language]."""
-        a, b = self.forward(p), self.backward(p)
-        total = np.maximum(a[np.arange(len(self.length)), self.length], 1e-300)
-        scale = weight / total
-        out = np.zeros_like(p)
-        for end in range(1, self.width + 1):
-            for size in range(1, min(PIECE_CHARS, end) + 1):
-                ids = self.ids[:, end, size - 1]
-                share = a[:, end - size] * p[ids] * b[:, end] * scale
-                for k in range(p.shape[1]):
-                    out[:, k] += np.bincount(ids, share[:, k], len(p))
+        out, n = np.zeros_like(p), p.shape[1]
+        total = self.log_probability(p)
+        most = self.longest
+        for k, batch in enumerate(self.batches):
+            states, gone = [], 0
+            last, log = self._start(k, n)
+            for lo, over in self._blocks(k):
+                last, log = last[over - gone :], log[over - gone :]
+                states.append((lo, over, last, log))
+                if lo + BLOCK < self.length[batch[-1]]:
+                    last, log = self._forward(self._ids(k, lo, over), p, last, log, lambda *_: None)
+                gone = over
+            after, log_after = np.zeros((0, most, n)), np.zeros((0, n))
+            for lo, over, last, log in reversed(states):
+                ids, rows = self._ids(k, lo, over), batch[over:]
+                width = ids.shape[1]
+                with np.errstate(divide="ignore"):
+                    # logarithms of beginnings (from longest - 1 characters before the block on) and of ends
+                    begun, ended = np.empty((len(rows), most + width, n)), np.empty((len(rows), width, n))
+                    begun[:, :most] = np.log(last) + log[:, None]
+
+                    def each(j, sums, log, begun=begun):
+                        begun[:, most + j] = np.log(sums) + log
+
+                    self._forward(ids, p, last, log, each)
+                    fresh = len(rows) - len(after)  # words that end in this block
+                    b = np.concatenate([np.zeros((len(rows), width, n)), np.concatenate([np.zeros((fresh, most, n)), after])], 1)
+                    log_b = np.concatenate([np.zeros((fresh, n)), log_after])
+                    ends = self.length[rows] - lo - 1
+                    # b[:, j + most] is of the block's end j; the block's own ends come after the characters before it
+                    for j in range(width - 1, -1, -1):
+                        i, z = np.searchsorted(ends, (j, j + 1))
+                        b[i:z, most + j] = 1
+                        ended[:, j] = np.log(b[:, most + j]) + log_b
+                        b[:, j : j + most] += b[:, most + j, None] * p[ids[:, j]]
+                        if j % RESCALE == 0:
+                            b[:, j : j + most], log_b = _rescaled(b[:, j : j + most], log_b)
+                after, log_after = b[:, :most], log_b
+                r, j, z = np.nonzero(ids != self.none)
+                i = ids[r, j, z]
+                share = np.exp(begun[r, j + z] + ended[r, j] - total[rows][r]) * p[i] * weight[rows][r]
+                for x in range(n):
+                    out[:, x] += np.bincount(i, share[:, x], len(p))
         return out
 
 
+def _rescaled(sums: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums [word, place, language] with a greatest one of 1, and the logarithm beside them."""
+    top = sums.max(1)
+    top[top <= 0] = 1
+    return sums / top[:, None], log + np.log(top)
+
+
 class Model:
     def __init__(self, languages: list[str], vocab: dict[str, int], p: np.ndarray):
         self.languages, self.vocab, self.p = languages, vocab, p
+        self.begin: dict[str, int] | None = None  # made where it is used first
 
     def words(self, words: list[str]) -> np.ndarray:
         """Log probabilities [word, language]."""
-        out = [Lattice(words[i : i + 20_000], self.vocab).log_probability(self.p) for i in range(0, len(words), 20_000)]
+        if self.begin is None:
+            self.begin = beginnings(self.vocab)
+        out = [Lattice(words[i : i + 20_000], self.vocab, self.begin).log_probability(self.p) for i in range(0, len(words), 20_000)]
         return np.concatenate(out) if out else np.zeros((0, len(self.languages)))
 
 
@@ -137,7 +227,7 @@ def sample_counts(train: DataFrame, per_language: int, words_per_language: int)
     chosen = train.where(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000)) < rate * 1_000_000)
     lower = F.lower("text")
     words = chosen.select("lang", F.explode(F.split(lower, r"[\x00-\x60\x7B-\x7F]+")).alias("w")).where("w != ''")
-    counted = words.select("lang", F.substring("w", 1, WORD_CHARS).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    counted = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
     rows = counted.toArrow().to_pylist()  # bounded by the sample
     out, kept = [], {}
     for r in sorted(rows, key=lambda r: (r["lang"], -r["n"], r["w"])):
@@ -176,7 +266,7 @@ def score_texts(texts: list[bytes | None], model: Model, cache: dict[bytes, int]
             new = names
         if new:
             base = sum(map(len, rows))
-            rows.append(model.words([x.decode("utf-8", "replace").lower() for x in new]).astype(np.float32))
+            rows.append(model.words([x.decode("utf-8", "replace").lower() for x in new]))
             if len(rows) > 64:
                 rows[:] = [np.concatenate(rows)]
             cache.update((x, base + k) for k, x in enumerate(new))

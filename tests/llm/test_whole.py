@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parents[1]))
 from oracle import same  # noqa: E402
 
-from glimpse.llm import queries  # noqa: E402
+from glimpse.llm import langid, queries  # noqa: E402
 
 
 @pytest.mark.parametrize("n_words", [100, 127, 300, 511])
@@ -28,3 +28,38 @@ def test_short_benchmark_items_are_found_in_vocabularies_of_any_size(spark, tmp_
         c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
     got = queries.QUERIES["op1_decontamination"](spark, str(tmp_path)).toPandas()
     assert same(got, c.execute(queries.ORACLES["op1_decontamination"]).fetchdf()) == "" and (got.n_hit > 0).all()
+
+
+@pytest.mark.parametrize("block", [3, 7, 512])
+def test_segmentations_of_long_words_are_summed_whole(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block, raising=False)
+    vocab = {x: i for i, x in enumerate(["▁", "a", "b", "ab", "▁a", "ba", "abababababab", "bbbbbbbbbb"])}
+    rng = np.random.default_rng(0)
+    p = np.concatenate([rng.uniform(0.01, 0.3, (len(vocab), 2)), [[0.0, 0.0], [1e-7, 1e-6]]])
+    words = ["", "a", "c", "ab" * 15, "b" * 50, *("".join(rng.choice([*"abc"], n, p=[0.45, 0.45, 0.1])) for n in (5, 9, 20, 21, 40, 57, 64))]
+    weight = rng.uniform(1, 9, (len(words), 2))
+    log, counts = [], np.zeros_like(p)
+    for w, weights in zip(("▁" + w for w in words), weight, strict=True):
+        arcs = [(s, e, vocab.get(w[s:e], len(vocab) + 1)) for s in range(len(w)) for e in range(s + 1, len(w) + 1) if w[s:e] in vocab or e == s + 1]
+        a, b = np.zeros((2, len(w) + 1, 2))
+        a[0] = b[-1] = 1
+        for s, e, i in sorted(arcs, key=lambda x: x[1]):
+            a[e] += a[s] * p[i]
+        for s, e, i in sorted(arcs, key=lambda x: -x[0]):
+            b[s] += b[e] * p[i]
+        log.append(np.log(a[-1]))
+        for s, e, i in arcs:
+            counts[i] += a[s] * p[i] * b[e] / a[-1] * weights
+    lattice = langid.Lattice(words, vocab)
+    assert np.allclose(lattice.log_probability(p), log) and np.allclose(lattice.expected(p, weight), counts)
+    # far below the least double
+    assert np.allclose(langid.Lattice(["c" * 5000], vocab).log_probability(p), np.log(p[0]) + 5000 * np.log(p[-1]))
+
+
+def test_text_beyond_a_words_first_characters_counts():
+    pieces = langid.load_pieces()
+    assert max(map(len, pieces)) > 8
+    model = langid.learn([("x", "中" * 20 + "文字" * 30, 50), ("y", "中" * 20 + "日本" * 30, 50)], pieces)
+    texts = [("中" * 20 + end * 200).encode() for end in ("文字", "日本")]
+    lang, score = langid.score_texts(texts, model, {}, [])
+    assert lang == ["x", "y"] and min(score) > 0.99
