@@ -1,11 +1,13 @@
 """Line dedup by winnowing over line hashes.
 
-A gram is the shortest run of lines from a line on that has ``gram_words`` words. From the grams within each stretch of
-``run_words`` words the one with the least hash is kept as a fingerprint, so any two texts that share a stretch of that many
-words in whole lines share a fingerprint. A fingerprint's later places are compared with its first one (by doc_id, then line):
-the match is extended line by line both ways, and the later run is deleted.
-
-So a later run goes as far as it agrees with the first place of one of its fingerprints; the first place of every line stays.
+A stretch is a run of whole lines with at least ``run_words`` words that would have fewer without its last line, or without its
+first one. A gram is the shortest run of lines from a line on that has ``gram_words`` words; the one with the least hash within
+a stretch is the stretch's fingerprint. Stretches with one fingerprint and one hash of all their lines are the same; all places of
+one but the first (by doc_id, then line) are deleted. They are grouped, never compared in pairs.
+
+Every line of a run of ``run_words`` words or more is in a stretch inside that run: in the one that begins with it, if as many
+words follow in the run, else in one that ends with it, or with the run. So exactly the runs that stand in an earlier place go,
+each line whose run has that many words; the first place of every line stays.
 """
 
 from __future__ import annotations
@@ -14,55 +16,49 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimpse.llm.common import free_name, mix, stage, text_batches
+from glimpse.llm.common import _powers, free_name, mix, stage, text_batches
+
+
+def stretches(line_hash: np.ndarray, words: np.ndarray, gram_words: int, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First line, line after the last, fingerprint and hash of the stretches of a text, by its lines' hashes and word counts."""
+    n, total = len(words), np.concatenate([[0], np.cumsum(words)])
+    lines = np.arange(n)
+    to = np.searchsorted(total, total[:n] + run_words)  # the least end with as many words
+    since = np.searchsorted(total, total[1:] - run_words, side="right") - 1  # the last beginning with as many words
+    spans = np.concatenate([np.stack([lines, to], 1)[to <= n], np.stack([since, lines + 1], 1)[since >= 0]])
+    if not len(spans):
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    lo, hi = np.unique(spans, axis=0).T
+    up, down = _powers(n + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(line_hash.view(np.uint64)) * up[:n])])
+
+    def hashed(a, b):
+        return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+
+    end = np.searchsorted(total, total[:n] + gram_words)  # a gram is lines i to end-1; grams begin and end with words
+    grams = np.full(n + 1, 2**64 - 1, np.uint64)
+    i = np.flatnonzero((end <= n) & (words > 0))
+    grams[i] = hashed(i, end[i])
+    inside = np.maximum(np.searchsorted(end, hi, side="right"), lo + 1)  # grams from lines lo to inside-1 end by hi
+    least = np.minimum.reduceat(grams, np.stack([lo, inside], 1).ravel())[::2]
+    return lo, hi, least.view(np.int64), hashed(lo, hi).view(np.int64)
 
 
 def fingerprints(line_hash: np.ndarray, words: np.ndarray, gram_words: int, run_words: int) -> list[tuple[int, int]]:
-    """(gram hash, first line) of the fingerprints of a text, by its lines' hashes and word counts."""
-    total = np.concatenate([[0], np.cumsum(words)])
-    n = len(words)
-    i = np.arange(n)
-    to = np.searchsorted(total, total[i] + gram_words)  # a gram is lines i to to-1
-    i, to = i[to <= n], to[to <= n]
-    i = i[words[i] > 0] if len(i) else i  # runs begin and end with words
-    to = np.searchsorted(total, total[i] + gram_words)
-    if not len(i):
-        return []
-    h = line_hash.view(np.uint64)
-    mixed = mix(h)
-    power = np.uint64(0x9E3779B97F4A7C15)
-    grams = np.array([_fold(mixed[a:z], power) for a, z in zip(i, to, strict=True)], np.uint64)
-    found = set()
-    stop = np.searchsorted(total, total[i] + run_words)
-    for k in range(len(i)):
-        if stop[k] > n:
-            break
-        last = k + 1
-        while last < len(i) and to[last] <= stop[k]:
-            last += 1
-        inside = grams[k:last]
-        m = k + len(inside) - 1 - int(np.argmin(inside[::-1]))  # the last of equal ones
-        found.add(m)
-    return [(int(grams[m].astype(np.int64)), int(i[m])) for m in sorted(found)]
-
-
-def _fold(h: np.ndarray, power: np.uint64) -> np.uint64:
-    out = np.zeros(1, np.uint64)
-    for x in h:
-        out = (out ^ x) * power
-        out ^= out >> np.uint64(29)
-    return out[0]
+    """(fingerprint, first line) of the stretches of a text."""
+    lo, _, gram, _ = stretches(line_hash, words, gram_words, run_words)
+    return list(zip(gram.tolist(), lo.tolist(), strict=True))
 
 
 def read_lines(texts: list[bytes | None], gram_words: int, run_words: int):
-    """Per text: line hashes, and its fingerprints."""
+    """Per text: its stretches."""
     import xxhash
 
     for t in texts:
         lines = (t or b"").split(b"\n") if t is not None else []
         h = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64).view(np.int64)
         words = np.array([len(x.split()) for x in lines], np.int64)
-        yield h.tolist(), fingerprints(h, words, gram_words, run_words)
+        yield stretches(h, words, gram_words, run_words)
 
 
 def repeated_runs(docs: DataFrame, gram_words: int = 25, run_words: int = 50) -> DataFrame:
@@ -72,50 +68,18 @@ def repeated_runs(docs: DataFrame, gram_words: int = 25, run_words: int = 50) ->
         import pyarrow as pa
 
         for b in batches:
-            lines, prints = [], []
-            for h, f in read_lines(b.column("text").cast(pa.binary()).to_pylist(), gram_words, run_words):
-                lines.append(h)
-                prints.append([{"gram": g, "at": i} for g, i in f])
-            kind = pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__text"), pa.array(lines, pa.list_(pa.int64())), pa.array(prints, kind)], names=["__id", "__text", "lines", "prints"])
+            found = [*read_lines(b.column("text").cast(pa.binary()).to_pylist(), gram_words, run_words)]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
+            lo, hi, gram, whole = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else [()] * 4))
+            cols = [b.column("__id").take(of), b.column("__text").take(of), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(gram), pa.array(whole)]
+            yield pa.RecordBatch.from_arrays(cols, names=["__id", "__text", "from", "to", "gram", "whole"])
 
     d = text_batches(docs).select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text"), "text")
     kind = d.schema["__id"].dataType.simpleString()
-    read = stage(d.mapInArrow(run, f"__id {kind}, __text long, lines array<long>, prints array<struct<gram:long,at:int>>"), "lines").dropDuplicates(["__id", "__text"])
-    place = F.struct(F.col("__id").isNull().alias("n"), "__id", "__text", "at")
-    p = stage(read.select("__id", "__text", F.explode("prints").alias("p")).select("__id", "__text", "p.gram", "p.at"), "prints")
-    first = p.groupBy("gram").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").select("gram", "f")
-    match = p.join(first, "gram").where(place != F.col("f"))
-    match = match.select("__id", "__text", "at", F.col("f.__id").alias("c_id"), F.col("f.__text").alias("c_text"), F.col("f.at").alias("c_at"))
-    # matches on one diagonal of two documents are extended once
-    match = match.groupBy("__id", "__text", "c_id", "c_text", (F.col("at") - F.col("c_at")).alias("shift")).agg(F.collect_set("at").alias("ats"))
-    own = read.select(F.col("__id").alias("i"), F.col("__text").alias("t"), F.col("lines").alias("mine"))
-    other = read.select(F.col("__id").alias("i2"), F.col("__text").alias("t2"), F.col("lines").alias("theirs"))
-    m = match.join(own, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__text") == F.col("t")))
-    m = m.join(other, F.col("c_id").eqNullSafe(F.col("i2")) & (F.col("c_text") == F.col("t2")))
-    return m.mapInArrow(_extend, f"__id {kind}, __text long, from int, to int")
-
-
-def _extend(batches):
-    import pyarrow as pa
-
-    for b in batches:
-        out = []
-        for i, t, shift, ats, mine, theirs in zip(*(b.column(c).to_pylist() for c in ("__id", "__text", "shift", "ats", "mine", "theirs")), strict=True):
-            ends = -1
-            for at in sorted(ats):
-                if at < ends:
-                    continue
-                lo = at
-                while lo > 0 and lo - shift > 0 and mine[lo - 1] == theirs[lo - 1 - shift]:
-                    lo -= 1
-                ends = at
-                while ends < len(mine) and ends - shift < len(theirs) and mine[ends] == theirs[ends - shift]:
-                    ends += 1
-                if ends > lo:
-                    out.append((i, t, lo, ends))
-        cols = list(zip(*out, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (b.schema.field("__id").type, pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["__id", "__text", "from", "to"])
+    p = stage(d.mapInArrow(run, f"__id {kind}, __text long, from int, to int, gram long, whole long"), "stretches")
+    place = F.struct(F.col("__id").isNull().alias("n"), "__id", "__text", "from")
+    first = p.groupBy("gram", "whole").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").select("gram", "whole", "f")
+    return p.join(first, ["gram", "whole"]).where(place != F.col("f")).select("__id", "__text", "from", "to")
 
 
 def deleted_lines(docs: DataFrame, **how) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parents[1]))
 from oracle import same  # noqa: E402
 
-from glimpse.llm import langid, queries  # noqa: E402
+from glimpse.llm import langid, linededup, queries  # noqa: E402
 
 
 @pytest.mark.parametrize("n_words", [100, 127, 300, 511])
@@ -63,3 +63,18 @@ def test_text_beyond_a_words_first_characters_counts():
     texts = [("中" * 20 + end * 200).encode() for end in ("文字", "日本")]
     lang, score = langid.score_texts(texts, model, {}, [])
     assert lang == ["x", "y"] and min(score) > 0.99
+
+
+def _line(name, n):
+    return " ".join(f"{name}w{i}" for i in range(n))
+
+
+def _deduped(spark, texts):
+    return {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+
+
+def test_shared_runs_below_the_least_length_stay(spark):
+    # each length many times, as only some hashes made a fingerprint of the shared line
+    runs = [[_line(f"r{k}x{n}", n)] if k % 2 else [_line(f"r{k}x{n}", n - 15), _line(f"s{k}x{n}", 15)] for n in (30, 40, 49) for k in range(6)]
+    texts = ["\n".join([_line(f"a{side}{k}", 30), *run, _line(f"b{side}{k}", 30)]) for side in "xy" for k, run in enumerate(runs)]
+    assert _deduped(spark, texts) == dict(enumerate(texts))
