@@ -78,3 +78,35 @@ def test_shared_runs_below_the_least_length_stay(spark):
     runs = [[_line(f"r{k}x{n}", n)] if k % 2 else [_line(f"r{k}x{n}", n - 15), _line(f"s{k}x{n}", 15)] for n in (30, 40, 49) for k in range(6)]
     texts = ["\n".join([_line(f"a{side}{k}", 30), *run, _line(f"b{side}{k}", 30)]) for side in "xy" for k, run in enumerate(runs)]
     assert _deduped(spark, texts) == dict(enumerate(texts))
+
+
+def test_runs_are_found_behind_other_first_places(spark):
+    # document 0 holds one line each of the runs that 1 and 2 share, each with some fingerprint's first place
+    a = [_line(f"a{k}", 27) for k in range(20)]
+    runs = ["\n".join([a[k], _line(f"m{k}", 30)]) for k in range(20)]
+    apart = lambda side, parts: "\n".join(x for k, p in enumerate(parts) for x in (_line(f"{side}{k}", 8), p))
+    texts = [apart("x", a), apart("y", runs), apart("z", [*runs, "end"])]
+    assert _deduped(spark, texts) == {0: texts[0], 1: texts[1], 2: "\n".join([*(_line(f"z{k}", 8) for k in range(21)), "end"])}
+
+
+def test_deleted_lines_are_those_of_all_repeated_runs(spark):
+    rng = np.random.default_rng(5)
+    pool = [_line(f"p{k}", n) for k, n in enumerate([*range(1, 25), 30, 55])] + ["", " "]
+    texts = ["\n".join(rng.choice(pool, 12)) for _ in range(20)]
+    for _ in range(40):
+        x, y = (texts[i].split("\n") for i in rng.integers(0, len(texts), 2))
+        i, j, n = *rng.integers(0, 6, 2), rng.integers(1, 8)
+        texts.append("\n".join([*y[:j], *x[i : i + n], *y[j:]]))
+    lines = [t.split("\n") for t in texts]
+    want = {}
+    for d, mine in enumerate(lines):
+        for e, theirs in enumerate(lines[: d + 1]):
+            for i in range(len(mine)):
+                for k in range(i if e == d else len(theirs)):
+                    n = 0
+                    while i + n < len(mine) and k + n < len(theirs) and mine[i + n] == theirs[k + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in mine[i : i + n]) >= 50:
+                        want.setdefault(d, set()).update(range(i, i + n))
+    got = {r["__id"]: {*r["gone"]} for r in linededup.deleted_lines(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == want and want
