@@ -14,9 +14,11 @@ CHUNK_BYTES = 1 << 21
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. A temporary one is set only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one is set in local mode; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='glimpse-')}"
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -30,6 +32,20 @@ def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def folders(spark: SparkSession, name: str):
+    """Writes each table in turn to one of two folders, over the last but one, and reads it again: for rounds that need their predecessor alone."""
+    base, turns = f"{scratch(spark)}/glimpse/{name}-{uuid.uuid4().hex}", 0
+
+    def put(df: DataFrame) -> DataFrame:
+        nonlocal turns
+        turns += 1
+        path = f"{base}/{turns % 2}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return put
+
+
 def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df``; its session passes rows to Python in small batches from now on, as texts are long, unless it has a size of its own."""
     conf = df.sparkSession.conf
@@ -44,6 +60,11 @@ def fold(doc_id: Column | str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(n))
 
 
+def turn(salt: str, column: str) -> Column:
+    """A number from 0 to 1 by the hash of a column, in steps of 2**-53, so that a sample of any size can be taken from a table of any size."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), column), 11) / float(1 << 53)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have yet."""
     taken = {c.lower() for c in df.columns}
