@@ -79,7 +79,7 @@ def repeated_runs(docs: DataFrame, gram_words: int = 25, run_words: int = 50) ->
     p = stage(d.mapInArrow(run, f"__id {kind}, __text long, from int, to int, gram long, whole long"), "stretches")
     place = F.struct(F.col("__id").isNull().alias("n"), "__id", "__text", "from")
     first = p.groupBy("gram", "whole").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").select("gram", "whole", "f")
-    return p.join(first, ["gram", "whole"]).where(place != F.col("f")).select("__id", "__text", "from", "to")
+    return p.hint("merge").join(first, ["gram", "whole"]).where(place != F.col("f")).select("__id", "__text", "from", "to")
 
 
 def deleted_lines(docs: DataFrame, **how) -> DataFrame:
@@ -96,7 +96,8 @@ def dedup(docs: DataFrame, counts: bool = False, **how) -> DataFrame:
     """
     gone, n, out = free_name(docs, "__gone"), "n_lines", free_name(docs, "__out")
     g = stage(deleted_lines(docs, **how), "gone").withColumnRenamed("gone", gone)
-    d = docs.join(g, docs["doc_id"].eqNullSafe(g["__id"]) & (F.xxhash64(docs["text"]) == g["__text"]), "left").drop("__id", "__text")
+    # One plan at all sizes: texts are shuffled once, compressed, whether the deletions would fit a broadcast or not.
+    d = docs.hint("merge").join(g, docs["doc_id"].eqNullSafe(g["__id"]) & (F.xxhash64(docs["text"]) == g["__text"]), "left").drop("__id", "__text")
     lines = F.split("text", "\n", -1)
     kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col(gone), i), x)), lambda x: x.isNotNull())
     d = d.withColumn(out, F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
