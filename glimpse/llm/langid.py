@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimpse.llm.common import LETTERS, Words, byte_column, fold, free_name, pieces, text_batches
+from glimpse.llm.common import LETTERS, Words, byte_column, fold, free_name, pieces, text_batches, turn
 
 VOCABULARY = os.environ.get("GLIMPSE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 UNKNOWN = 1e-7
@@ -218,29 +218,23 @@ def learn(counts: list[tuple[str, str, int]], vocab: dict[str, int], rounds: int
     return Model(languages, vocab, p)
 
 
-def sample_counts(train: DataFrame, per_language: int, words_per_language: int) -> list[tuple[str, str, int]]:
-    """Word counts of about ``per_language`` whole documents of each language, chosen by hash; the most frequent words of each."""
+def sample_counts(train: DataFrame, per_language: int) -> list[tuple[str, str, int]]:
+    """Word counts of about ``per_language`` whole documents of each language, chosen by hash."""
     n = {r[0]: r[1] for r in train.groupBy("lang").count().collect()}  # one row a language
     if not n:
         return []
-    rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / v))) for k, v in n.items()])
-    chosen = train.where(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000)) < rate * 1_000_000)
+    rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(per_language / v)) for k, v in n.items()])
+    chosen = train.where(turn("langid", "doc_id") < rate)
     lower = F.lower("text")
     words = chosen.select("lang", F.explode(F.split(lower, r"[\x00-\x60\x7B-\x7F]+")).alias("w")).where("w != ''")
     counted = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
-    rows = counted.toArrow().to_pylist()  # bounded by the sample
-    out, kept = [], {}
-    for r in sorted(rows, key=lambda r: (r["lang"], -r["n"], r["w"])):
-        kept[r["lang"]] = kept.get(r["lang"], 0) + 1
-        if kept[r["lang"]] <= words_per_language:
-            out.append((r["lang"], r["w"], r["n"]))
-    return out
+    return sorted((r["lang"], r["w"], r["n"]) for r in counted.toArrow().to_pylist())  # bounded by the sample
 
 
-def fit(docs: DataFrame, per_language: int = 150, words_per_language: int = 8000, folds: int = 5, vocabulary: str = VOCABULARY) -> Model:
-    """A model of the documents with text and non-null lang outside fold 0."""
+def fit(docs: DataFrame, per_language: int = 150, folds: int = 5, vocabulary: str = VOCABULARY) -> Model:
+    """A model of about ``per_language`` documents of each language among those with text and non-null lang outside fold 0."""
     train = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", folds) != 0)).select("doc_id", "text", "lang")
-    return learn(sample_counts(train, per_language, words_per_language), load_pieces(vocabulary))
+    return learn(sample_counts(train, per_language), load_pieces(vocabulary))
 
 
 _CACHE: dict = {}

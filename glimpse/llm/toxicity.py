@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimpse.llm.common import LETTERS, Words, byte_column, fold, pieces, text_batches
+from glimpse.llm.common import LETTERS, Words, byte_column, fold, pieces, text_batches, turn
 
 _DICT = {"k": 16, "d": 8}
 
@@ -102,9 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, most:
     n = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     if not n:
         return Model(np.zeros(0, np.uint64), b"", b"", -3.0, 0.0, 64)
-    turn = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000))
-    rate = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(int(1_000_000 * min(1.0, 2 * most / v)))) for k, v in n.items()])
-    chosen = known.where(turn < rate).withColumn("second", (F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(10)) >= 7).cast("int"))
+    rate = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(2 * most / v)) for k, v in n.items()])
+    chosen = known.where(turn("toxicity", "doc_id") < rate).withColumn("second", (F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(10)) >= 7).cast("int"))
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toArrow()  # about 4 * most rows
     text, toxic, second = (rows.column(c).to_pylist() for c in ("text", "toxic", "second"))
     book = [[t for t, y, s in zip(text, toxic, second, strict=True) if y == k and s == 0] for k in (1, 0)]
