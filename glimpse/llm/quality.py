@@ -1,7 +1,7 @@
 """Quality by positive-unlabelled learning.
 
 A linear model over binned properties of a text is trained to minimise the non-negative unbiased risk: trusted positives, any
-other web text as unlabelled, and an estimated share of positives among the latter. Negatives' labels are never used.
+web text as unlabelled, and the share of positives among the latter, estimated from these two. Negatives' labels are never used.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimpse.llm.common import ALNUM, SPACED, Words, byte_column, fold, pieces, text_batches
+from glimpse.llm.common import ALNUM, SPACED, Words, byte_column, fold, pieces, text_batches, turn
 
 BINS = 12
 _BYTES = {
@@ -75,7 +75,7 @@ class Model:
         self.edges, self.weight, self.bias = edges, weight, bias
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.bias + binned(x, self.edges) @ self.weight, -30, 30)))
+        return _sigmoid(self.bias + binned(x, self.edges) @ self.weight)
 
 
 def binned(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -86,40 +86,74 @@ def binned(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def nonnegative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 3e-4) -> Model:
-    """Minimise prior * E_p[l(+)] + max(0, E_u[l(-)] - prior * E_p[l(-)]) with logistic loss; where the second part is below 0, step back on it."""
-    x = np.concatenate([positive, unlabelled])
-    edges = np.stack([np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1]) for k in range(x.shape[1])])
-    p, u = binned(positive, edges), binned(unlabelled, edges)
-    w, bias = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior)))
+def _edges(x: np.ndarray) -> np.ndarray:
+    return np.stack([np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1]) for k in range(x.shape[1])])
+
+
+def _descend(p: np.ndarray, u: np.ndarray, pull, bias: float = 0.0, steps: int = 400, rate: float = 0.05, decay: float = 3e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam; ``pull`` gives the derivatives of the risk by the scores of positives and unlabelled."""
+    w = np.zeros(p.shape[1])
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        gp, gu = p @ w + bias, u @ w + bias
-        sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-        apart = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        dp, du = prior * (sp - 1) / len(p), np.zeros(len(u))
-        if apart >= 0:
-            dp, du = dp - prior * sp / len(p), su / len(u)
-        else:
-            dp, du = prior * sp / len(p), -su / len(u)
+        dp, du = pull(p @ w + bias, u @ w + bias)
         g, gb = p.T @ dp + u.T @ du + decay * w, dp.sum() + du.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    return Model(edges, w, bias)
+    return w, bias
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def nonnegative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+    """Minimise prior * E_p[l(+)] + max(0, E_u[l(-)] - prior * E_p[l(-)]) with logistic loss; where the second part is below 0, step back on it."""
+    edges = _edges(np.concatenate([positive, unlabelled]))
+
+    def pull(gp, gu):
+        sp, su = _sigmoid(gp), _sigmoid(gu)
+        if np.logaddexp(0, gu).mean() >= prior * np.logaddexp(0, gp).mean():
+            return prior * (sp - 1) / len(gp) - prior * sp / len(gp), su / len(gu)
+        return prior * sp / len(gp), -su / len(gu)
+
+    return Model(edges, *_descend(binned(positive, edges), binned(unlabelled, edges), pull, float(np.log(prior / (1 - prior)))))
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.05) -> float:
+    """The share of positives among the unlabelled, from these two alone.
+
+    Half of both trains a model that tells them apart; in the other half, where the model's score is above t, the share of the
+    unlabelled over the share of the positives bounds the prior from above, and the t with the least bound (sampling error
+    included; at least ``least`` of the positives above) is taken. The mean of both ways round, within 0.01 and 0.99.
+    """
+    found = []
+    for a, b in ((0, 1), (1, 0)):
+        p, u, q, v = positive[a::2], unlabelled[a::2], positive[b::2], unlabelled[b::2]
+        if not len(p) or not len(u) or not len(q) or not len(v):
+            continue
+        edges = _edges(np.concatenate([p, u]))
+        w, bias = _descend(binned(p, edges), binned(u, edges), lambda gp, gu: ((_sigmoid(gp) - 1) / len(gp) / 2, _sigmoid(gu) / len(gu) / 2), steps=300)
+        sq, sv = (np.sort(binned(x, edges) @ w + bias) for x in (q, v))
+        t = np.concatenate([sq, sv])
+        above_q, above_v = 1 - np.searchsorted(sq, t) / len(sq), 1 - np.searchsorted(sv, t) / len(sv)
+        error = np.sqrt(np.log(40) / 2 / len(sq)) + np.sqrt(np.log(40) / 2 / len(sv))
+        k = np.argmin(np.where(above_q > least, (above_v + error) / np.maximum(above_q, 1e-9), np.inf))
+        found.append(above_v[k] / above_q[k])
+    return float(np.clip(np.mean(found), 0.01, 0.99)) if found else 0.5
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, positives: int = 4000, unlabelled: int = 8000) -> Model | float:
-    """A model from about so many trusted positives outside fold ``held`` and documents of any kind; a constant score where there are no positives."""
-    known = labels.where(F.col("quality").isin(0, 1) & (fold("doc_id", folds) != held)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n, good = known.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
-    total = docs.count()
+    """A model from about ``positives`` trusted positives outside fold ``held`` and about ``unlabelled`` documents of any kind; 0.5 for all texts where there are no positives.
+
+    Labels of 0 are not used, not even for the prior; a document with several labels counts as its least one says. Repeated rows are sampled alike.
+    """
+    known = labels.where(F.col("quality").isin(0, 1) & (fold("doc_id", folds) != held)).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
+    good, total = known.count(), docs.count()
     if not good or not total:
-        return 0.0 if n else 0.5
-    prior = min(max(good / n, 0.01), 0.99)  # the share of positives among labelled documents stands for that of the web text
-    turn = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1_000_000))
-    chosen = F.broadcast(known.where((F.col("quality") == 1) & (turn < int(1_000_000 * min(1.0, positives / good)))).select("doc_id"))
-    other = F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, unlabelled / total))
+        return 0.5
+    chosen = F.broadcast(known.where(turn("quality", "doc_id") < positives / good).select("doc_id"))  # about ``positives`` ids
+    other = turn("unlabelled", "doc_id") < unlabelled / total
     kind = "p boolean, x array<double>"
 
     def run(batches):
@@ -131,12 +165,16 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, posit
 
     d = docs.select("doc_id", "text")
     sample = d.join(chosen, "doc_id").select("text", F.lit(True).alias("p")).unionByName(d.where(other).select("text", F.lit(False).alias("p")))
-    rows = sample.mapInArrow(run, kind).orderBy("p", "x").toArrow()  # about positives + unlabelled rows of numbers
-    if not rows.num_rows:
-        return prior
+    rows = sample.mapInArrow(run, kind).toArrow()  # about positives + unlabelled rows of numbers
+    p = np.array(rows.column("p").to_pylist(), bool)
+    if not p.any() or p.all():
+        return 0.5
     x = np.array(rows.column("x").to_pylist())
-    p = np.array(rows.column("p").to_pylist())
-    return nonnegative_risk(x[p], x[~p], prior) if p.any() and not p.all() else prior
+    x = x[order := np.lexsort((*x.T, p))]
+    p = p[order]
+    rng = np.random.default_rng(11)
+    good_x, any_x = (rng.permutation(x[k]) for k in (p, ~p))  # halves alike
+    return nonnegative_risk(good_x, any_x, class_prior(good_x, any_x))
 
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = 0.5, **how) -> DataFrame:
