@@ -1,6 +1,6 @@
 """Approximate maximum inner product search with anisotropic four-bit quantisation.
 
-A vector is cut into short subvectors, each coded by one of 16 centres. The loss weighs the part of the error that is parallel
+Each component of a vector (or short subvector) is coded by one of 16 centres. The loss weighs the part of the error that is parallel
 to the vector more than the part across it, as the former moves the inner products that matter. Codes are scanned by tables of
 a query's products with all centres; the best are ranked again by exact products of the original vectors.
 """
@@ -8,10 +8,10 @@ a query's products with all centres; the best are ranked again by exact products
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimpse.llm.common import stage
+from glimpse.llm.common import stage, turn
 
 
 def weights(dim: int, threshold: float = 0.2) -> float:
@@ -92,26 +92,26 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") == dim) & ~F.coalesce(bad, F.lit(False)) & F.exists(v, lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, rerank: int = 100, sample: int = 4000, block: int = 256, chunk: int = 8192, dim: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, rerank: int = 100, sample: int = 4000, query_block: int = 2048, code_block: int = 65_536, dim: int | None = None, sub: int = 1) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest by inner product for each vector whose id is divisible by ``every``.
 
-    Centres are trained on a sample of about ``sample`` vectors; all are coded. Queries go in blocks against chunks of codes; the
-    best ``rerank`` of each, ties to smaller ids, are ranked by exact products. ``dim`` is the commonest length unless given; vectors of
-    other lengths, null or zero ones and those with null or non-finite components take no part. Equal ids are separate vectors to
-    be found; a query is asked once an id, and no vector of its own id is a candidate.
+    Centres are trained on a sample of about ``sample`` vectors; all are coded, by one centre for each ``sub`` components. Blocks of
+    queries meet blocks of codes in tiles, one a task; a tile keeps the best ``rerank`` of each query, ties to smaller ids, and of these
+    the best ``rerank`` of all tiles are ranked by exact products. ``dim`` is the commonest length unless given; vectors of other lengths, null or zero ones and those with null or
+    non-finite components take no part. Rows of equal ids are separate vectors to be found; a query is asked once an id, with one of
+    its vectors (the least), and no vector of its own id is a candidate.
     """
+    spark = vectors.sparkSession
     if dim is None:
         top = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
         dim = top.d if top else 0
-    x = stage(usable(vectors, dim), "vectors")
+    x = stage(usable(vectors, dim).withColumn("row", F.monotonically_increasing_id()), "vectors")
     n = x.count()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not n or not dim:
-        return x.sparkSession.createDataFrame([], schema)
-    picked = x.where(F.pmod(F.xxhash64(F.lit("ann"), "vec_id"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, sample / n)))).select("v").limit(2 * sample).toArrow()
-    if not picked.num_rows:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    picked = x.where(turn("ann", "vec_id") < sample / n).select("v").limit(2 * sample).toArrow()  # all rows of one id are picked together
+    if picked.num_rows < min(n, 64):
         picked = x.select("v").limit(sample).toArrow()
-    sub = 2 if dim % 4 == 0 else 1
     wide = dim + (-dim) % (2 * sub)  # a last byte may be half empty
 
     def matrix(col) -> np.ndarray:
@@ -124,69 +124,86 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, rerank: int = 100,
     eta = weights(dim)
 
     def encode(batches):
+        """Codes and ids, a record for up to 8192 vectors."""
         import pyarrow as pa
 
         for b in batches:
-            for i in range(0, b.num_rows, chunk):
-                part = b.slice(i, chunk)
-                ids = part.column("vec_id").to_numpy()
+            for i in range(0, b.num_rows, 8192):
+                part = b.slice(i, 8192)
                 codes = packed(assign(matrix(part.column("v")), centres, eta))
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary())], names=["ids", "codes"])
+                ids, row = (part.column(c).to_numpy().tobytes() for c in ("vec_id", "row"))
+                yield pa.RecordBatch.from_arrays([pa.array([len(codes)], pa.int64()), *(pa.array([y], pa.binary()) for y in (ids, row, codes.tobytes()))], names=["n", "ids", "rows", "codes"])
 
     def group(batches):
+        """Queries as four-byte numbers, a record for up to 256."""
         import pyarrow as pa
 
         for b in batches:
-            for i in range(0, b.num_rows, block):
-                part = b.slice(i, block)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column("vec_id").to_numpy().tobytes()], pa.binary()), pa.array([matrix(part.column("v")).tobytes()], pa.binary())], names=["q_ids", "q"])
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("query_id").to_numpy().tobytes()], pa.binary()), pa.array([matrix(part.column("q")).astype(np.float32).tobytes()], pa.binary())], names=["q_ids", "q"])
 
     def best(batches):
+        """Of each tile (its queries come first, then its codes), the best rows of each query with their approximate products."""
         import pyarrow as pa
 
-        now, table, ids, top_s, top_i = None, None, None, None, None
+        now, asked, ids, state = None, [], None, None
 
         def rows():
+            top_s, top_r = state
             keep = np.isfinite(top_s)
-            q = np.repeat(ids, keep.sum(1))
-            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(top_i[keep])], names=["query_id", "vec_id"])
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(1))), pa.array(top_r[keep]), pa.array(top_s[keep])], names=["query_id", "row", "near"])
 
         for b in batches:
-            for q_ids, q, c_ids, codes in zip(*(b.column(c) for c in ("q_ids", "q", "ids", "codes")), strict=True):
-                q_ids = q_ids.as_py()
-                if q_ids != now:
-                    if now is not None:
+            for tile, q_ids, q, c_ids, c_rows, codes in zip(*(b.column(c) for c in ("tile", "q_ids", "q", "ids", "rows", "codes")), strict=True):
+                if tile.as_py() != now:
+                    if state is not None:
                         yield rows()
-                    now, ids = q_ids, np.frombuffer(q_ids, np.int64)
-                    table = tables(np.frombuffer(q.as_py(), np.float64).reshape(len(ids), wide), centres)
-                    top_s, top_i = np.full((len(ids), rerank), -np.inf, np.float32), np.full((len(ids), rerank), np.iinfo(np.int64).max)
-                cid = np.frombuffer(c_ids.as_py(), np.int64)
-                s = scan(table, np.frombuffer(codes.as_py(), np.uint8).reshape(len(cid), -1)).T
-                for r in range(len(ids)):
-                    floor = top_s[r].min()
-                    at = np.flatnonzero(s[r] >= floor)
-                    at = at[cid[at] != ids[r]]
-                    if len(at):
-                        all_s, all_i = np.concatenate([top_s[r], s[r][at]]), np.concatenate([top_i[r], cid[at]])
-                        order = np.lexsort((all_i, -all_s))[:rerank]
-                        top_s[r], top_i[r] = all_s[order], all_i[order]
-        if now is not None:
+                    now, asked, state = tile.as_py(), [], None
+                if q_ids.is_valid:
+                    asked.append((np.frombuffer(q_ids.as_py(), np.int64), np.frombuffer(q.as_py(), np.float32).reshape(-1, wide)))
+                    continue
+                if not asked:
+                    continue
+                if state is None:
+                    ids = np.concatenate([y for y, _ in asked])
+                    state = np.full((len(ids), rerank), -np.inf, np.float32), np.full((len(ids), rerank), np.iinfo(np.int64).max)
+                cid, row = np.frombuffer(c_ids.as_py(), np.int64), np.frombuffer(c_rows.as_py(), np.int64)
+                codes, at = np.frombuffer(codes.as_py(), np.uint8).reshape(len(cid), -1), 0
+                for q_id, vec in asked:
+                    _keep(scan(tables(vec, centres), codes), q_id, cid, row, *(y[at : at + len(q_id)] for y in state))
+                    at += len(q_id)
+        if state is not None:
             yield rows()
 
-    codes = stage(x.mapInArrow(encode, "ids binary, codes binary"), "codes")
-    asked = x.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
-    blocks = max(1, -(-asked.count() // block))
-    asked = stage(asked.repartition(blocks).mapInArrow(group, "q_ids binary, q binary"), "queries")
-    pairs = asked.crossJoin(codes).repartition(blocks, "q_ids").sortWithinPartitions("q_ids")  # blocks of the stated queries, chunks of codes
-    found = stage(pairs.mapInArrow(best, "query_id long, vec_id long").distinct(), "found")
-    q = x.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    codes = stage(x.mapInArrow(encode, "n long, ids binary, rows binary, codes binary"), "codes")
+    q = stage(x.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")), "queries")
+    asked = q.mapInArrow(group, "q_ids binary, q binary")
+    across, down = (max(1, -(-m // size)) for m, size in ((q.count(), query_block), (n, code_block)))
+    # An equi-join of tiles: query records are dealt to ``across`` blocks and code records to ``down``; each goes to the tiles of its block.
+    part = lambda of, blocks: F.pmod(F.xxhash64(of), F.lit(blocks))
+    asked = asked.withColumn("a", part("q_ids", across)).withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda d: F.col("a") * down + d)))
+    coded = codes.withColumn("d", part("rows", down)).withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda a: a * down + F.col("d"))))
+    none = F.lit(None).cast("binary")
+    both = asked.select("tile", "q_ids", "q", none.alias("ids"), none.alias("rows"), none.alias("codes")).unionByName(coded.select("tile", none.alias("q_ids"), none.alias("q"), "ids", "rows", "codes"))
+    tiles = both.repartition(across * down, "tile").sortWithinPartitions("tile", F.col("q_ids").isNull())
+    found = stage(tiles.mapInArrow(best, "query_id long, row long, near float"), "found")
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "row"))).where(F.col("place") <= rerank)
     exact = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    scored = found.join(x, "vec_id").join(q, "query_id").select("query_id", "vec_id", exact.alias("score"))
-    rank = F.row_number().over(_by_query())
+    scored = found.join(x, "row").join(q, "query_id").select("query_id", "vec_id", exact.alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _by_query():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+def _keep(near: np.ndarray, q_id: np.ndarray, cid: np.ndarray, row: np.ndarray, top_s: np.ndarray, top_r: np.ndarray) -> None:
+    """Merge the approximate products [vectors, queries] of a record of codes into the queries' best, in place."""
+    rerank = top_s.shape[1]
+    for r, s in enumerate(np.ascontiguousarray(near.T)):
+        s[cid == q_id[r]] = -np.inf
+        at = np.flatnonzero(s >= max(top_s[r, -1], np.finfo(np.float32).min))
+        if len(at) > rerank:
+            at = at[s[at] >= np.partition(s[at], len(at) - rerank)[len(at) - rerank]]  # ties with the last one stay
+        if len(at):
+            all_s, all_r = np.concatenate([top_s[r], s[at]]), np.concatenate([top_r[r], row[at]])
+            order = np.lexsort((all_r, -all_s))[:rerank]
+            top_s[r], top_r[r] = all_s[order], all_r[order]
