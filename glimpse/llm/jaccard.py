@@ -15,13 +15,17 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimpse.llm.common import SPACED, Words, byte_column, mix, pieces, stage, text_batches
+from glimpse.llm.common import SPACED, Words, byte_column, folders, mix, pieces, stage, text_batches
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 #: A set's entry in a segment.
 HEAD = np.dtype([("set", "<i8"), ("size", "<u4"), ("length", "<u4")])
 #: Fragments in which a pair's overlap is counted.
 PARTS = 4
+#: N-grams that a fragment, or a bucket of sets, is to have on average: what a Python task holds at a time.
+HELD = 1 << 21
+#: Members of an n-gram that meet all others of it in one task.
+MEET = 1000
 
 
 def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
@@ -52,8 +56,8 @@ def _sets(texts, n):
         yield i, shingle_sets(texts[i:j], n)
 
 
-def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set (null without words)."""
+def sets_of(docs: DataFrame, n: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, set (null without words), and columns of ``docs`` that are asked for."""
 
     def run(batches):
         import pyarrow as pa
@@ -63,9 +67,10 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
             for _, sets in _sets(byte_column(b, "text"), n):
                 size += map(len, sets)
                 name += [set_id(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(name, pa.int64())], names=["doc_id", "n_shingles", "set"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(name, pa.int64()), *(b.column(c) for c in more)], names=["doc_id", "n_shingles", "set", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set long")
+    kind = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set long", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in more)])
+    return docs.select("doc_id", "text", *more).mapInArrow(run, kind)
 
 
 def segments(docs: DataFrame, n: int, bits: int) -> DataFrame:
@@ -126,7 +131,7 @@ def _shared(names: np.ndarray, sizes: np.ndarray, grams: np.ndarray):
     return names[keep[many]], sizes[keep[many]], grams[keep[many]], count[inverse[many]]
 
 
-def shared_grams(parts: DataFrame, buckets: int) -> DataFrame:
+def shared_grams(parts: DataFrame, bits: int, buckets: int) -> DataFrame:
     """Fragments' grams that several sets share, dealt to buckets of sets: bucket, entries (set, size, gram, frequency)."""
 
     def run(batches):
@@ -136,7 +141,8 @@ def shared_grams(parts: DataFrame, buckets: int) -> DataFrame:
             head = np.frombuffer(b"".join(heads), HEAD)
             raw = np.zeros((sum(map(len, bodies)) // 6, 8), np.uint8)
             raw[:, :6] = np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, 6)
-            grams = raw.view(np.uint64)[:, 0] | (np.uint64(fragment) << np.uint64(48))  # fragments have at most 16 bits
+            # the fragment's leading 16 bits and the 48 last ones; of fragments with more bits, the others are in both
+            grams = raw.view(np.uint64)[:, 0] | (np.uint64(fragment >> max(0, bits - 16)) << np.uint64(48))
             name, size, gram, count = _shared(np.repeat(head["set"], head["length"]), np.repeat(head["size"].astype(np.int64), head["length"]), grams)
             bucket = (name.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -211,37 +217,34 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return total.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, comp (the smallest node reachable) for the nodes of ``edges`` (a, b): labels meet by large and small stars in turn."""
-    e, before = stage(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), None
-    for _ in range(rounds):
+def components(edges: DataFrame) -> DataFrame:
+    """node, comp (the smallest node reachable) for the nodes of ``edges`` (a, b): labels meet by large and small stars in turn, until nothing moves."""
+    put, before = folders(edges.sparkSession, "edges"), None
+    e = put(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = stage(small.distinct(), "edges")
+        e = put(small.distinct())
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
         before = state
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
-def near_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """set, comp: sets that link with others, and the smallest set of what they reach."""
-    spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(16, max(6, (tasks - 1).bit_length()))  # about a fragment a task
+def near_sets(docs: DataFrame, total: int, n: int = 4, percent: int = 85) -> DataFrame:
+    """set, comp: sets that link with others, and the smallest set of what they reach. ``total``: n-grams of all documents, which set the number of fragments."""
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // HELD))
+    bits = max(6, (tasks - 1).bit_length())
     parts = segments(docs, n, bits).repartition(tasks, "fragment").sortWithinPartitions("fragment")
-    shared = shared_grams(parts, tasks).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    shared = shared_grams(parts, bits, tasks).repartition(tasks, "bucket").sortWithinPartitions("bucket")
     sets = stage(hopeful(shared, percent), "sets")
     tokens = sets.select("set", "size", "own", F.posexplode("prefix").alias("i", "gram")).withColumn("left", F.col("size") - F.col("own") - F.col("i"))
-    by_gram = Window.partitionBy("gram")
-    tokens = tokens.withColumn("mid", F.min(F.struct("own", "set", "size", "left")).over(by_gram)).withColumn("last", F.max(F.struct("own", "set")).over(by_gram))
-    tokens = stage(tokens.where(F.col("mid.set") != F.col("last.set")).select("gram", "set", "size", "left", "mid"), "tokens")
+    ends = tokens.groupBy("gram").agg(F.min(F.struct("own", "set", "size", "left")).alias("mid"), F.max(F.struct("own", "set")).alias("last")).where(F.col("mid.set") != F.col("last.set"))
+    tokens = stage(tokens.join(ends.drop("last"), "gram").select("gram", "set", "size", "left", "mid"), "tokens")
 
     def fits(x, y):  # lengths, and what is left after the gram that is the first in common
         return F.expr(f"{percent} * greatest({x}.size, {y}.size) <= 100 * least({x}.size, {y}.size) and {100 + percent} * least({x}.left, {y}.left) >= {percent} * ({x}.size + {y}.size)")
@@ -251,14 +254,25 @@ def near_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     first = stage(linked(tried, sets, percent), "links")
     comp = components(first)
     t = tokens.drop("mid").join(comp, tokens["set"] == comp["node"], "left").select("gram", "set", "size", "left", F.coalesce("comp", "set").alias("comp"))
-    t = t.withColumn("lo", F.min("comp").over(by_gram)).withColumn("hi", F.max("comp").over(by_gram)).where("lo != hi").drop("lo", "hi")
-    t = stage(t, "apart")
-    rest = t.alias("x").join(t.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.comp") != F.col("y.comp")) & fits("x", "y"))
+    t = stage(t, "members")
+    ends = t.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / MEET).alias("salts")).where("lo != hi").drop("lo", "hi")
+    t = stage(t.join(ends, "gram"), "apart")
+    # an n-gram with many members is dealt to as many tasks as its members need: one side by a salt, the other to all salts
+    x = t.withColumn("salt", F.pmod(F.xxhash64("set"), F.col("salts"))).alias("x")
+    y = t.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).alias("y")
+    rest = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.comp") != F.col("y.comp")) & fits("x", "y"))
     rest = rest.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     second = linked(stage(rest, "pairs"), sets, percent)
     return components(first.unionByName(second)).select(F.col("node").alias("set"), "comp")
 
 
+def _per_set(docs: DataFrame, per: DataFrame, n: int, percent: int) -> DataFrame:
+    """set, comp for all sets of ``per``."""
+    total = per.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    near = near_sets(docs, total, n, percent)
+    return per.where("set is not null").select("set").distinct().join(near, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+
+
 def classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, the smallest doc_id reachable by links.
 
@@ -266,16 +280,27 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     Equal rows are equal sets, and so linked.
     """
     per = stage(sets_of(text_batches(docs), n), "doc-sets")
-    near = near_sets(docs, n, percent)
     least = per.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"))
-    named = least.join(near, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    named = least.join(_per_set(docs, per, n, percent), "set")
     best = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = stage(named.join(best, "comp").select(F.col("set").alias("_set"), "component_id"), "components")
     out = per.join(named, per["set"] == named["_set"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest id. All columns are kept; rows with a null id stay."""
-    c = classes(docs, n, percent).where("component_id != doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(c, docs["doc_id"] == c["__id"], "left_anti")
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each class: one with the smallest id, a null id last. All columns are kept.
+
+    A row is told by its id and text (64-bit hash each), so rows of one id with texts of different classes are judged apart, and of
+    rows equal in both one stays. Texts without words, and null ones, link with nothing: all their rows stay.
+    """
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+    d = d.withColumn("i", F.xxhash64(F.col("doc_id").isNull(), "doc_id")).withColumn("t", F.xxhash64("text"))
+    per = stage(sets_of(text_batches(d), n, ("i", "t")), "doc-sets").where("set is not null")
+    comp = _per_set(docs, per, n, percent)
+    by_set = per.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "i", "t")).alias("one"))
+    keep = stage(by_set.join(comp, "set").groupBy("comp").agg(F.min("one").alias("one")).select("one.i", "one.t"), "kept")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    found = d.where(worded).select("row", "i", "t").hint("merge").join(keep, ["i", "t"])
+    found = found.withColumn("copy", F.row_number().over(Window.partitionBy("i", "t").orderBy("i"))).where("copy = 1")  # as the join has dealt and sorted them
+    return d.where(~worded).select("row.*").unionByName(found.select("row.*"))
