@@ -18,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words; 0 for null), with rows of equal id, source and size told apart by ``copy``."""
+    """doc_id, source, size (words; 0 for null), with a row for each document."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     return docs.select("doc_id", "source", size.alias("size"))
 
@@ -152,16 +152,17 @@ def mixed_texts(docs: DataFrame, block: int = 64, **how) -> DataFrame:
     laid, _, slot = mix(docs, block=block, **how)
     got = cut(stage(laid, "mix-laid"), block).join(slot.select("no", "block", "turn"), ["no", "block"])
     got = got.groupBy("no", "at", "doc_id", "source", "size", "turn").agg(F.sum("words").alias("_n"), F.array_sort(F.collect_list(F.struct("skip", "words"))).alias("_parts"))
-    keys = {c: f"__mix_{c}" for c in ("doc_id", "source", "size")}
-    got = got.select(*[F.col(c).alias(k) for c, k in keys.items()], F.row_number().over(Window.partitionBy("no", "doc_id", "size", "turn").orderBy("at")).alias("__mix_copy"), "_n", "_parts")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.withColumn("__mix_n", size)
-    d = d.withColumn("__mix_c", F.row_number().over(Window.partitionBy("doc_id", "source", "__mix_n").orderBy(F.xxhash64("text"))))
-    same = F.col("doc_id").eqNullSafe(F.col(keys["doc_id"])) & F.col("source").eqNullSafe(F.col(keys["source"])) & (F.col("__mix_n") == F.col(keys["size"])) & (F.col("__mix_c") == F.col("__mix_copy"))
-    j = d.join(got, same)
+    copy = F.row_number().over(Window.partitionBy("no", "doc_id", "size", "turn").orderBy("at"))
+    got = got.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), copy.alias("m_copy"), F.col("_n").alias("m_words"), F.col("_parts").alias("m_parts"))
+    # Whole rows go in a struct, so that no column of theirs meets one of ours.
+    d = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    d = d.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).where("size > 0")
+    d = d.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("text"))))
+    j = d.join(got, F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size")) & (F.col("copy") == F.col("m_copy")))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut_text = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(words, (p["skip"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    j = j.withColumn("text", F.when(F.col("_n") == F.col("__mix_n"), F.col("text")).otherwise(cut_text))
+    cut_text = F.array_join(F.flatten(F.transform("m_parts", lambda p: F.slice(words, (p["skip"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    j = j.withColumn("text", F.when(F.col("m_words") == F.col("size"), F.col("text")).otherwise(cut_text))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        j = j.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return j.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return j.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
