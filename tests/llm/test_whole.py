@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parents[1]))
 from oracle import same  # noqa: E402
 
-from glimpse.llm import langid, linededup, queries  # noqa: E402
+from glimpse.llm import decontaminate, langid, linededup, queries  # noqa: E402
 
 
 @pytest.mark.parametrize("n_words", [100, 127, 300, 511])
@@ -110,3 +110,46 @@ def test_deleted_lines_are_those_of_all_repeated_runs(spark):
                         want.setdefault(d, set()).update(range(i, i + n))
     got = {r["__id"]: {*r["gone"]} for r in linededup.deleted_lines(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
     assert got == want and want
+
+
+def _brute_contamination(docs, items, window=13):
+    out = {}
+    for d, t in enumerate(docs):
+        w, hit, names, longest = (t or "").split(), set(), set(), 0
+        for i, item in enumerate(items):
+            x = (item or "").split()
+            k = min(window, len(x))
+            for a in range(len(x) - k + 1 if x else 0):
+                for p in range(len(w) - k + 1):
+                    if w[p : p + k] == x[a : a + k]:
+                        hit |= {*range(p, p + k)}
+                        names.add(str(i))
+                        n = k
+                        while a + n < len(x) and p + n < len(w) and x[a + n] == w[p + n]:
+                            n += 1
+                        longest = max(longest, n)
+        out[d] = (len(w), len(hit), sorted(names), longest)
+    return out
+
+
+@pytest.mark.parametrize("how", [{}, {"block_bytes": 300}, {"block_bytes": 300, "pass_bytes": 900}])
+def test_contamination_against_brute_force(spark, how):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(12)]
+    items = [" ".join(rng.choice(words, n)) for n in range(1, 41)] + ["w0 " * 30, "w0 w1 " * 20, None, "", "w3 " * 13, "w3 " * 13]
+    docs = [None, "", "w0 " * 60, "w1 w0 " * 40, " ".join(rng.choice(words, 300))]
+    for k in range(25):
+        x = items[rng.integers(12, 40)].split()
+        a = rng.integers(0, 6)
+        docs.append(" ".join([*rng.choice([*words, "zz"], 30), *x[a:], *x[:5], *rng.choice([*words, "zz"], 30)]))
+    b = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    d = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.longest) for r in decontaminate.contamination(d, b, **how).collect()}
+    assert got == _brute_contamination(docs, items)
+
+
+def test_repetitive_texts_are_not_spelled_out(spark):
+    d = spark.createDataFrame([(1, "a " * 200_000)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, "a " * (400 + k)) for k in range(20)] + [(99, "a " * 5)], "item_id long, text string")
+    r = decontaminate.contamination(d, b).first()
+    assert (r.n_words, r.n_hit, r.n_items, r.longest) == (200_000, 200_000, 21, 419)
