@@ -221,8 +221,8 @@ class Trainer:
         m.table += self.rate * g / np.sqrt(self.scale)
 
     def go_through(self, y: np.ndarray, before: np.ndarray) -> None:
-        """Steps of up to 8192 tokens, spread over all of ``y``; smaller ones where there are few."""
-        n = max(1, -(-len(y) // 8192), min(64, len(y) // 256))
+        """Steps of up to 16384 tokens, spread over all of ``y``; smaller ones where there are few."""
+        n = max(1, -(-len(y) // 16384), min(32, len(y) // 256))
         for i in range(n):
             if len(y[i::n]):
                 self.step(y[i::n], before[:, i::n])
