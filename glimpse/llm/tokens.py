@@ -28,6 +28,8 @@ RANKS = os.environ.get("GLIMPSE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Ids in a staged run.
 RUN = 1 << 18
+#: Ids whose pieces of sequences a task groups by shard at a time.
+GROUPED = 1 << 22
 #: zstandard level of ids on their way; the disk is what limits this operator.
 LEVEL = 9
 _ENCODERS: dict[str, Encoder] = {}
@@ -137,55 +139,76 @@ def _stream(docs: DataFrame, length: int, vocabulary: str) -> tuple[DataFrame, d
 
 
 def _placed(tokens: DataFrame, base: dict[int, int], n: int, length: int, shard_slots: int, key: int, vocabulary: str) -> DataFrame:
+    """Sequences in order of slots. Pieces of sequences travel in groups of one shard, compressed together; a shard's task writes them to their places in a buffer of the shard's size."""
+
     def place(batches):
         import pyarrow as pa
         import zstandard
 
         squeeze, expand = zstandard.ZstdCompressor(level=LEVEL).compress, zstandard.ZstdDecompressor().decompress
+        held, ids = [], 0
+
+        def groups():
+            heads, parts = (np.concatenate([h for h, _ in held]), [p for _, ps in held for p in ps]) if held else (np.zeros((0, 4), np.int64), [])
+            order = np.argsort(heads[:, 0], kind="stable")
+            cut = np.flatnonzero(np.diff(heads[order, 0], prepend=-1, append=-1))
+            cols = [[], [], []]
+            for x, z in zip(cut[:-1], cut[1:], strict=True):
+                mine = order[x:z]
+                cols[0].append(int(heads[mine[0], 0]))
+                cols[1].append(np.ascontiguousarray(heads[mine, 1:]).tobytes())
+                cols[2].append(squeeze(b"".join([parts[i] for i in mine])))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "heads", "parts"])
+
         for b in batches:
-            cols = [[] for _ in range(5)]
             for part, at, data in zip(*(b.column(c).to_pylist() for c in ("part", "at", "tokens")), strict=True):
                 at, data = at + base[part], expand(data)
                 m = len(data) // 2
-                cuts = [at, *range((at // length + 1) * length, at + m, length), at + m]
-                seq = np.array([c // length for c in cuts[:-1]], np.int64)
-                slot = slot_of(seq, n, key)
-                for col, new in zip(cols, ((slot // shard_slots).tolist(), slot.tolist(), seq.tolist(), [c % length for c in cuts[:-1]], [squeeze(data[2 * (a - at) : 2 * (z - at)]) for a, z in zip(cuts, cuts[1:], strict=False)]), strict=True):
-                    col += new
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["shard", "slot", "sequence", "skip", "part"])
-
-    def join(batches):
+                cuts = np.array([at, *range((at // length + 1) * length, at + m, length), at + m])
+                slot = slot_of(cuts[:-1] // length, n, key)
+                held.append((np.stack([slot // shard_slots, slot, cuts[:-1] % length, np.diff(cuts)], 1), [data[2 * (x - at) : 2 * (z - at)] for x, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]))
+                ids += m
+                if ids >= GROUPED:
+                    yield groups()
+                    held, ids = [], 0
+        yield groups()
+
+    def fill(batches):
         import pyarrow as pa
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
-        mark = encoder(vocabulary).end.to_bytes(2, "little")
-        now, parts = None, []
-
-        def record():
-            data = b"".join(expand(x) for _, x in sorted(parts))
-            return (*now, len(data) // 2, data + mark * (length - len(data) // 2))
+        now, buffer, filled = None, None, None
 
-        def batch(rows):
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["shard", "slot", "sequence", "n_tokens", "tokens"])
+        def records():
+            first = now * shard_slots
+            seq = slot_of(np.arange(first, first + len(filled)), n, key, back=True)
+            for i in range(0, len(filled), 512):
+                j = min(i + 512, len(filled))
+                raw = [buffer[k].tobytes() for k in range(i, j)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, now)), pa.array(np.arange(first + i, first + j)), pa.array(seq[i:j]), pa.array(filled[i:j]), pa.array(raw, pa.binary())], names=["shard", "slot", "sequence", "n_tokens", "tokens"])
 
         for b in batches:
-            rows = []
-            for shard, slot, seq, skip, part in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
-                if (shard, slot, seq) != now:
-                    if now:
-                        rows.append(record())
-                    now, parts = (shard, slot, seq), []
-                parts.append((skip, part))
-            yield batch(rows)
-        if now:
-            yield batch([record()])
-
-    placed = tokens.mapInArrow(place, "shard long, slot long, sequence long, skip int, part binary")
-    dealt = placed.repartition(max(1, -(-n // shard_slots)), "shard").sortWithinPartitions("slot", "skip")  # a shard is a range of slots; ranges of shards would cost a second pass for bounds
-    return dealt.mapInArrow(join, "shard long, slot long, sequence long, n_tokens int, tokens binary")
+            for shard, heads, parts in zip(*(b.column(c).to_pylist() for c in ("shard", "heads", "parts")), strict=True):
+                if shard != now:
+                    if now is not None:
+                        yield from records()
+                    now, slots = shard, min(shard_slots, n - shard * shard_slots)
+                    buffer, filled = np.full((slots, length), encoder(vocabulary).end, np.uint16), np.zeros(slots, np.int32)
+                ids, at = np.frombuffer(expand(parts), np.uint16), 0
+                for slot, skip, m in np.frombuffer(heads, np.int64).reshape(-1, 3).tolist():
+                    slot -= now * shard_slots
+                    buffer[slot, skip : skip + m] = ids[at : at + m]
+                    filled[slot] += m
+                    at += m
+        if now is not None:
+            yield from records()
+
+    placed = tokens.mapInArrow(place, "shard long, heads binary, parts binary")
+    shards = max(1, -(-n // shard_slots))
+    each = -(-shards // 50_000)  # shards of a partition
+    dealt = placed.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("shard")  # ranges of slots
+    return dealt.mapInArrow(fill, "shard long, slot long, sequence long, n_tokens int, tokens binary")
 
 
 def write_shards(seqs: DataFrame, path: str) -> None:
@@ -214,7 +237,11 @@ def read_shards(spark: SparkSession, path: str, n: int, length: int = 1024, shar
 
 
 def materialise(docs: DataFrame, path: str | None = None, length: int = 1024, shard_slots: int = 4096, key: int = 20240229, vocabulary: str = RANKS) -> DataFrame:
-    """Write ``docs`` as shards under ``path`` (else a new folder of the shared one) and read them again: shard, slot, offset (of the record in its shard's file), tokens, sequence, path."""
+    """Write ``docs`` as shards under ``path`` (else a new folder of the shared one) and read them again: shard, slot, offset (of the record in its shard's file), tokens, sequence, path.
+
+    The stream follows the order in which Spark reads ``docs``: the same files cut alike give the same shards. Repeated rows are texts of
+    their own; other columns than the text play no part.
+    """
     spark = docs.sparkSession
     path = path or f"{scratch(spark)}/glimpse/shards-{uuid.uuid4().hex}"
     tokens, base, n = _stream(docs, length, vocabulary)
