@@ -152,7 +152,7 @@ def byte_column(batch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-def pieces(texts: list[bytes | None], most: int = 8 << 20):
+def pieces(texts: list[bytes | None], most: int = 2 << 20):
     """Cuts of a list of texts as (from, to), each of about ``most`` bytes at least one text."""
     at, total = 0, 0
     for i, t in enumerate(texts):

@@ -18,7 +18,7 @@ from glimpse.llm.common import LETTERS, Words, byte_column, fold, free_name, pie
 VOCABULARY = os.environ.get("GLIMPSE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 UNKNOWN = 1e-7
 #: Characters of a word, and of a batch of words, that are in hand at a time; sums are rescaled after this many characters.
-BLOCK, CELLS, RESCALE = 512, 100_000, 8
+BLOCK, CELLS, RESCALE = 512, 50_000, 8
 
 
 def load_pieces(path: str = VOCABULARY) -> dict[str, int]:
@@ -186,7 +186,7 @@ class Model:
         """Log probabilities [word, language]."""
         if self.begin is None:
             self.begin = beginnings(self.vocab)
-        out = [Lattice(words[i : i + 20_000], self.vocab, self.begin).log_probability(self.p) for i in range(0, len(words), 20_000)]
+        out = [Lattice(words[i : i + 5000], self.vocab, self.begin).log_probability(self.p) for i in range(0, len(words), 5000)]
         return np.concatenate(out) if out else np.zeros((0, len(self.languages)))
 
 
@@ -254,7 +254,7 @@ def score_texts(texts: list[bytes | None], model: Model, cache: dict[bytes, int]
         _, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
         names = [w.word(k) for k in first.tolist()]
         new = [x for x in names if x not in cache]
-        if len(cache) + len(new) > 300_000:
+        if len(cache) + len(new) > 100_000:
             cache.clear()
             rows.clear()
             new = names
