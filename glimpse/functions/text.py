@@ -38,6 +38,67 @@ def collapse_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[ \t\r\n\f\x0B]+", " "))
 
 
+# Words that recognisers of on-screen text misread, and what they stand for.
+SPELLINGS = {
+    "iuong": "lương", "ivong": "lương", "luong": "lương", "tuong": "thương", "thvong": "thương", "huong": "hưởng", "hvong": "hưởng", "huởng": "hưởng",
+    "hvởng": "hưởng", "nguoi": "người", "nguòi": "người", "nguời": "người", "duong": "đường", "duờng": "đường", "dường": "đường", "cuong": "cường",
+    "phuong": "phường", "chuong": "chương", "truong": "trường", "truờng": "trường", "vuon": "vươn", "duoc": "được",
+}
+
+
+def normalize_text(c: Column, spellings: dict[str, str] | None = None) -> Column:
+    """One space for any white space, and whole words of ``spellings`` in any case put right: all capitals, a first one, or none stay so. Null is empty."""
+    fixed = SPELLINGS if spellings is None else spellings
+    clean = collapse_spaces(F.coalesce(c, F.lit("")))
+    if not fixed:
+        return clean
+    table = F.create_map(*[F.lit(x) for pair in fixed.items() for x in pair])
+
+    def right(w):
+        new = table[F.lower(w)]
+        first = F.substring(w, 1, 1)
+        capital = F.concat(F.upper(F.substring(new, 1, 1)), F.expr("''"), F.lower(F.substring(new, 2, 1000)))
+        return F.when(new.isNull(), w).when(w == F.upper(w), F.upper(new)).when((first == F.upper(first)) & (first != F.lower(first)), capital).otherwise(new)
+
+    parts = F.regexp_extract_all(clean, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))
+    return F.array_join(F.transform(parts, right), "")
+
+
+def frame_order_key(c: Column) -> Column:
+    """Natural order of frame names: numbers first, by value, then others by their text without case."""
+    bare = canonical_frame_id(c)
+    number = bare.rlike("^[0-9]+$")
+    return F.struct((~number).alias("named"), F.when(number, bare.cast("decimal(38,0)")).alias("number"), F.when(~number, bare).alias("name"), F.lower(F.trim(c)).alias("whole"))
+
+
+def video_and_frame(video: Column, frame: Column, source: Column, info: Column, path: Column) -> Column:
+    """Struct of video and frame of a result as browsers hold it: its own fields, else what ``info`` ("video-time"), the image's address or path name.
+
+    A name with a colon, or of the image folder or host, is none; without any, the video is "video" and the frame 0. A trailing .mp4 goes.
+    """
+    some = lambda x: F.nullif(F.trim(x), F.lit(""))
+    bad = lambda x: F.contains(x, F.lit(":")) | (F.lower(x) == "keyframes") | F.contains(F.lower(x), F.lit("localhost"))
+    name = lambda x: F.when(~bad(some(x)), some(x))
+    number = lambda x: F.nullif(F.regexp_extract(x, r"keyframe_([0-9]+)\.", 1), F.lit("")).cast("long")
+    own = F.expr("try_cast(null as bigint)") if frame is None else frame.try_cast("bigint")
+    n = F.coalesce(F.when(own > 0, own), number(source), number(path), own, F.lit(0).cast("long"))
+    first = name(F.split(info, "-")[0])
+    folder = lambda x: name(F.regexp_extract(x, r"(?i)/([^/]+)/keyframes/keyframe_[0-9]+", 1))
+    coded = lambda x: some(F.regexp_extract(x, r"(?i)(L[0-9]+_V[0-9]+)", 1))
+    above = name(F.regexp_extract(source, r"(?i)/([^/]+)/keyframe_[0-9]+", 1))
+    v = F.coalesce(name(video), F.when(F.lower(first) != "video", first), folder(source), coded(source), above, folder(path), coded(path), F.lit("video"))
+    return F.struct(F.trim(F.regexp_replace(v, r"(?i)\.mp4$", "")).alias("video"), n.alias("frame"))
+
+
+def display_score(rerank: Column, distance: Column, score: Column) -> Column:
+    return F.coalesce(rerank, distance, score).cast("double")
+
+
+def display_ms(timestamp_ms: Column, seconds: Column, frame: Column) -> Column:
+    """Milliseconds to show: as stored, else from the seconds, else from the frame at 25 a second."""
+    return F.coalesce(timestamp_ms.cast("long"), F.round(seconds * 1000.0).cast("long"), F.round(frame / 25.0 * 1000.0).cast("long"))
+
+
 def text_quality(c: Column) -> Column:
     """0.65 * share of ordinary characters + 0.35 * min(1, length / 12); empty: 0."""
     valid = F.length(F.regexp_replace(c, r"[^\p{L}\p{N}\s.,:;!?'\-_/()%+&]", ""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimpse.functions.text import collapse_spaces, text_quality
+from glimpse.functions.text import canonical_frame_id, collapse_spaces, frame_order_key, text_quality, timestamp_from_name
 
 
 def segment_scenes(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -115,11 +115,32 @@ def text_event_id(records: DataFrame, text: str = "text") -> DataFrame:
     return records.withColumn("new", new).withColumn("event_no", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
-def junk_segment(text: Column, no_speech: Column, logprob: Column, fillers: tuple[str, ...] = ("um", "uh", "ah", "hmm")) -> Column:
-    """Whether a speech segment is noise: likely silence, unlikely text, hardly any text, a filler, or one word four times or more."""
-    t = F.lower(F.trim(text))
+# Sounds that are no speech, and what channels say at their videos' ends.
+FILLERS = ("ừ", "ờ", "à", "uhm", "uh", "ah", "um", "ồ", "ê", "hả", "dạ", "vâng")
+CLOSINGS = ("hãy like và subscribe", "đăng ký kênh để", "nhấn chuông thông báo", "phụ đề thực hiện bởi", "phụ đề bởi", "subtitles by", "cảm ơn các bạn đã theo dõi", "hẹn gặp lại trong các video")
+
+
+def junk_segment(text: Column, no_speech: Column, logprob: Column, fillers: tuple[str, ...] = FILLERS, closings: tuple[str, ...] = CLOSINGS) -> Column:
+    """Whether a speech segment is noise: likely silence, unlikely text, hardly any text, a filler, one word four times or more, or a closing phrase among at most twelve words.
+
+    Punctuation doesn't count. A null probability says nothing; null text is empty.
+    """
+    t = F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_\s]", "")))
     words = F.split(t, r"\s+")
-    return (no_speech > 0.65) | (logprob < -1.3) | (F.length(t) < 2) | t.isin(*fillers) | ((F.size(words) >= 4) & (F.size(F.array_distinct(words)) == 1))
+    closing = F.exists(F.array(*[F.lit(p) for p in closings]).cast("array<string>"), lambda p: F.contains(t, p)) & (F.size(words) <= 12)
+    unsure = F.coalesce(no_speech > 0.65, F.lit(False)) | F.coalesce(logprob < -1.3, F.lit(False))
+    return unsure | (F.length(t) < 2) | t.isin(*fillers) | ((F.size(words) >= 4) & (F.size(F.array_distinct(words)) == 1)) | closing
+
+
+def resolve_timestamp(frames: DataFrame, frame_map: DataFrame, fps: float = 0.0) -> DataFrame:
+    """``frames`` (video_id, path) with seconds: of the frame map (video_id, frame_id, seconds) by the name's number, else from the file name, else number / fps, else null."""
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[A-Za-z0-9]+$", "")
+    number = F.expr("try_cast(nth as bigint)")
+    f = frames.withColumn("nth", canonical_frame_id(F.regexp_replace(name, r"(?i)^keyframe[_-]?", ""))).withColumn("nth", number)
+    m = frame_map.groupBy(F.col("video_id").alias("m_video"), F.col("frame_id").cast("long").alias("m_frame")).agg(F.min("seconds").alias("m_seconds"))
+    j = f.join(m, (F.col("video_id") == F.col("m_video")) & (F.col("nth") == F.col("m_frame")), "left")
+    by_rate = F.col("nth") / float(fps) if fps > 0 else F.lit(None).cast("double")
+    return j.withColumn("seconds", F.coalesce("m_seconds", timestamp_from_name(F.col("path")), by_rate)).drop("nth", "m_video", "m_frame", "m_seconds")
 
 
 def align_segments(segments: DataFrame, frames: DataFrame, default_len: float = 2.0, sep: str = " | ") -> DataFrame:
@@ -166,10 +187,10 @@ def object_count_filter(detections: DataFrame, label: str, least: int) -> DataFr
 
 
 def order_frames(frames: DataFrame) -> DataFrame:
-    """``frames`` with ``nth`` in the video: by time, id and path if all times are known, else by id and path."""
+    """``frames`` with ``nth`` in the video: by time, id and path if all times are known, else by id and path. Ids are in natural order."""
     missing = F.max(F.col("seconds").isNull()).over(Window.partitionBy("video_id"))
     f = frames.withColumn("missing", missing)
-    w = Window.partitionBy("video_id").orderBy(F.when(~F.col("missing"), F.col("seconds")), "frame_id", "path")
+    w = Window.partitionBy("video_id").orderBy(F.when(~F.col("missing"), F.col("seconds")), frame_order_key(F.col("frame_id").cast("string")), "path")
     return f.withColumn("nth", F.row_number().over(w)).drop("missing")
 
 

@@ -4,11 +4,13 @@ A query's score against a document needs only the postings of its words, so both
 blocks, with a partial top-k in every task.
 """
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimpse.functions.text import strip_accents, word_tokens
+from glimpse.sources.readers import staged
 
 KEY = ["video_id", "frame_id"]
 
@@ -28,24 +30,39 @@ def corpus_average(docs: DataFrame) -> DataFrame:
     return doc_lengths(docs).where("n > 0").agg(F.count("*").alias("n_docs"), (F.sum("n") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
 
 
-def query_tokens(queries: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """query_id, token: a query's distinct words without stop words, or all if nothing is left."""
+def query_tokens(queries: DataFrame, stop_words: tuple[str, ...] = (), synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """query_id, token: a query's distinct words without stop words, or all if nothing is left, and the words of its phrases' synonyms."""
+    return queries.select("query_id", F.explode(_tokens(stop_words, synonyms)[2]).alias("token"))
+
+
+def _tokens(stop_words: tuple[str, ...], synonyms: dict[str, list[str]] | None) -> tuple[Column, Column, Column]:
+    """All words of ``text``, those without stop words, and the latter with synonyms' words."""
     t = word_tokens(F.col("text"))
-    kept = F.array_except(t, F.array(*[F.lit(w) for w in stop_words]).cast("array<string>"))
-    return queries.select("query_id", F.explode(F.when(F.size(kept) > 0, kept).otherwise(t)).alias("token"))
+    stop = F.array(*[F.lit(w) for w in stop_words]).cast("array<string>")
+    kept = F.array_except(t, stop)
+    own = F.when(F.size(kept) > 0, kept).otherwise(t)
+    if not synonyms:
+        return t, own, own
+    bare, none = strip_accents(F.trim("text")), F.array().cast("array<string>")
+    more = [F.when(F.contains(bare, strip_accents(F.lit(k))), word_tokens(F.lit(" ".join(v)))).otherwise(none) for k, v in synonyms.items()]
+    return t, own, F.array_union(own, F.array_except(F.flatten(F.array(*more)), stop))
 
 
-def bm25_binary(queries: DataFrame, docs: DataFrame, stop_words: tuple[str, ...] = (), k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, video_id, frame_id, score, shared (words), n (words of the document), n_query: BM25 with a term frequency of 1."""
-    q = query_tokens(queries, stop_words)
-    postings = build_postings(docs)
-    wanted = postings.join(q.select("token").distinct(), "token")  # only words that some query has
+def bm25_binary(queries: DataFrame, docs: DataFrame, stop_words: tuple[str, ...] = (), k1: float = 1.2, b: float = 0.75, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """query_id, video_id, frame_id, score, shared (words), n (words of the document), n_query: BM25 with a term frequency of 1.
+
+    Documents are cut into words once; that table is written to the shared folder, as lengths, frequencies and postings all need it.
+    """
+    q = query_tokens(queries, stop_words, synonyms)
+    words = word_tokens(F.col("text"))
+    table = staged(docs.select(*KEY, words.alias("w")).withColumn("n", F.size("w").cast("long")).where("n > 0"), "words")
+    avg = table.agg(F.count("*").alias("n_docs"), (F.sum("n") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
+    wanted = table.select(*KEY, "n", F.explode("w").alias("token")).join(q.select("token").distinct(), "token")  # only words that some query has
     df = wanted.groupBy("token").agg(F.count("*").alias("df"))
-    lengths, avg = doc_lengths(docs), corpus_average(docs)
     weight = df.crossJoin(F.broadcast(avg)).select("token", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))  # avg is one row
     nq = q.groupBy("query_id").agg(F.count("*").alias("n_query"))
-    hits = wanted.join(weight, "token").join(q, "token").groupBy("query_id", *KEY).agg(F.sum("idf").alias("idf"), F.count("*").alias("shared"))
-    hits = hits.join(lengths, KEY).join(nq, "query_id").crossJoin(F.broadcast(avg))
+    hits = wanted.join(q.join(weight, "token"), "token").groupBy("query_id", *KEY, "n").agg(F.sum("idf").alias("idf"), F.count("*").alias("shared"))
+    hits = hits.join(nq, "query_id").crossJoin(F.broadcast(avg))
     score = F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("n") / F.greatest("avgdl", F.lit(1.0))))
     return hits.select("query_id", *KEY, F.round(score, 6).alias("score"), "shared", "n", "n_query")
 
@@ -62,13 +79,9 @@ def candidate_docs(queries: DataFrame, docs: DataFrame, stop_words: tuple[str, .
     return build_postings(docs).join(q, "token").select("query_id", *KEY).distinct()
 
 
-def tier_score(q: Column, d: Column, bm: Column, shared: Column, n_doc: Column, n_query: Column) -> Column:
-    """The first tier that holds: equal, contained, containing, the same without accents, else shared words."""
-    q, d = F.lower(F.trim(q)), F.lower(F.trim(d))
-    qa, da = strip_accents(q), strip_accents(d)
+def tier_score(q: Column, d: Column, qa: Column, da: Column, words: Column) -> Column:
+    """The first tier that holds: equal, contained, containing, the same without accents (``qa``, ``da``), else ``words``, as where ``d`` is null."""
     lq, ld = F.length(q), F.length(d)
-    p, r = shared / n_query, shared / F.greatest(n_doc, F.lit(1))
-    words = F.round(F.least(0.70 + 0.20 * F.least(bm / 3, F.lit(1.0)) + 0.10 * (2 * p * r / (p + r)), F.lit(0.96)), 3)
     return (
         F.when(q == d, F.lit(1.0))
         .when(F.contains(d, q), 0.95 + 0.05 * lq / F.greatest(ld, F.lit(1)))
@@ -79,27 +92,68 @@ def tier_score(q: Column, d: Column, bm: Column, shared: Column, n_doc: Column,
     )
 
 
-def search_text(queries: DataFrame, docs: DataFrame, stop_words: tuple[str, ...] = (), limit: int = 1000, min_score: float = 0.65, fuzzy: bool = False) -> DataFrame:
-    """query_id, video_id, frame_id, score, rank: documents that share a word, by tier, cut at ``min_score``; blank queries have no hits."""
-    b = bm25_binary(queries.where(F.trim("text") != ""), docs, stop_words).withColumnRenamed("score", "bm")
-    j = b.join(queries.select("query_id", F.col("text").alias("q")), "query_id").join(docs.select(*KEY, F.col("text").alias("d")), KEY)
-    s = tier_score(F.col("q"), F.col("d"), F.col("bm"), F.col("shared"), F.col("n"), F.col("n_query"))
+def word_score(bm: Column, shared: Column, n_doc: Column, n_query: Column) -> Column:
+    p, r = shared / n_query, shared / F.greatest(n_doc, F.lit(1))
+    return F.round(F.least(0.70 + 0.20 * F.least(bm / 3, F.lit(1.0)) + 0.10 * (2 * p * r / (p + r)), F.lit(0.96)), 3)
+
+
+def search_text(queries: DataFrame, docs: DataFrame, stop_words: tuple[str, ...] = (), limit: int = 1000, min_score: float = 0.65, fuzzy: bool = False, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """query_id, video_id, frame_id, score, rank: documents that share a word with the query or its synonyms, by tier, cut at ``min_score``; blank queries have no hits.
+
+    Where one text holds the other, all words of the inner but its first and last are words of the outer: counts of words tell which
+    pairs may be such, and only for these, and for those that lengths allow to be alike, are texts looked at, which are prepared once a document.
+    """
+    asked = queries.where(F.trim("text") != "")
+    low = F.lower(F.trim("text"))
+    every, own, _ = _tokens(stop_words, synonyms)
+    q = asked.select("query_id", low.alias("q"), strip_accents(low).alias("qa"), F.size(every).alias("n_all"), F.size(own).alias("n_own"))
+    s = bm25_binary(asked, docs, stop_words, synonyms=synonyms).withColumnRenamed("score", "bm").join(q, "query_id")
+    inside = F.col("shared") >= F.col("n_own") - 2
+    around = (F.col("n") <= F.col("n_all") + 2) & (F.col("shared") >= F.col("n") - 2 - (F.col("n_all") - F.col("n_own")))
+    text = docs.select(F.col("video_id").alias("d_video"), F.col("frame_id").alias("d_frame"), low.alias("d"), strip_accents(low).alias("da"))
+    same = (F.col("video_id") == F.col("d_video")) & (F.col("frame_id") == F.col("d_frame"))
+    words = word_score(F.col("bm"), F.col("shared"), F.col("n"), F.col("n_query"))
+    a, c = F.length("qa"), F.length("da")
+    alike = (a >= 3) & (c >= 3) & (2 * F.least(a, c) >= 0.65 * (a + c)) if fuzzy else F.lit(False)  # the ratio can't be above what lengths allow
+    j = s.join(text, same & (inside | around | alike), "left")
+    score = tier_score(F.col("q"), F.col("d"), F.col("qa"), F.col("da"), words)
     if fuzzy:
-        qa, da = strip_accents(F.lower(F.trim("q"))), strip_accents(F.lower(F.trim("d")))
-        a, c = F.length(qa), F.length(da)
-        may = (a >= 3) & (c >= 3) & (2 * F.least(a, c) >= 0.65 * (a + c))  # the ratio can't be above what lengths allow
-        ratio = F.when(may, _ratio()(F.when(may, qa), F.when(may, da)))
-        s = F.greatest(s, F.when(ratio >= 0.65, F.round(0.65 + 0.22 * ratio, 3)).otherwise(F.lit(0.0)))
-    hits = j.select("query_id", *KEY, F.round(s, 3).alias("score")).where(F.col("score") >= min_score)
+        ratio = F.when(alike, _ratio()(F.when(alike, F.col("qa")), F.when(alike, F.col("da"))))
+        score = F.greatest(score, F.when(ratio >= 0.65, F.round(0.65 + 0.22 * ratio, 3)).otherwise(F.lit(0.0)))
+    hits = j.select("query_id", *KEY, F.round(score, 3).alias("score")).where(F.col("score") >= min_score)
     return ranked(hits, limit)
 
 
+# Words of queries that say nothing of the texts looked for, on screen and in speech.
+SCREEN_STOP = (
+    "đường", "duong", "phố", "pho", "quận", "quan", "phường", "phuong", "tp", "thành", "thanh", "biển", "bien", "chữ", "chu", "bảng", "bang",
+    "hiệu", "hieu", "tên", "ten", "tìm", "tim", "ảnh", "anh", "hình", "hinh", "có", "co",
+)
+SPEECH_STOP = ("tìm", "tim", "người", "nguoi", "nói", "noi", "lời", "loi", "thoại", "thoai", "âm", "am", "thanh")
+
+
+def search_ocr(queries: DataFrame, docs: DataFrame, limit: int = 1000, **how) -> DataFrame:
+    """``search_text`` in on-screen text."""
+    return search_text(queries, docs, how.pop("stop_words", SCREEN_STOP), limit, **how)
+
+
+def search_asr(queries: DataFrame, docs: DataFrame, limit: int = 1000, **how) -> DataFrame:
+    """``search_text`` in speech."""
+    return search_text(queries, docs, how.pop("stop_words", SPEECH_STOP), limit, **how)
+
+
 def _ratio():
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+        def one(x, y):
+            if x is None or y is None:
+                return None
+            m = SequenceMatcher(None, x, y)
+            return m.ratio() if m.quick_ratio() >= 0.65 else 0.0  # the quick one, by counts of letters, is never below
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     return ratio
 
@@ -120,14 +174,68 @@ def adapt_dimension(v: Column, d: int) -> Column:
     return l2_normalize(F.when(F.size(v) >= d, F.slice(v, 1, d)).otherwise(padded))
 
 
-def knn_search(queries: DataFrame, vectors: DataFrame, k: int = 1000, scope: str | None = None) -> DataFrame:
-    """query_id, video_id, frame_id, score, rank: exact cosine top-k of unit vectors (qvec against vec).
+def knn_search(queries: DataFrame, vectors: DataFrame, k: int = 1000, scope: str | None = None, block: int = 2048) -> DataFrame:
+    """query_id, video_id, frame_id, score, rank: exact cosine top-k of unit vectors (qvec against vec). Vectors of another length than a query's are not its hits.
 
-    All vectors meet the stated queries; each task keeps its own best ``k`` a query before the shuffle.
+    The stated queries go to the tasks in blocks of bounded size; a block meets each Arrow batch of vectors in one matrix product,
+    and a task sends on its own best ``k`` a query.
     """
-    v = vectors if scope is None else vectors.where(F.col("video_id") == scope)
-    j = v.select(*KEY, "vec").crossJoin(queries.select("query_id", "qvec"))
-    return ranked(j.select("query_id", *KEY, F.round(dot(F.col("qvec"), F.col("vec")), 6).alias("score")), k)
+    v = (vectors if scope is None else vectors.where(F.col("video_id") == scope)).select(*KEY, F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
+    kind = queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {kind}, {', '.join(f'{c} {v.schema[c].dataType.simpleString()}' for c in KEY)}, score double"
+    found = None
+
+    def of(held):
+        ids, width = [r[0] for r in held], np.array([len(r[1]) for r in held])
+        by_width = {int(d): (np.flatnonzero(width == d), np.array([r[1] for r in held if len(r[1]) == d], float)) for d in np.unique(width)}
+
+        def run(batches):
+            import pyarrow as pa
+
+            floor = np.full(len(ids), -np.inf)
+            best: list = [[] for _ in ids]  # score, batch, row
+            keys = []
+            for b in batches:
+                keys.append(b.select(list(KEY)))
+                size = np.asarray(pa.compute.list_value_length(b.column("vec")))
+                for d, (who, q) in by_width.items():
+                    at = np.flatnonzero(size == d)
+                    if not len(at):
+                        continue
+                    s = np.round(q @ np.asarray(b.column("vec").take(pa.array(at)).flatten()).reshape(len(at), d).T, 6)
+                    for r, i in enumerate(who):
+                        best[i].append((s[r][keep := np.flatnonzero(s[r] >= floor[i])], np.full(len(keep), len(keys) - 1), at[keep]))
+                        if sum(len(x[0]) for x in best[i]) > 4 * k + 1000:
+                            best[i] = [_top(best[i], k)]
+                            floor[i] = best[i][0][0].min()
+            for i, x in enumerate(best):
+                if not x:
+                    continue
+                s, n, row = _top(x, k)
+                for j in np.unique(n):
+                    m = n == j
+                    out = keys[j].take(pa.array(row[m]))
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * int(m.sum())), *out.columns, pa.array(s[m])], names=["query_id", *KEY, "score"])
+
+        return v.mapInArrow(run, schema)
+
+    held = []
+    for r in queries.select("query_id", F.col("qvec").cast("array<double>").alias("qvec")).where("qvec is not null").toLocalIterator():
+        held.append((r[0], r[1]))
+        if len(held) == block:
+            found, held = of(held) if found is None else found.unionByName(of(held)), []
+    if held or found is None:
+        found = of(held) if found is None else found.unionByName(of(held))
+    return ranked(found.withColumn("score", F.round("score", 6)), k)
+
+
+def _top(parts: list, k: int):
+    """The ``k`` best by score, and all that are as good as the last."""
+    s, n, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if len(s) > k:
+        keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+        s, n, row = s[keep], n[keep], row[keep]
+    return s, n, row
 
 
 def lookup_vectors(ids: DataFrame, vectors: DataFrame) -> DataFrame:

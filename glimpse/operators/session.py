@@ -19,7 +19,8 @@ def pending_work(videos: DataFrame, done: DataFrame) -> DataFrame:
 def latest_complete_block(lines: DataFrame) -> DataFrame:
     """line_no, video_id, text of each video's last block that ended with ``done`` and has no bad line.
 
-    ``lines``: log, line_no, video_id (null in bad lines), text, done. A block is a run of lines of one video; it ends at a done line, at another video, or at the log's end.
+    ``lines``: log (a file), line_no, video_id (null in bad lines), text, done. A block is a run of lines of one video; it ends at a done line,
+    at another video, or at the log's end. Each log is one sorted run; a video's last block is the one of the last log by name.
     """
     w = Window.partitionBy("log").orderBy("line_no")
     new = F.when(F.lag("line_no").over(w).isNull() | ~F.col("video_id").eqNullSafe(F.lag("video_id").over(w)) | F.coalesce(F.lag("done").over(w), F.lit(False)), 1).otherwise(0)

@@ -10,7 +10,7 @@ from glimpse.operators import fusion as fu
 from glimpse.operators import search as se
 from glimpse.operators import session as ss
 from glimpse.plans import fixtures as fx
-from glimpse.plans.catalog import _HYB, _KNN, _RRF, STOP, _branches, query
+from glimpse.plans.catalog import _KNN, hybrid, hybrid_sql, query
 from glimpse.plans.fixtures import ctes
 from glimpse.plans.understanding import _LOG, _STAGES, log
 
@@ -55,18 +55,11 @@ def rank_text_candidates(spark, d):
     return fr.rank_text_candidates(c).withColumn("rank", F.col("rank").cast("long"))
 
 
-_W = "case when branch = 'o' then (case when query_id % 2 = 0 and query_id in (select query_id from qx where not contains(text, chr(10))) then 1.15::double else 0.9::double end) else 1.0::double end"
-
-
-@query(_HYB + f", rf0 as (select query_id, video_id, frame_id, rank, 'v' as branch from kr1 where query_id in (select query_id from qx) union all select query_id, video_id, frame_id, rank, 'o' from t1), rf as (select query_id, video_id, frame_id, round(sum({_W}/(60+rank)), 6) as score from rf0 group by all) select * from (select *, row_number() over (partition by query_id order by score desc, video_id, frame_id) as rank from rf) where rank <= 50")
+@query(hybrid_sql("(query_id % 2 = 0 and not contains(text, chr(10)))"))
 def hybrid_search_keywords(spark, d):
     """Every other query of one line quotes its words."""
     text = F.when((F.col("query_id") % 2 == 0) & ~F.contains("text", F.lit("\n")), F.concat(F.lit('"'), "text", F.lit('"'))).otherwise(F.col("text"))
-    q = ql.decompose(fx.queries(spark, d).withColumn("text", text))
-    b = _branches(spark, d)
-    words = q.select("query_id", F.when(F.size("on_screen") > 0, F.array_join("on_screen", " ")).otherwise(F.col("text")).alias("text"))
-    ocr = se.search_text(words, fx.docs(spark, d), STOP, limit=100)
-    return fu.rrf_by_keywords(b["visual"], ocr, ocr.limit(0), q, limit=50).withColumn("rank", F.col("rank").cast("long"))
+    return hybrid(spark, d, fx.queries(spark, d).withColumn("text", text))
 
 
 @query(ctes("vx", "qv") + _KNN + ", s as (select query_id, video_id, frame_id, round(score + 1.0::double/(60+rank) + (case when contains(lower(video_id)||' '||cast(frame_id as varchar), 'src'||cast(query_id % 20 as varchar)) then 0.05::double else 0 end), 6) as score from kr where rank <= 500) select * from (select *, row_number() over (partition by query_id order by score desc, video_id, frame_id) as rank from s) where rank <= 10")
@@ -98,14 +91,15 @@ def refine_search(spark, d):
 
 _QA = ctes("vx", "dx", "qx") + """, vq as (select q.query_id, v.video_id, q.text, v.vec as qvec from qx q join vx v on v.vec_id = q.query_id),
 nh as (select * from (select query_id, video_id, frame_id, score, row_number() over (partition by query_id order by score desc, video_id, frame_id) as r from (select query_id, vq.video_id, frame_id, round(list_dot_product(qvec, vec), 6) as score from vq join vx using (video_id))) where r <= 20),
-th as (select query_id, video_id, frame_id, 0.99::double as score from vq join dx using (video_id) where len(list_filter(string_split(lower(vq.text), ' '), lambda w: length(w) >= 3 and contains(lower(dx.text), w))) > 0 and (query_id, video_id, frame_id) not in (select query_id, video_id, frame_id from nh)),
+th as (select query_id, video_id, frame_id, case when doc_id % 3 = 0 then 0.98::double else 0.99::double end as score from vq join dx using (video_id) where len(list_filter(string_split_regex(lower(vq.text), '\\s+'), lambda w: length(w) >= 3 and contains(lower(dx.text), w))) > 0 and (query_id, video_id, frame_id) not in (select query_id, video_id, frame_id from nh)),
 vh as (select * from (select *, row_number() over (partition by query_id order by score desc, video_id, frame_id) as rank from (select query_id, video_id, frame_id, score from nh union all select * from th)) where rank <= 20)"""
 
 
 def _video_qa(spark, d):
     v = fx.vectors(spark, d)
     q = fx.queries(spark, d).join(v.select(F.col("vec_id").alias("query_id"), "video_id", F.col("vec").alias("qvec")), "query_id")
-    return q, se.video_qa(q, v, fx.docs(spark, d), fx.docs(spark, d).limit(0), 20)
+    x = fx.docs(spark, d)
+    return q, se.video_qa(q, v, x.where("doc_id % 3 <> 0"), x.where("doc_id % 3 = 0"), 20)  # a third of the documents play speech
 
 
 @query(_QA + " select * from vh")

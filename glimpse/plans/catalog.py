@@ -46,9 +46,57 @@ def word_tokens(spark, d):
     return fx.docs(spark, d).select("doc_id", F.size(t).cast("long").alias("n"), F.nullif(F.array_join(F.array_sort(t), " "), F.lit("")).alias("words"))
 
 
-@query("select doc_id, trim(regexp_replace(text, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g')) as clean from documents")
+_SPELL = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in tx.SPELLINGS.items()) + "}"
+
+
+@query(f"""with c as (select doc_id, trim(regexp_replace(coalesce(text, '')||'  Duong NGUOI luong x_duong', '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g')) as c from documents),
+w as (select doc_id, unnest(regexp_extract_all(c, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+')) as w, generate_subscripts(regexp_extract_all(c, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), 1) as i from c),
+f as (select *, {_SPELL}[lower(w)] as f from w)
+select doc_id, string_agg(case when f is null then w when w = upper(w) then upper(f) when w[1] = upper(w[1]) then upper(f[1])||f[2:] else f end, '' order by i) as clean from f group by 1""")
 def normalize_text(spark, d):
-    return fx.docs(spark, d).select("doc_id", tx.collapse_spaces(F.col("text")).alias("clean"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("  Duong NGUOI luong x_duong"))
+    return fx.docs(spark, d).select("doc_id", tx.normalize_text(text).alias("clean"))
+
+
+@query(ctes("kf") + ", n as (select event_id, case when event_id % 3 = 0 then event_type else 'keyframe_00'||cast(frame_id as varchar) end as name, frame_id from kf) select event_id, event_id % 3 = 0 as named, case when event_id % 3 > 0 then frame_id::double end as number, case when event_id % 3 = 0 then name end as name from n")
+def frame_order_key(spark, d):
+    name = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.concat(F.lit("keyframe_00"), F.col("frame_id").cast("string")))
+    k = fx.keyframes(spark, d).select("event_id", tx.frame_order_key(name).alias("k"))
+    return k.select("event_id", "k.named", F.col("k.number").cast("double").alias("number"), "k.name")
+
+
+@query(ctes("kf") + """, m as (select video_id, frame_id, min(seconds) as s from kf where event_id % 3 = 0 group by all)
+select event_id, coalesce(m.s, case when event_id % 3 = 1 then event_id / 1000.0::double end, kf.frame_id / 25.0::double) as seconds from kf left join m on m.video_id = kf.video_id and m.frame_id = kf.frame_id""")
+def resolve_timestamp(spark, d):
+    """A third of the frames is on the map; of others, some names hold the time, and the rest goes by 25 frames a second."""
+    k = fx.keyframes(spark, d)
+    number = F.col("frame_id").cast("string")
+    path = F.concat(F.lit("a/"), F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("x_"), F.col("event_id").cast("string"), F.lit("ms/keyframe_"))).otherwise(F.lit("keyframe_")), number, F.lit(".webp"))
+    path = F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("a/keyframe_"), number, F.lit(".webp"))).otherwise(path)
+    frames = k.select("event_id", "video_id", path.alias("path"))
+    on_map = k.where("event_id % 3 = 0").select("video_id", "frame_id", "seconds")
+    timed = fr.resolve_timestamp(frames.where("event_id % 3 <> 1"), on_map, 25.0)
+    # a name that holds both its number and its time, as some extractors write it
+    named = fr.resolve_timestamp(k.where("event_id % 3 = 1").select("event_id", "video_id", "frame_id", F.concat(F.lit("b/f"), F.col("event_id").cast("string"), F.lit("ms.webp")).alias("path")), on_map)
+    named = named.join(on_map.groupBy("video_id", "frame_id").agg(F.min("seconds").alias("m")), ["video_id", "frame_id"], "left").withColumn("seconds", F.coalesce("m", "seconds"))
+    return timed.select("event_id", "seconds").unionByName(named.select("event_id", "seconds"))
+
+
+@query(ctes("kf") + """ select event_id, case when event_id % 4 = 3 then 'L1_V2' else video_id end as video, frame_id as frame from kf""")
+def extract_video_frame(spark, d):
+    k, e = fx.keyframes(spark, d), F.col("event_id") % 4
+    address = F.concat(F.lit("http://localhost:8000/keyframes/"), "video_id", F.lit("/keyframes/keyframe_"), F.col("frame_id").cast("string"), F.lit(".webp"))
+    coded = F.concat(F.lit("x/L1_V2/keyframe_"), F.col("frame_id").cast("string"), F.lit(".webp"))
+    none = F.lit(None).cast("string")
+    item = tx.video_and_frame(F.when(e == 0, F.concat("video_id", F.lit(".mp4"))).when(e == 1, "localhost:8000"), F.when(e == 0, F.col("frame_id").cast("string")).otherwise("0"), F.when(e == 3, coded).when(e > 0, address), F.when(e == 2, F.concat("video_id", F.lit("-1.50"))), none)
+    return k.select("event_id", item.alias("i")).select("event_id", "i.video", "i.frame")
+
+
+@query(ctes("kf") + " select event_id, case when event_id % 3 = 0 then 2.5::double when event_id % 3 = 1 then value else 1.0::double end as score, case when event_id % 2 = 0 then event_id else round(frame_id/25.0::double*1000)::bigint end as ms from kf")
+def display_hit(spark, d):
+    e, none = F.col("event_id"), F.lit(None).cast("double")
+    score = tx.display_score(F.when(e % 3 == 0, F.lit(2.5)), F.when(e % 3 == 1, F.col("value")), F.lit(1.0))
+    return fx.keyframes(spark, d).select("event_id", score.alias("score"), tx.display_ms(F.when(e % 2 == 0, e), none, F.col("frame_id")).alias("ms"))
 
 
 @query("select doc_id, round(case when length(text)=0 then 0.0::double else 0.65::double*length(regexp_replace(text, '[^\\p{L}\\p{N}\\s.,:;!?''\\-_/()%+&]', '', 'g'))/length(text) + 0.35::double*least(1.0::double, length(text)/12.0::double) end, 6) as quality from documents")
@@ -174,11 +222,18 @@ def text_event_id(spark, d):
     return fr.text_event_id(fx.docs(spark, d), "lang").select("video_id", "frame_id", "event_no")
 
 
-@query("with c as (select conv_id, turn, lower(trim(text)) as t, (conv_id*7%100)/100.0::double as ns, -(turn*13%20)/10.0::double as lp from conversations), w as (select *, regexp_split_to_array(t, '\\s+') as ws from c) select conv_id, turn, ns > 0.65::double or lp < -1.3::double or length(t) < 2 or t in ('um','uh','ah','hmm') or (len(ws) >= 4 and len(list_distinct(ws)) = 1) as junk from w")
+_SPOKEN = "case (conv_id + turn) % 5 when 0 then 'Uhm...' when 1 then 'Subtitles by, '||string_split(text, ' ')[1] when 2 then 'va, va! va va' when 3 then text||' phụ đề bởi' else text end"
+
+
+@query(f"""with c as (select conv_id, turn, lower(trim(regexp_replace(coalesce({_SPOKEN}, ''), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'))) as t, (conv_id*7%100)/100.0::double as ns, -(turn*13%20)/10.0::double as lp from conversations),
+w as (select *, regexp_split_to_array(t, '\\s+') as ws from c) select conv_id, turn, ns > 0.65::double or lp < -1.3::double or length(t) < 2 or t in ('ừ', 'ờ', 'à', 'uhm', 'uh', 'ah', 'um', 'ồ', 'ê', 'hả', 'dạ', 'vâng') or (len(ws) >= 4 and len(list_distinct(ws)) = 1)
+or (len(ws) <= 12 and len(list_filter(['hãy like và subscribe', 'đăng ký kênh để', 'nhấn chuông thông báo', 'phụ đề thực hiện bởi', 'phụ đề bởi', 'subtitles by', 'cảm ơn các bạn đã theo dõi', 'hẹn gặp lại trong các video'], lambda p: contains(t, p))) > 0) as junk from w""")
 def junk_segment_filter(spark, d):
-    c = fx.table(spark, d, "conversations")
-    junk = fr.junk_segment(F.col("text"), (F.col("conv_id") * 7 % 100) / 100.0, -(F.col("turn") * 13 % 20) / 10.0)
-    return c.select("conv_id", "turn", junk.alias("junk"))
+    """Turns dressed as speech: fillers, closing phrases in short and in long ones, one word over and over."""
+    k = (F.col("conv_id") + F.col("turn")) % 5
+    text = F.when(k == 0, "Uhm...").when(k == 1, F.concat(F.lit("Subtitles by, "), F.split("text", " ")[0])).when(k == 2, "va, va! va va").when(k == 3, F.concat("text", F.lit(" phụ đề bởi"))).otherwise(F.col("text"))
+    junk = fr.junk_segment(text, (F.col("conv_id") * 7 % 100) / 100.0, -(F.col("turn") * 13 % 20) / 10.0)
+    return fx.table(spark, d, "conversations").select("conv_id", "turn", junk.alias("junk"))
 
 
 def _segment_frames(spark, d):
@@ -247,31 +302,55 @@ def align_vectors_by_rank(spark, d):
     return fr.align_vectors_by_rank(fx.docs(spark, d).withColumn("name", F.lpad(F.col("frame_id").cast("string"), 9, "0")), v)
 
 
-@query(ctes("kf") + ", n as (select video_id, frame_id, row_number() over (partition by video_id order by frame_id) as r from kf), a as (select k.video_id, k.frame_id as anchor, n.r from kf k join n using (video_id, frame_id) where event_id % 50 = 0) select a.video_id, anchor, n.frame_id, n.r - a.r as \"offset\" from a join n on n.video_id = a.video_id and n.r between a.r-2 and a.r+2")
+@query(ctes("kf") + ", n as (select video_id, frame_id, row_number() over (partition by video_id order by frame_id) as r from kf), a as (select k.video_id, k.frame_id as anchor, n.r from kf k join n using (video_id, frame_id)) select a.video_id, anchor, n.frame_id, n.r - a.r as \"offset\" from a join n on n.video_id = a.video_id and n.r between a.r-2 and a.r+2")
 def neighbor_frames(spark, d):
     k = fx.keyframes(spark, d)
-    return fr.neighbour_frames(k, k.where("event_id % 50 = 0").select("video_id", "frame_id"), 2)
+    return fr.neighbour_frames(k, k.select("video_id", "frame_id"), 2)
 
 
 # --- search -----------------------------------------------------------------------------------------------------------
 
-_POST = f", po as (select video_id, frame_id, unnest({_TOK}) as token from dx), dl as (select video_id, frame_id, len({_TOK}) as n from dx), av as (select count(*) as n_docs, sum(n)::double/greatest(count(*),1) as avgdl from dl where n > 0)"
-_QT = f", qt0 as (select query_id, {_TOK} as t from qx), qt as (select query_id, unnest(case when len(list_filter(t, lambda x: x not in ('the','of','and','de','la'))) > 0 then list_filter(t, lambda x: x not in ('the','of','and','de','la')) else t end) as token from qt0), nq as (select query_id, count(*) as n_query from qt group by 1)"
-_BM = ", df as (select token, count(*) as df from po where token in (select token from qt) group by 1), bm as (select qt.query_id, po.video_id, po.frame_id, sum(ln((n_docs-df+0.5::double)/(df+0.5::double)+1)) as idf, count(*) as shared from qt join po using (token) join df using (token), av group by all), bs as (select query_id, video_id, frame_id, round(idf*2.2::double/(1+1.2::double*(1-0.75::double+0.75::double*n/greatest(avgdl,1.0::double))), 6) as score, shared, n, n_query from bm join dl using (video_id, frame_id) join nq using (query_id), av)"
-_LEX = ctes("dx", "qx") + _POST + _QT + _BM
+#: A small dictionary over the test tables' words; users bring their own.
+SYN = {"the": ["that", "one"], "una": ["un"], "und": ["mit der"], "les": ["des"]}
+
+
+def _lex(p: str, q: str, x: str, stop: tuple[str, ...], syn: dict[str, list[str]] | None = None) -> str:
+    """The tables of a lexical search of queries ``q`` in documents ``x``, their names with ``p`` before them."""
+    words = "(" + ", ".join(f"'{w}'" for w in stop) + ")"
+    more = ", ".join(f"case when contains(lower(strip_accents(lower(trim(text)))), '{k}') then [{', '.join(repr(w) for w in dict.fromkeys(' '.join(v).split()))}] else [] end" for k, v in (syn or {}).items())
+    return f""", {p}po as (select video_id, frame_id, unnest({_TOK}) as token from {x}), {p}dl as (select video_id, frame_id, len({_TOK}) as n from {x}), {p}av as (select count(*) as n_docs, sum(n)::double/greatest(count(*),1) as avgdl from {p}dl where n > 0),
+{p}qt0 as (select query_id, {_TOK} as t, list_filter(flatten([[]::varchar[]{', ' + more if more else ''}]), lambda x: x not in {words}) as more from {q}),
+{p}qw as (select query_id, case when len(list_filter(t, lambda x: x not in {words})) > 0 then list_filter(t, lambda x: x not in {words}) else t end as own, more from {p}qt0),
+{p}qt as (select query_id, unnest(list_distinct(list_concat(own, more))) as token from {p}qw), {p}nq as (select query_id, count(*) as n_query from {p}qt group by 1),
+{p}df as (select token, count(*) as df from {p}po where token in (select token from {p}qt) group by 1),
+{p}bm as (select t.query_id, o.video_id, o.frame_id, sum(ln((n_docs-df+0.5::double)/(df+0.5::double)+1)) as idf, count(*) as shared from {p}qt t join {p}po o using (token) join {p}df using (token), {p}av group by all),
+{p}bs as (select query_id, video_id, frame_id, round(idf*2.2::double/(1+1.2::double*(1-0.75::double+0.75::double*n/greatest(avgdl,1.0::double))), 6) as score, shared, n, n_query from {p}bm join {p}dl using (video_id, frame_id) join {p}nq using (query_id), {p}av),
+{p}xp as materialized (select video_id, frame_id, lower(trim(text)) as d, lower(strip_accents(lower(trim(text)))) as da from {x}), {p}qp as materialized (select query_id, lower(trim(text)) as q, lower(strip_accents(lower(trim(text)))) as qa from {q}),
+{p}ta as (select b.*, q, qa, d, da, shared::double/n_query as p, shared::double/greatest(n,1) as r from {p}bs b join {p}qp using (query_id) join {p}xp using (video_id, frame_id)),
+{p}ts as (select query_id, video_id, frame_id, round(case when q = d then 1.0::double when contains(d, q) then 0.95::double+0.05::double*length(q)/greatest(length(d),1)
+ when length(d) >= 3 and contains(q, d) then 0.90::double+0.05::double*length(d)/greatest(length(q),1)
+ when contains(da, qa) then 0.88::double+0.08::double*length(qa)/greatest(length(da),1)
+ when length(da) >= 3 and contains(qa, da) then 0.82::double+0.08::double*length(da)/greatest(length(qa),1)
+ else round(least(0.70::double+0.20::double*least(score/3,1.0::double)+0.10::double*(2*p*r/(p+r)), 0.96::double),3) end, 3) as s from {p}ta),
+{p}tr as (select query_id, video_id, frame_id, s as score, row_number() over (partition by query_id order by s desc, video_id, frame_id) as rank from {p}ts where s >= 0.65::double)"""
+
+
+_POST = _lex("", "qx", "dx", STOP)
+_LEX = ctes("dx", "qx") + _POST
+_TIER = _QT = _BM = ""
 
 
-@query(ctes("dx") + _POST + " select * from po")
+@query(_LEX + " select * from po")
 def build_postings(spark, d):
     return se.build_postings(fx.docs(spark, d))
 
 
-@query(ctes("dx") + _POST + " select video_id, frame_id, n from dl")
+@query(_LEX + " select video_id, frame_id, n from dl")
 def doc_lengths(spark, d):
     return se.doc_lengths(fx.docs(spark, d).where("text is not null"))
 
 
-@query(ctes("dx") + _POST + " select n_docs, round(avgdl, 6) as avgdl from av")
+@query(_LEX + " select n_docs, round(avgdl, 6) as avgdl from av")
 def corpus_avgdl(spark, d):
     return se.corpus_average(fx.docs(spark, d)).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
@@ -286,19 +365,15 @@ def candidate_docs(spark, d):
     return se.candidate_docs(fx.queries(spark, d), fx.docs(spark, d), STOP)
 
 
-_TIER = """, tj as (select bs.*, lower(trim(q.text)) as q, lower(trim(x.text)) as d from bs join qx q using (query_id) join dx x using (video_id, frame_id)),
-ta as (select *, lower(strip_accents(q)) as qa, lower(strip_accents(d)) as da, shared::double/n_query as p, shared::double/greatest(n,1) as r from tj),
-ts as (select query_id, video_id, frame_id, round(case when q = d then 1.0::double when contains(d, q) then 0.95::double+0.05::double*length(q)/greatest(length(d),1)
- when length(d) >= 3 and contains(q, d) then 0.90::double+0.05::double*length(d)/greatest(length(q),1)
- when contains(da, qa) then 0.88::double+0.08::double*length(qa)/greatest(length(da),1)
- when length(da) >= 3 and contains(qa, da) then 0.82::double+0.08::double*length(da)/greatest(length(qa),1)
- else round(least(0.70::double+0.20::double*least(score/3,1.0::double)+0.10::double*(2*p*r/(p+r)), 0.96::double),3) end, 3) as s from ta),
-tr as (select query_id, video_id, frame_id, s as score, row_number() over (partition by query_id order by s desc, video_id, frame_id) as rank from ts where s >= 0.65::double)"""
+@query(ctes("dx", "qx") + _lex("", "qx", "dx", STOP, SYN) + " select * from tr where rank <= 1000")
+def search_ocr(spark, d):
+    return se.search_ocr(fx.queries(spark, d), fx.docs(spark, d), stop_words=STOP, synonyms=SYN).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(_LEX + _TIER + " select * from tr where rank <= 1000")
-def search_ocr(spark, d):
-    return se.search_text(fx.queries(spark, d), fx.docs(spark, d), STOP).withColumn("rank", F.col("rank").cast("long"))
+@query(ctes("dx", "qx") + _lex("", "qx", "dx", se.SPEECH_STOP, SYN) + " select * from tr where rank <= 1000")
+def search_asr(spark, d):
+    """Documents stand for speech, as segments are too short to hold a query's words."""
+    return se.search_asr(fx.queries(spark, d), fx.docs(spark, d), synonyms=SYN).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query()
@@ -333,10 +408,10 @@ def adapt_dimension(spark, d):
     return fx.vectors(spark, d).select("vec_id", F.round(a[0], 6).alias("first"), F.round(a[31], 6).alias("last"), F.size(a).cast("long").alias("size"))
 
 
-@query(ctes("vx") + " select upper(video_id)||'_'||cast(frame_id as varchar) as id, video_id, frame_id, round(vec[1], 6) as first from vx where vec_id % 7 = 0")
+@query(ctes("vx") + " select upper(video_id)||'_'||cast(frame_id as varchar) as id, video_id, frame_id, round(vec[1], 6) as first from vx")
 def lookup_vectors(spark, d):
     v = fx.vectors(spark, d)
-    ids = v.where("vec_id % 7 = 0").select(F.concat(F.upper("video_id"), F.lit("_"), F.col("frame_id").cast("string")).alias("id"))
+    ids = v.select(F.concat(F.upper("video_id"), F.lit("_"), F.col("frame_id").cast("string")).alias("id"))
     return se.lookup_vectors(ids, v).select("id", "video_id", "frame_id", F.round(F.col("vec")[0], 6).alias("first"))
 
 
@@ -378,9 +453,28 @@ def _branches(spark, d):
     return {"visual": knn, "ocr": se.search_text(fx.queries(spark, d), fx.docs(spark, d), STOP, limit=100)}
 
 
-@query(_HYB + _RRF.format(a="1.0", b="0.9") + " select * from rr where rank <= 50")
+def hybrid_sql(quoted: str) -> str:
+    """Fusing of nearest frames, on-screen text and speech; ``quoted`` tells which queries name their words for on-screen text."""
+    asked = f"case when {quoted} then '\"'||text||'\"' else text end"
+    return ctes("dx", "qx", "vx", "qv") + f""", sx_ as (select * from dx where doc_id % 3 = 0), ox_ as (select * from dx where doc_id % 3 <> 0), qs_ as (select query_id, {asked} as text from qx), qq as (select query_id, {quoted} as quoted from qx)""" + _lex("", "qx", "ox_", STOP, SYN) + _lex("s", "qs_", "sx_", se.SPEECH_STOP, SYN) + _KNN + """,
+hb as (select query_id // 25 as query_id, video_id, frame_id, rank, 1.0::double as w from kr where rank <= 50 and query_id // 25 in (select query_id from qx) union all select query_id, video_id, frame_id, rank, case when quoted then 1.15::double else 0.9::double end from tr join qq using (query_id) where rank <= 50 union all select query_id, video_id, frame_id, rank, 0.85::double from str where rank <= 50),
+hw as (select distinct query_id from (select query_id from tr union all select query_id from str)),
+hf as (select query_id, video_id, frame_id, round(sum(w/(60+rank)), 6) as score from hb where query_id in (select query_id from hw) group by all)
+select query_id, video_id, frame_id, score, rank, 'rrf' as score_kind from (select *, row_number() over (partition by query_id order by score desc, video_id, frame_id) as rank from hf) where rank <= 50
+union all select k.query_id // 25, video_id, frame_id, score, rank, 'cosine' from kr k where rank <= 50 and k.query_id // 25 in (select query_id from qx) and k.query_id // 25 not in (select query_id from hw)"""
+
+
+def hybrid(spark, d, queries):
+    """A third of the documents play speech, the others on-screen text."""
+    x = fx.docs(spark, d)
+    v = fx.query_vectors(spark, d).withColumn("query_id", F.floor(F.col("query_id") / 25).cast("long"))
+    h = fu.hybrid_search(queries, v, fx.vectors(spark, d), x.where("doc_id % 3 <> 0"), x.where("doc_id % 3 = 0"), 50, {"stop_words": STOP, "synonyms": SYN}, {"synonyms": SYN})
+    return h.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(hybrid_sql("false"))
 def hybrid_search(spark, d):
-    return fu.rrf(_branches(spark, d), {"visual": 1.0, "ocr": 0.9}, limit=50).withColumn("rank", F.col("rank").cast("long"))
+    return hybrid(spark, d, fx.queries(spark, d))
 
 
 @query(_HYB + _RRF.format(a="1.0", b="1.0") + " select * from rr where rank <= 100")
@@ -428,10 +522,10 @@ def group_by_video(spark, d):
     return h.select("query_id", "video_id", "frame_id", *[F.col(c).cast("long").alias(c) for c in ("rank", "video_place", "place")])
 
 
-@query(ctes("kf") + ", t as (select video_id, seconds + 1000 as \"at\" from kf where event_id % 20 = 0), c as (select t.video_id, \"at\", frame_id, row_number() over (partition by t.video_id, \"at\" order by abs(seconds-\"at\"), seconds, frame_id) as r from t join kf using (video_id)) select video_id, \"at\", frame_id from c where r = 1")
+@query(ctes("kf") + ", t as (select video_id, seconds + 1000 as \"at\" from kf), c as (select t.video_id, \"at\", frame_id, row_number() over (partition by t.video_id, \"at\" order by abs(seconds-\"at\"), seconds, frame_id) as r from t join kf using (video_id)) select video_id, \"at\", frame_id from c where r = 1")
 def nearest_keyframe(spark, d):
     k = fx.keyframes(spark, d)
-    return fu.nearest_keyframe(k, k.where("event_id % 20 = 0").select("video_id", (F.col("seconds") + 1000).alias("at")))
+    return fu.nearest_keyframe(k, k.select("video_id", (F.col("seconds") + 1000).alias("at")))
 
 
 @query(_LEX + _TIER + " select query_id, video_id, frame_id, rank from tr where rank <= case when query_id % 2 = 0 then 200 else 80 end")
@@ -461,13 +555,13 @@ def pending_work(spark, d):
     return ss.pending_work(k.select("video_id").distinct(), k.where("value > 480"))
 
 
-@query(ctes("kf") + """, l as (select 1 as log, event_id as line_no, case when event_id % 97 = 0 then null else 'V'||cast((event_id // 6) % 40 as varchar) end as video_id, event_type as text, event_id % 6 = 5 and event_id % 4 <> 0 as done from kf),
+@query(ctes("kf") + """, l as (select video_id as log, event_id as line_no, case when event_id % 97 = 0 then null else 'V'||cast((event_id // 6) % 40 as varchar) end as video_id, event_type as text, event_id % 6 = 5 and event_id % 4 <> 0 as done from kf),
 n as (select *, case when lag(line_no) over w is null or video_id is distinct from lag(video_id) over w or coalesce(lag(done) over w, false) then 1 else 0 end as new from l window w as (partition by log order by line_no)),
 b as (select *, sum(new) over (partition by log order by line_no) as block from n), g as (select log, block, video_id, max(line_no) as e from b where video_id is not null group by all having bool_or(done)),
-m as (select video_id, arg_max(block, e) as block from g group by 1) select video_id, line_no, text from b join m using (video_id, block) where not done""")
+m as (select video_id, log, block from (select *, row_number() over (partition by video_id order by log desc, e desc) as r from g) where r = 1) select video_id, line_no, text from b join m using (video_id, log, block) where not done""")
 def latest_complete_block(spark, d):
     e = F.col("event_id")
-    l = fx.keyframes(spark, d).select(F.lit(1).alias("log"), e.alias("line_no"), F.when(e % 97 != 0, F.concat(F.lit("V"), (F.floor(e / 6) % 40).cast("string"))).alias("video_id"), F.col("event_type").alias("text"), ((e % 6 == 5) & (e % 4 != 0)).alias("done"))
+    l = fx.keyframes(spark, d).select(F.col("video_id").alias("log"), e.alias("line_no"), F.when(e % 97 != 0, F.concat(F.lit("V"), (F.floor(e / 6) % 40).cast("string"))).alias("video_id"), F.col("event_type").alias("text"), ((e % 6 == 5) & (e % 4 != 0)).alias("done"))
     return ss.latest_complete_block(l)
 
 
@@ -527,10 +621,10 @@ def kis_rows(spark, d):
     return ss.kis_rows(_selection(spark, d)).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-@query(ctes("kf") + _SEL + """, a as (select query_id, seq, video_id, frame_id, unnest(case when seq % 3 = 0 then ['a"1', 'b'] else ['c'] end) as answer, unnest(case when seq % 3 = 0 then [0, 1] else [0] end) as i from se where query_id < 4),
+@query(ctes("kf") + _SEL + """, a as (select query_id, seq, video_id, frame_id, unnest(case when seq % 3 = 0 then ['a"1', 'b'] else ['c'] end) as answer, unnest(case when seq % 3 = 0 then [0, 1] else [0] end) as i from se),
 l as (select query_id, video_id||','||cast(frame_id as varchar)||',"'||replace(answer, '"', '""')||'"' as line, min(seq*10+i) as o from a group by all) select query_id, row_number() over (partition by query_id order by o) as line_no, line from l""")
 def qa_rows(spark, d):
-    s = _selection(spark, d).where("query_id < 4").withColumn("answers", F.when(F.col("seq") % 3 == 0, 'a"1 | b;')).withColumn("common", F.lit("c"))
+    s = _selection(spark, d).withColumn("answers", F.when(F.col("seq") % 3 == 0, 'a"1 | b;')).withColumn("common", F.lit("c"))
     return ss.qa_rows(s).withColumn("line_no", F.col("line_no").cast("long"))
 
 

@@ -77,15 +77,33 @@ def list_media(spark, d):
     return rd.list_media(spark, path, ("txt",)).agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"))
 
 
-@query(ctes("kf") + ", s as (select event_id % 20 as query_id, event_id as seq, video_id, frame_id % 5 as frame_id from kf), o as (select query_id, video_id, frame_id, min(seq) as seq from s group by all), n as (select query_id, row_number() over (partition by query_id order by seq) as line_no, video_id||','||cast(frame_id as varchar) as line from o) select query_id, count(*) as n_lines from n where line_no <= 100 group by 1")
+@query(ctes("kf") + ", s as (select event_id % 20 as query_id, event_id as seq, video_id, frame_id % 5 as frame_id from kf), o as (select query_id, video_id, frame_id, min(seq) as seq from s group by all), n as (select query_id, row_number() over (partition by query_id order by seq) as line_no, video_id||','||cast(frame_id as varchar) as line from o) select query_id, line from n where line_no <= 100")
 def write_submission(spark, d):
     path = rd.scratch(spark, "submission")
     k = fx.keyframes(spark, d).select((F.col("event_id") % 20).alias("query_id"), F.col("event_id").alias("seq"), "video_id", (F.col("frame_id") % 5).alias("frame_id"))
     ss.write_submission(ss.kis_rows(k), path)
-    return spark.read.text(path).groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.count("*").alias("n_lines"))
+    return spark.read.text(path).select(F.col("query_id").cast("long").alias("query_id"), F.col("value").alias("line"))
 
 
-@query(ctes("sx") + _SEG + " and length(trim(text, ' ')) >= 2")
+@query("select doc_id, '{not json '||cast(doc_id as varchar) as line from documents")
+def unreadable_lines(spark, d):
+    """Every document gives one good line and one bad one."""
+    path = rd.scratch(spark, "bad")
+    x = fx.docs(spark, d)
+    good = x.select(F.to_json(F.struct("video_id", "frame_id", F.coalesce("text", F.lit("")).alias("text"))).alias("value"))
+    good.unionByName(x.select(F.concat(F.lit("{not json "), F.col("doc_id").cast("string")).alias("value"))).write.text(path)
+    return rd.unreadable_lines(spark, path).select(F.regexp_extract("line", "([0-9]+)$", 1).cast("long").alias("doc_id"), "line")
+
+
+@query("select source||'/keyframes/keyframe_'||cast(doc_id+1 as varchar)||'.webp' as key, source as video_id, doc_id+1 as frame_id, trim(text, ' ') as text from documents where trim(text, ' ') <> ''")
+def stream_ingest_texts(spark, d):
+    path = rd.scratch(spark, "ingest")
+    fx.docs(spark, d).select(F.concat(F.lit("l1/"), "video_id").alias("video_id"), "frame_id", "text").write.json(f"{path}/in")
+    ingest.stream_ingest_texts(spark, f"{path}/in", f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("key", "video_id", "frame_id", "text")
+
+
+@query(ctes("sx") + _SEG + """ and length(lower(trim(regexp_replace(text, '[^\\p{L}\\p{N}_\\s]', '', 'g')))) >= 2 and not (len(regexp_split_to_array(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', '', 'g')), '\\s+')) >= 4 and len(list_distinct(regexp_split_to_array(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', '', 'g')), '\\s+'))) = 1)""")
 def stream_ingest_segments(spark, d):
     path = rd.scratch(spark, "ingest")
     ingest.stream_ingest_segments(spark, _speech(spark, d), f"{path}/out", f"{path}/state").awaitTermination()

@@ -32,7 +32,7 @@ def segments(spark, d) -> DataFrame:
 
 
 def queries(spark, d) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("text"))
+    return table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), "text")
 
 
 def query_vectors(spark, d) -> DataFrame:
@@ -67,7 +67,7 @@ SQL = {
     "dx": "dx as (select source as video_id, doc_id+1 as frame_id, doc_id, text, lang from documents)",
     "vx": "vx as (select source as video_id, vec_id+1 as frame_id, vec_id, label, embedding::double[] as vec from embeddings join documents on vec_id = doc_id)",
     "sx": "sx as (select 'C'||lpad(cast(conv_id as varchar),4,'0') as video_id, turn::bigint as segment_id, turn*20.0::double as seg_start, turn*20.0::double+least(length(text)/15.0::double,45.0::double) as seg_end, text, role from conversations)",
-    "qx": "qx as (select item_id::bigint as query_id, array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ') as text from benchmark)",
+    "qx": "qx as (select item_id::bigint as query_id, text from benchmark)",
     "qv": "qv as (select vec_id as query_id, vec as qvec from vx where vec_id % 25 = 0)",
     "sh": "sh as (select 1::bigint as query_id, (case event_type when 'click' then 1 when 'view' then 2 else 3 end)::bigint as stage, video_id, frame_id, value/500.0::double as score from kf where event_type in ('click','view','purchase'))",
     "fp": "fp as (select video_id, row_number() over (partition by video_id order by seconds, event_id) - 1 as frame_idx, case when value > 200 then 0.9::double else 0.1::double end as p, value, event_id, seconds from kf)",

@@ -186,3 +186,25 @@ _MORE = ", ".join(f"case when contains(lower(strip_accents(lower(text))), '{k}')
 @query(f"{_LOG} select query_id, {_SET(f'list_concat({_WORDS("text")}, flatten([{_MORE}]))')} as tokens from l")
 def expand_query_tokens(spark, d):
     return log(spark, d).select("query_id", _set(ql.expand_tokens(F.col("text"), SYNONYMS)).alias("tokens"))
+
+
+@query(f"""{_LOG}, r as (select query_id, text as t, query_id % 4 as k from l)
+select query_id, unnest(case k when 0 then [1, 2] else [1] end)::bigint as stage, unnest(case k when 0 then [trim(t), 'b'] when 1 then [trim(t)] when 2 then ['on screen'] else ['said'] end) as text,
+case k when 2 then 'on screen' else '' end as ocr_text, case k when 3 then 'said' else '' end as asr_text, 'top' as topic, case when k = 1 then 'V1' end as video_scope, case when k = 1 then 'mix' else 'clip' end as model from r where trim(t) <> '' or k >= 2""")
+def stages_from_requests(spark, d):
+    """Requests with two stages, one of plain text, on-screen text alone, and speech alone; an image and a blank stage are left out."""
+    k, t = F.col("query_id") % 4, F.col("text")
+    obj = lambda *cs: F.to_json(F.struct(*cs))
+    none = F.array().cast("array<string>")
+    two = F.concat(F.lit('{"textQueries":['), obj(t.alias("content")), F.lit(',{"image":"AAAA"},{"content":" ","text":"b"},"  "],"topic":"top"}'))
+    plain = obj(F.array(t).alias("textQueries"), F.lit("top").alias("topic"), F.lit("V1").alias("video"), F.lit("mix").alias("model"))
+    shown = obj(none.alias("textQueries"), F.array(F.lit(" "), F.lit("on screen")).alias("ocrtext"), F.lit("top").alias("topic"))
+    said = obj(F.array(F.lit("said")).alias("asmtext"), F.lit("top").alias("topic"))
+    request = F.when(k == 0, two).when(k == 1, plain).when(k == 2, shown).otherwise(said)
+    return ql.stages_from_requests(log(spark, d).select("query_id", request.alias("request")))
+
+
+@query()
+def asr_intent(spark, d):
+    """No SQL, as word bounds differ between engines; tests hold it against cases worked by hand."""
+    return log(spark, d).select("query_id", ql.spoken_intent(F.concat("text", F.lit(" nói: Chào Bạn Nhé, tỉnh Hà Nam"))).alias("spoken"))

@@ -15,14 +15,30 @@ SPEECH_RECORD = "video_path string, segment_id long, start double, `end` double,
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """A new folder that all executors see: below ``spark.checkpoint.dir``, or in local mode a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='glimpse-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/glimpse/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read again, for tables that several parts of a job need."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unreadable_lines(spark: SparkSession, path: str, record: str = TEXT_RECORD) -> DataFrame:
+    """file, line: the lines of JSON files below ``path`` that aren't records, which the readers leave out. Blank lines are none."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path).where("trim(value) != ''")
+    parsed = raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), F.from_json("value", record, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    return parsed.where("r._corrupt_record is not null").select("file", "line")
+
+
 def read_frame_map(spark: SparkSession, path: str) -> DataFrame:
     """batch, video_id, frame_id, seconds, timestamp_ms, fps of every ``*_map.csv`` below ``path``.
 

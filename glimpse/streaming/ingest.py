@@ -6,20 +6,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from glimpse.sources.readers import SPEECH_RECORD, segments
+from glimpse.functions.text import doc_key
+from glimpse.operators.frames import junk_segment
+from glimpse.sources.readers import SPEECH_RECORD, TEXT_RECORD, segments
 
 
 def stream_ingest_segments(spark: SparkSession, source: str, target: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
     """Write new speech segments below ``source`` to the table ``target``, each video's segment once within ``late`` of its file's time.
 
-    Stops when all that lies there is read; the next start goes on from the checkpoint.
+    Noise is left out as in batch. Stops when all that lies there is read; the next start goes on from the checkpoint.
     """
     raw = spark.readStream.schema(SPEECH_RECORD).option("recursiveFileLookup", True).json(source)
-    rows = segments(raw, F.col("_metadata.file_modification_time").alias("arrived")).where("length(text) >= 2")
+    rows = segments(raw, F.col("_metadata.file_modification_time").alias("arrived")).where(~junk_segment(F.col("text"), F.lit(None).cast("double"), F.lit(None).cast("double")))
     once = rows.withWatermark("arrived", late).dropDuplicatesWithinWatermark(["video_id", "segment_id"])
     return once.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def stream_ingest_texts(spark: SparkSession, source: str, target: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
+    """As ``stream_ingest_segments`` for on-screen text: key, video_id, frame_id, text, each frame once."""
+    raw = spark.readStream.schema(TEXT_RECORD).option("recursiveFileLookup", True).json(source)
+    video = F.element_at(F.split("video_id", "/"), -1)
+    rows = raw.where("trim(text) != ''").select(doc_key(video, F.col("frame_id")).alias("key"), video.alias("video_id"), "frame_id", F.trim("text").alias("text"), F.col("_metadata.file_modification_time").alias("arrived"))
+    once = rows.withWatermark("arrived", late).dropDuplicatesWithinWatermark(["video_id", "frame_id"])
+    return once.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def stream_video_interest(turns: DataFrame, target: str, checkpoint: str, window: str = "10 minutes", late: str = "1 hour") -> StreamingQuery:
     """``turns``: a stream of at, session_id, video_id. Appends each batch's changed counts by window, session and video to ``target``."""
     n = turns.withWatermark("at", late).groupBy(F.window("at", window).alias("w"), "session_id", "video_id").count()
