@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy helpers take in hand at a time.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 17
 
 
 def scratch(spark: SparkSession) -> str:

@@ -35,10 +35,34 @@ def load_pieces(path: str = VOCABULARY) -> dict[str, int]:
     return out
 
 
-def beginnings(vocab: dict[str, int]) -> dict[str, int]:
-    """The pieces with their numbers, and all that pieces begin with, with -1."""
-    out = {piece[:k]: -1 for piece in vocab for k in range(1, len(piece))}
-    return out | vocab
+class Trie:
+    """The vocabulary as arrays: a state for each beginning of a piece, ``step`` sorted keys (state, letter), ``to`` the states they lead to, ``piece`` each state's piece or -1."""
+
+    def __init__(self, vocab: dict[str, int]):
+        self.none, self.longest = len(vocab), max(map(len, vocab), default=1)
+        letters = sorted({c for piece in vocab for c in piece})
+        self.letters = len(letters) + 1
+        self.letter = np.zeros(max(map(ord, letters), default=0) + 2, np.int64)  # 0 is any other character
+        self.letter[[ord(c) for c in letters]] = np.arange(1, self.letters)
+        state: dict[str, int] = {"": 0}
+        for piece in vocab:
+            for k in range(1, len(piece) + 1):
+                state.setdefault(piece[:k], len(state))
+        key = np.array([state[x[:-1]] * self.letters + self.letter[ord(x[-1])] for x in state if x], np.int64)
+        order = np.argsort(key)
+        self.step, self.to = np.append(key[order], -1), np.append(order + 1, 0)
+        self.piece = np.array([vocab.get(x, -1) for x in state], np.int32)
+
+    def codes(self, text: str) -> np.ndarray:
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return self.letter[np.minimum(c, len(self.letter) - 1)]
+
+    def next(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which states go on by their letter, and the states these come to."""
+        key = state * self.letters + letter
+        i = np.searchsorted(self.step[:-1], key)
+        on = np.flatnonzero(self.step[i] == key)
+        return on, self.to[i[on]]
 
 
 class Lattice:
@@ -47,11 +71,11 @@ class Lattice:
     Sums over segmentations are kept for the last characters only, as many as the longest piece has, beside a running logarithm.
     """
 
-    def __init__(self, words: list[str], vocab: dict[str, int], begin: dict[str, int] | None = None):
+    def __init__(self, words: list[str], vocab: dict[str, int], trie: Trie | None = None):
         self.words = ["▁" + w for w in words]
         self.length = np.fromiter(map(len, self.words), np.int64, len(words))
-        self.none, self.longest = len(vocab), max(map(len, vocab), default=1)
-        self.begin = beginnings(vocab) if begin is None else begin
+        self.trie = trie or Trie(vocab)
+        self.none, self.longest = self.trie.none, self.trie.longest
         self.kept: dict[int, np.ndarray] = {}
         order = np.argsort(self.length, kind="stable")
         wide = np.minimum(self.length[order], BLOCK)
@@ -72,20 +96,22 @@ class Lattice:
             return self.kept[k]
         rows, most = self.batches[k][over:], self.longest
         width = min(BLOCK, int(self.length[rows[-1]]) - lo)
-        at, found, get = [], [], self.begin.get
-        for r, w in enumerate(map(self.words.__getitem__, rows.tolist())):
-            stop, base = min(len(w), lo + width), (r * width - lo - 1) * most
-            for start in range(max(0, lo + 1 - most), stop):
-                for end in range(start + 1, min(start + most, stop) + 1):
-                    i = get(w[start:end])
-                    if end > lo and (i is not None and i >= 0 or end == start + 1):
-                        at.append(base + end * most + most - (end - start))
-                        found.append(self.none + 1 if i is None or i < 0 else i)
-                    if i is None:
-                        break
-        ids = np.full(len(rows) * width * most, self.none, np.int32)
-        ids[at] = found
-        ids = ids.reshape(len(rows), width, most)
+        # the block's characters with those that pieces may begin with before it; the character after them ends all pieces
+        before, cols = most - 1, most + width
+        left = "\0" * max(0, before - lo)
+        cut = (left + self.words[r][max(0, lo - before) : lo + width] for r in rows.tolist())
+        codes = self.trie.codes("".join(x.ljust(cols, "\0") for x in cut))
+        inside = np.arange(lo - before, lo + width + 1) < np.minimum(self.length[rows], lo + width)[:, None]
+        inside[:, : len(left)] = False
+        ids = np.full((len(rows), width, most), self.none, np.int32)
+        ids[inside[:, before:-1], -1] = self.none + 1
+        start = np.flatnonzero(inside)
+        state = np.zeros(len(start), np.int64)
+        for z in range(most):
+            on, state = self.trie.next(state, codes[start + z])
+            start = start[on]
+            found = np.flatnonzero((self.trie.piece[state] >= 0) & (start % cols + z >= before))
+            ids[start[found] // cols, start[found] % cols + z - before, most - 1 - z] = self.trie.piece[state[found]]
         if int(self.length[rows[-1]]) <= BLOCK:
             self.kept[k] = ids
         return ids
@@ -180,13 +206,13 @@ def _rescaled(sums: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Model:
     def __init__(self, languages: list[str], vocab: dict[str, int], p: np.ndarray):
         self.languages, self.vocab, self.p = languages, vocab, p
-        self.begin: dict[str, int] | None = None  # made where it is used first
+        self.trie: Trie | None = None  # made where it is used first
 
     def words(self, words: list[str]) -> np.ndarray:
         """Log probabilities [word, language]."""
-        if self.begin is None:
-            self.begin = beginnings(self.vocab)
-        out = [Lattice(words[i : i + 5000], self.vocab, self.begin).log_probability(self.p) for i in range(0, len(words), 5000)]
+        if self.trie is None:
+            self.trie = Trie(self.vocab)
+        out = [Lattice(words[i : i + 5000], self.vocab, self.trie).log_probability(self.p) for i in range(0, len(words), 5000)]
         return np.concatenate(out) if out else np.zeros((0, len(self.languages)))
 
 
