@@ -208,10 +208,13 @@ def assemble_lines(lines: DataFrame, min_len: int = 2, min_conf: float = 0.25) -
     return ok.groupBy("video_id", "frame_id").agg(F.array_join(parts, " | ").alias("text"), F.round(F.avg("conf"), 3).alias("confidence"))
 
 
-def align_vectors_by_rank(frames: DataFrame, vectors: DataFrame) -> DataFrame:
-    """video_id, frame_id, pos, vec: the i-th vector of a video goes to its i-th frame by name."""
+def align_vectors_by_rank(frames: DataFrame, vectors: DataFrame, readable: str | None = None) -> DataFrame:
+    """video_id, frame_id, pos, vec: the i-th vector of a video goes to its i-th frame by name.
+
+    ``readable`` names a boolean column of ``frames``: frames where it isn't true got no vector and are not counted.
+    """
     w = Window.partitionBy("video_id").orderBy("name")
-    f = frames.withColumn("pos", (F.row_number().over(w) - 1).cast("long")).select("video_id", "frame_id", "pos")
+    f = (frames.where(F.col(readable)) if readable else frames).withColumn("pos", (F.row_number().over(w) - 1).cast("long")).select("video_id", "frame_id", "pos")
     return f.join(vectors, ["video_id", "pos"])
 
 

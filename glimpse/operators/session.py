@@ -156,3 +156,42 @@ def validate_submission(lines: DataFrame, most: int = 100) -> DataFrame:
     again = F.row_number().over(Window.partitionBy("file", "header", "key").orderBy("n")) > 1
     q = q.withColumn("key", key).withColumn("again", again)
     return q.select("file", "line_no", F.col("clean").alias("line"), F.when(F.col("header"), "header").when(F.col("again"), "repeated").alias("problem"))
+
+
+def submission_errors(lines: DataFrame, most: int = 100) -> DataFrame:
+    """file, row, line, warnings, errors: the lines of submissions as a checker at the desk rewrites them, each with what is odd or wrong.
+
+    ``lines``: file, line_no, line. Blank lines don't count; ``most`` lines are looked at, then a header is left out; ``row`` counts from
+    what follows it. The kind of a file is kis, qa or trake, whichever its name holds first in this order; other files only lose .mp4.
+    Frames are digits, 38 at most. Trake frames become distinct and ascending. Nothing is left out as repeated. A null line is blank.
+    """
+    w = Window.partitionBy("file").orderBy("line_no")
+    q = lines.withColumn("line", F.trim("line", F.lit(" \t\r"))).where("line != ''").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+    q = q.withColumn("head", ((F.col("n") == 1) & F.lower("line").rlike("video|frame|answer|mediaitem")).cast("int"))
+    q = q.withColumn("row", F.col("n") - F.max("head").over(Window.partitionBy("file"))).where("head = 0")
+    name, number = F.lower("file"), r"^[0-9]{1,38}$"
+    kind = F.when(F.contains(name, F.lit("kis")), "kis").when(F.contains(name, F.lit("qa")), "qa").when(F.contains(name, F.lit("trake")), "trake").otherwise("")
+    q = q.withColumn("kind", kind).withColumn("p", F.transform(F.split("line", ","), lambda p: F.trim(p, F.lit(" \t\r")))).withColumn("size", F.size("p"))
+    q = q.withColumn("v", F.regexp_replace(F.col("p")[0], r"(?i)\.mp4$", "")).withColumn("rest", F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))))
+    said = F.trim(F.array_join(F.slice("p", 3, F.greatest(F.size("p") - 2, F.lit(0))), ","))
+    bare = F.when(said.rlike(r"""(?s)^(".*"|'.*'|"|')$"""), F.trim(F.substring(said, F.lit(2), F.greatest(F.length(said) - 2, F.lit(0))))).otherwise(said)
+    q = q.withColumn("answer", bare).withColumn("frames", F.filter("rest", lambda x: x.rlike(number)))
+    k, size = F.col("kind"), F.col("size")
+    warnings = F.array(
+        F.when(F.col("v") != F.col("p")[0], "mp4"),
+        F.when((k == "qa") & (size < 3), "no answer").when((k == "qa") & (F.length("answer") > 100), "long answer"),
+        F.when((k == "trake") & (F.size("frames") < F.size("rest")), "frame is no number"),
+    )
+    errors = F.when(k.isin("kis", "trake") & (size < 2), "no frame").when((k == "kis") & ~F.get("p", F.lit(1)).rlike(number), "frame is no number").when((k == "trake") & (F.size("frames") == 0), "no frame")
+    quoted = F.concat(F.lit('"'), F.replace(F.substring("answer", 1, 100), F.lit('"'), F.lit('""')), F.lit('"'))
+    chain = F.transform(F.array_sort(F.array_distinct(F.transform("frames", lambda x: x.cast("decimal(38,0)")))), lambda x: x.cast("string"))
+    kept = F.when((k == "qa") & (size >= 3), F.array(F.get("rest", F.lit(0)), quoted)).when((k == "trake") & (F.size("frames") > 0), chain).otherwise(F.col("rest"))
+    said_warnings = F.array_join(F.filter(warnings, lambda x: x.isNotNull()), "; ")
+    return q.select("file", "row", F.concat_ws(",", F.array("v"), kept).alias("line"), said_warnings.alias("warnings"), F.coalesce(errors, F.lit("")).alias("errors"))
+
+
+def selection_band(tray: DataFrame) -> DataFrame:
+    """query_id, n_frames, band: how a tray of that many frames is rated: best (1), fine (2, 3), many (4, 5), too many; none for trake."""
+    n = F.col("n_frames")
+    band = F.when(F.col("trake"), None).when(n == 1, "best").when(n <= 3, "fine").when(n <= 5, "many").otherwise("too many")
+    return tray.groupBy("query_id").agg(F.count("*").alias("n_frames"), F.max(F.col("task") == "trake").alias("trake")).select("query_id", "n_frames", band.alias("band"))

@@ -123,3 +123,22 @@ def validate_submission(spark, d):
     answer = F.when(n < 10, F.concat(F.lit(", '"), "event_type", F.lit(" \"x\"'"))).otherwise("")
     line = F.when(e < 20, "Video,Frame").otherwise(F.concat("video_id", F.lit(".MP4, "), (F.col("frame_id") % 5).cast("string"), answer))
     return ss.validate_submission(fx.keyframes(spark, d).select(file.alias("file"), e.alias("line_no"), line.alias("line")))
+
+
+@query(ctes("kf") + r""", s as (select event_id % 30 as q, event_id as line_no, case when event_id < 30 then 'Video,Frame' else video_id||(case when event_id % 4 = 0 then '.MP4' else '' end)||(case when event_id % 7 = 0 then '' when event_id % 30 < 10 then ', '||cast(frame_id % 5 as varchar)||', '''||repeat(event_type||' ', (event_id % 23)::int)||'"x"'''
+when event_id % 30 < 20 then ','||(case when event_id % 11 = 0 then 'f' else '' end)||cast(frame_id as varchar) when event_id % 13 = 0 then ', none' else ','||cast(frame_id % 50 as varchar)||',bad,'||cast(frame_id % 7 as varchar)||',50' end) end as line from kf),
+n as (select *, case when q < 10 then 'qa' when q < 20 then 'kis' else 'trake' end as k, row_number() over (partition by q order by line_no) as n from s), h as (select *, max(n = 1 and line = 'Video,Frame') over (partition by q) as headed from n where n <= 100),
+p as (select *, string_split(line, ',') as p, n - headed::bigint as row from h where line <> 'Video,Frame'), t as (select *, ends_with(lower(p[1]), '.mp4') as mp4, list_filter([trim(x) for x in p[2:]], lambda x: regexp_full_match(x, '[0-9]+')) as f, left(trim(trim(list_aggregate(p[3:], 'string_agg', ','), ' '), ''''), 1000) as a from p)
+select 'q'||q||'-'||k||'.csv' as file, row, (case when mp4 then left(p[1], length(p[1])-4) else p[1] end)||case when k = 'qa' and len(p) >= 3 then ','||trim(p[2])||',"'||replace(left(a, 100), '"', '""')||'"' when k = 'trake' and len(f) > 0 then ','||list_aggregate(list_transform(list_sort(list_distinct(list_transform(f, lambda x: x::bigint))), lambda x: x::varchar), 'string_agg', ',') when len(p) > 1 then ','||trim(p[2]) else '' end as line,
+concat_ws('; ', case when mp4 then 'mp4' end, case when k = 'qa' and len(p) < 3 then 'no answer' when k = 'qa' and length(a) > 100 then 'long answer' end, case when k = 'trake' and len(f) < len(p)-1 then 'frame is no number' end) as warnings,
+case when k <> 'qa' and len(p) < 2 then 'no frame' when k = 'kis' and len(f) = 0 then 'frame is no number' when k = 'trake' and len(f) = 0 then 'no frame' else '' end as errors from t""")
+def submission_errors(spark, d):
+    e, q, frame = F.col("event_id"), F.col("event_id") % 30, F.col("frame_id")
+    text = lambda x: x.cast("string")
+    file = F.concat(F.lit("q"), text(q), F.when(q < 10, "-qa.csv").when(q < 20, "-kis.csv").otherwise("-trake.csv"))
+    answer = F.concat(F.lit(", "), text(frame % 5), F.lit(", '"), F.repeat(F.concat("event_type", F.lit(" ")), (e % 23).cast("int")), F.lit("\"x\"'"))
+    one = F.concat(F.lit(","), F.when(e % 11 == 0, "f").otherwise(""), text(frame))
+    chain = F.when(e % 13 == 0, ", none").otherwise(F.concat(F.lit(","), text(frame % 50), F.lit(",bad,"), text(frame % 7), F.lit(",50")))
+    rest = F.when(e % 7 == 0, "").when(q < 10, answer).when(q < 20, one).otherwise(chain)
+    line = F.when(e < 30, "Video,Frame").otherwise(F.concat("video_id", F.when(e % 4 == 0, ".MP4").otherwise(""), rest))
+    return ss.submission_errors(fx.keyframes(spark, d).select(file.alias("file"), e.alias("line_no"), line.alias("line"))).withColumn("row", F.col("row").cast("long"))

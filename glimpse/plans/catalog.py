@@ -296,10 +296,12 @@ def assemble_lines(spark, d):
     return fr.assemble_lines(l)
 
 
-@query(ctes("dx", "vx") + ", f as (select video_id, frame_id, row_number() over (partition by video_id order by lpad(cast(frame_id as varchar),9,'0'))-1 as pos from dx), v as (select video_id, row_number() over (partition by video_id order by vec_id)-1 as pos, vec_id from vx) select video_id, frame_id, pos, vec_id from f join v using (video_id, pos)")
+@query(ctes("dx", "vx") + ", f as (select video_id, frame_id, row_number() over (partition by video_id order by lpad(cast(frame_id as varchar),9,'0'))-1 as pos from dx where lang is not null and doc_id % 7 <> 3), v as (select video_id, row_number() over (partition by video_id order by vec_id)-1 as pos, vec_id from vx) select video_id, frame_id, pos, vec_id from f join v using (video_id, pos)")
 def align_vectors_by_rank(spark, d):
     v = fx.vectors(spark, d).withColumn("pos", (F.row_number().over(Window.partitionBy("video_id").orderBy("vec_id")) - 1).cast("long")).select("video_id", "pos", "vec_id")
-    return fr.align_vectors_by_rank(fx.docs(spark, d).withColumn("name", F.lpad(F.col("frame_id").cast("string"), 9, "0")), v)
+    f = fx.docs(spark, d).withColumn("name", F.lpad(F.col("frame_id").cast("string"), 9, "0"))
+    # documents without a language, and every seventh, play unreadable frames
+    return fr.align_vectors_by_rank(f.withColumn("read", F.col("lang").isNotNull() & (F.col("doc_id") % 7 != 3)), v, readable="read")
 
 
 @query(ctes("kf") + ", n as (select video_id, frame_id, row_number() over (partition by video_id order by frame_id) as r from kf), a as (select k.video_id, k.frame_id as anchor, n.r from kf k join n using (video_id, frame_id)) select a.video_id, anchor, n.frame_id, n.r - a.r as \"offset\" from a join n on n.video_id = a.video_id and n.r between a.r-2 and a.r+2")
@@ -616,6 +618,12 @@ def selection_tray(spark, d):
     return ss.selection_tray(_selection(spark, d)).withColumn("place", F.col("place").cast("long"))
 
 
+@query(ctes("kf") + _SEL + """, p as (select *, row_number() over (partition by query_id order by seq) as place from so), c as (select query_id, any_value(task) as task, count(*) as n_frames from p where (task = 'trake' or place <= 10) and place <= query_id + 1 group by 1)
+select query_id, n_frames, case when task = 'trake' then null when n_frames > 5 then 'too many' when n_frames > 3 then 'many' when n_frames > 1 then 'fine' else 'best' end as band from c""")
+def selection_band(spark, d):
+    return ss.selection_band(ss.selection_tray(_selection(spark, d)).where("place <= query_id + 1"))
+
+
 @query(ctes("kf") + _SEL + " select query_id, row_number() over (partition by query_id order by seq) as line_no, video_id||','||cast(frame_id as varchar) as line from so")
 def kis_rows(spark, d):
     return ss.kis_rows(_selection(spark, d)).withColumn("line_no", F.col("line_no").cast("long"))

@@ -10,6 +10,7 @@ from glimpse.functions import text as tx
 from glimpse.operators import frames as fr
 from glimpse.operators import fusion as fu
 from glimpse.operators import search as se
+from glimpse.operators import session as ss
 
 
 def one(spark, c):
@@ -112,3 +113,35 @@ def test_names_spellings_and_spoken_words(spark):
     assert (hit.video, hit.frame) == ("L01_V002", 33)
     hit = one(spark, tx.video_and_frame(none, none, none, none, none))
     assert (hit.video, hit.frame) == ("video", 0)
+
+
+def test_submission_errors(spark):
+    files = {
+        "q1-kis.csv": [" Video,Frame", "a.MP4, 7", "", "b", "c,x1", None],
+        "q2-QA.csv": ["a,5", "a,5, \"say \"so\"\" ", "a,5,'" + "y" * 120 + "'", "a,5,\"", "a,,b, c"],
+        "q3-trake.csv": ["a,30,x,4,30,007", "a,x", "a", "time,1"],
+        "other.txt": ["v.mp4,?,?"],
+    }
+    lines = spark.createDataFrame([(f, k, x) for f, ls in files.items() for k, x in enumerate(ls)], "file string, line_no long, line string")
+    got = {}
+    for r in ss.submission_errors(lines).orderBy("file", "row").collect():
+        got.setdefault(r.file, []).append((r.row, r.line, r.warnings, r.errors))
+    assert got == {
+        "q1-kis.csv": [(1, "a,7", "mp4", ""), (2, "b", "", "no frame"), (3, "c,x1", "", "frame is no number")],
+        "q2-QA.csv": [(1, "a,5", "no answer", ""), (2, 'a,5,"say ""so"""', "", ""), (3, f'a,5,"{"y" * 100}"', "long answer", ""), (4, 'a,5,""', "", ""), (5, 'a,,"b,c"', "", "")],
+        "q3-trake.csv": [(1, "a,4,7,30", "frame is no number", ""), (2, "a,x", "frame is no number", "no frame"), (3, "a", "", "no frame"), (4, "time,1", "", "")],
+        "other.txt": [(1, "v,?,?", "mp4", "")],
+    }
+
+
+def test_selection_band(spark):
+    trays = [(q, "trake" if q == 9 else "kis", k) for q, n in ((1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (9, 4)) for k in range(n)]
+    got = {r.query_id: (r.n_frames, r.band) for r in ss.selection_band(spark.createDataFrame(trays, "query_id long, task string, frame_id long")).collect()}
+    assert got == {1: (1, "best"), 2: (2, "fine"), 3: (3, "fine"), 4: (4, "many"), 5: (5, "many"), 6: (6, "too many"), 9: (4, None)}
+
+
+def test_unreadable_frames_have_no_vector(spark):
+    f = spark.createDataFrame([("v", k, f"{k:03}", ok) for k, ok in ((1, True), (2, False), (3, None), (4, True))], "video_id string, frame_id long, name string, ok boolean")
+    v = spark.createDataFrame([("v", 0, "x"), ("v", 1, "y")], "video_id string, pos long, vec string")
+    assert {(r.frame_id, r.vec) for r in fr.align_vectors_by_rank(f, v, readable="ok").collect()} == {(1, "x"), (4, "y")}
+    assert {(r.frame_id, r.vec) for r in fr.align_vectors_by_rank(f, v).collect()} == {(1, "x"), (2, "y")}
