@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy helpers take in hand at a time.
@@ -46,6 +46,36 @@ def folders(spark: SparkSession, name: str):
     return put
 
 
+def positions(df: DataFrame, name: str, group: list[str], order: list[str], weight: str | None = None) -> DataFrame:
+    """``df``, written, with ``pos`` (rows of its ``group`` before it by ``order``, nulls first), ``n`` (rows of the group) and, of a weight, ``before`` and ``total``.
+
+    Ranges of (group, order) are sorted apart and counted; a row's place is that in its range and what earlier ranges hold, so that a group
+    of all rows is no task's work. Rows that ``order`` doesn't tell apart come in any order. A null group is a group.
+    """
+    key = [*group, *order]
+    s = df.withColumn("_row", F.monotonically_increasing_id())  # parts equal rows, however many
+    s = s.repartitionByRange(*key, "_row").sortWithinPartitions(*key, "_row").drop("_row")
+    s = stage(s.withColumn("_at", F.monotonically_increasing_id()), name)  # range number and place in it
+    s = s.withColumn("_range", F.shiftright("_at", 33))
+    sums = [F.sum(weight).alias("_w")] if weight else []
+    per = s.groupBy("_range", *group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), *sums)
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    per = per.withColumn("_shift", so_far("_n") - F.col("_first")).withColumn("n", F.sum("_n").over(whole))
+    if weight:
+        s = s.withColumn("before", F.coalesce(F.sum(weight).over(Window.partitionBy("_range", *group).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        per = per.withColumn("_before", so_far("_w")).withColumn("total", F.sum("_w").over(whole))
+    per = per.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_range").alias("_r"), "_shift", "n", *(["_before", "total"] if weight else []))
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    j = s.join(per, same).withColumn("pos", F.col("_at") + F.col("_shift"))
+    if weight:
+        j = j.withColumn("before", F.col("before") + F.col("_before"))
+    return j.select(*df.columns, "pos", "n", *(["before", "total"] if weight else []))
+
+
 def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df``; its session passes rows to Python in small batches from now on, as texts are long, unless it has a size of its own."""
     conf = df.sparkSession.conf
