@@ -46,32 +46,34 @@ def cell_of(value: Column, found: list[tuple[int, object]]) -> Column:
     return F.when(value.isNull(), 0).otherwise(half(found)).cast("int") if found else F.lit(0)
 
 
-def with_curve_index(df: DataFrame, names: list[str], bits: int, out: str = "h") -> DataFrame:
-    """``df`` with the Hilbert index of the point that the columns ``names`` (0 .. 2**bits - 1 each) are; the columns are used up.
+def _with(value: Column, then) -> Column:
+    """``then(value)``, the value computed once however often it is used."""
+    return F.transform(F.array(value), then)[0]
 
-    Bit by bit from the highest, each coordinate turns or swaps the lower bits of the first; a Gray code of what is left gives the index.
+
+def curve_index(point: Column, dims: int, bits: int) -> Column:
+    """The Hilbert index of a point, an array of ``dims`` ints from 0 to 2**bits - 1.
+
+    Bit by bit from the highest, each coordinate turns the first one's lower bits, or swaps them with its own; a Gray code of what is left gives the index.
     """
-    first, last = names[0], names[-1]
-    for b in range(bits - 1, 0, -1):
-        low = (1 << b) - 1
-        for x in names:
-            on = F.col(x).bitwiseAND(1 << b) != 0
-            differ = F.col(first).bitwiseXOR(F.col(x)).bitwiseAND(low)
-            new = {first: F.when(on, F.col(first).bitwiseXOR(F.lit(low))).otherwise(F.col(first).bitwiseXOR(differ))}
-            if x != first:
-                new[x] = F.when(on, F.col(x)).otherwise(F.col(x).bitwiseXOR(differ))
-            df = df.withColumns(new)
-    for before, x in zip(names, names[1:], strict=False):
-        df = df.withColumn(x, F.col(x).bitwiseXOR(F.col(before)))
-    flip = F.lit(0)
-    for b in range(bits - 1, 0, -1):
-        flip = flip.bitwiseXOR(F.when(F.col(last).bitwiseAND(1 << b) != 0, (1 << b) - 1).otherwise(0))
-    df = df.withColumn("_flip", flip).withColumns({x: F.col(x).bitwiseXOR(F.col("_flip")) for x in names})
-    index = F.lit(0).cast("long")
-    for b in range(bits - 1, -1, -1):
-        for x in names:
-            index = F.shiftleft(index, 1).bitwiseOR(F.shiftright(F.col(x), b).bitwiseAND(1).cast("long"))
-    return df.withColumn(out, index).drop("_flip", *names)
+    steps = F.array(*[F.struct(F.lit(1 << b).alias("bit"), F.lit(i).alias("i")) for b in range(bits - 1, 0, -1) for i in range(dims)]).cast("array<struct<bit:int,i:int>>")
+
+    def turned(x, s):
+        low = s["bit"] - 1
+        on = F.get(x, s["i"]).bitwiseAND(s["bit"]) != 0
+        differ = F.get(x, F.lit(0)).bitwiseXOR(F.get(x, s["i"])).bitwiseAND(low)
+        return F.transform(x, lambda v, k: F.when(k == 0, v.bitwiseXOR(F.when(on, low).otherwise(differ))).when((k == s["i"]) & ~on, v.bitwiseXOR(differ)).otherwise(v))
+
+    def numbered(g):
+        last = F.get(g, F.lit(dims - 1))
+        flip = F.lit(0)
+        for b in range(bits - 1, 0, -1):
+            flip = flip.bitwiseXOR(F.when(last.bitwiseAND(1 << b) != 0, (1 << b) - 1).otherwise(0))
+        places = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(dims)])
+        return _with(flip, lambda f: F.aggregate(places, F.lit(0).cast("long"), lambda h, p: h * 2 + F.call_function("shiftright", F.get(g, p["i"]).bitwiseXOR(f), p["b"]).bitwiseAND(1)))
+
+    gray = lambda x: F.transform(x, lambda v, k: F.aggregate(F.slice(x, F.lit(1), k + 1), F.lit(0), lambda s, y: s.bitwiseXOR(y)))
+    return _with(F.aggregate(steps, point, turned), lambda x: _with(gray(x), numbered))
 
 
 def in_shards(placed: DataFrame, n_shards: int, law: str) -> DataFrame:
@@ -94,13 +96,12 @@ def on_curve(docs: DataFrame, dims: tuple[str, ...], bits: int, keep: bool) -> D
     if len(dims) * bits > 62:
         raise ValueError("the index has more than 62 bits")
     rows = stage(described(docs, dims), "sharding-rows")
-    names = [f"c{i}" for i in range(len(dims))]
     found = [cuts(rows, f"d{i}", bits) for i in range(len(dims))]
     if keep:
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
         rows = described(docs.select(*{"doc_id", "text", *dims}, whole), dims, "row")
-    cells = {c: cell_of(F.col(f"d{i}"), found[i]) for i, c in enumerate(names)}
-    return with_curve_index(rows.withColumns(cells), names, bits).drop(*[f"d{i}" for i in range(len(dims))])
+    point = F.array(*[cell_of(F.col(f"d{i}"), found[i]) for i in range(len(dims))])
+    return rows.withColumn("h", curve_index(point, len(dims), bits)).drop(*[f"d{i}" for i in range(len(dims))])
 
 
 def shard(docs: DataFrame, n_shards: int = 40, dims: tuple[str, ...] = ("source", "lang", "n_chars"), bits: int = 6, law: str = "rows") -> DataFrame:
