@@ -118,7 +118,7 @@ def _way_sql(p: str, source: str, at: str, group: str, depth: int, more: str) ->
     """``{p}w{depth}``: rows of ``source`` with what they fold to (f) and their siblings (proof), level by level."""
     out = f", {p}w0 as (select * from {source})"
     for j in range(depth):
-        left, right = (f"array_to_string(r.c[{x}], '')" for x in (f"1:({at} // {8**j}) % 8", f"({at} // {8**j}) % 8 + 2:"))
+        left, right = (f"array_to_string(r.c[{x}], '')" for x in (f"1:(w.{at} // {8**j}) % 8", f"(w.{at} // {8**j}) % 8 + 2:"))
         out += f", {p}w{j + 1} as (select {more}, case when r.c is null then f else sha256({left} || f || {right}) end as f, case when r.c is null then proof else proof || {left} || {right} end as proof from {p}w{j} w left join {p}r{j} r on r.g is not distinct from w.{group} and r.pos = w.{at} // {8 ** (j + 1)})"
     return out
 
@@ -141,7 +141,7 @@ select doc_id, w.node as leaf, subroot, tt.node as root, sha256(proof) as proof_
 ORACLES = {
     "op11_hilbert_shards": _shards_sql(),
     "op12_merkle": _merkle_sql(),
-    "op13_spelling_variants": f"""
+    "op13_spelling_variants": rf"""
 with recursive {_CRCS}, o as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
 r as (select doc_id, run, count(*) as c from o group by all), h as (select run, c, {_crc("coalesce(doc_id::varchar, '') || ':' || run")} as h from r, crct),
 m as (select case when h % 31 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, c from h),
