@@ -34,6 +34,11 @@ def word_tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(strip_accents(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
 
 
+def strip(c: Column) -> Column:
+    """The text without white space of any kind around it."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def collapse_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[ \t\r\n\f\x0B]+", " "))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glimpse.functions.querylog import decompose
 from glimpse.operators.search import KEY, knn_search, ranked, search_asr, search_ocr
+from glimpse.sources.readers import staged
 
 
 def rrf(branches: dict[str, DataFrame], weights: dict[str, float], k: int = 60, limit: int = 1000) -> DataFrame:
@@ -40,40 +41,62 @@ def priority_merge(first: DataFrame, second: DataFrame) -> DataFrame:
     return once.select("query_id", *KEY, F.col("m.source").alias("source"), F.row_number().over(w).alias("rank"))
 
 
-def temporal_chain(hits: DataFrame, stages: int, per_stage: int = 2, top_videos: int = 20) -> DataFrame:
+def temporal_chain(hits: DataFrame, stages: int | DataFrame, per_stage: int = 2, top_videos: int = 20, single: int = 200) -> DataFrame:
     """query_id, video_id, stage, frame_id, chain_score, video_rank: videos in which hits of the stages follow each other.
 
-    ``hits``: query_id, stage (1..n), video_id, frame_id, score. Stage by stage the best hits behind the last frame are taken, or the
-    stage's best where none is behind. A video counts with hits in max(2, n - 1) stages; its score is the sum of its stages' best, plus
-    2 * stages matched / n. Only the best hits of a stage and video can be taken, so each step keeps a few rows a video.
+    ``hits``: query_id, stage (1..n), video_id, frame_id, score. ``stages``: how many a query has, one number or a table (query_id, n_stages).
+    Stage by stage the best hits behind the last frame are taken, or the stage's best where none is behind. A video counts with hits in
+    max(2, n - 1) stages; its score is the sum of its stages' best, plus 2 * stages matched / n. Only the best hits of a stage and video can be taken,
+    so each step keeps a few rows a query and video, as many steps as the largest n. A query without hits in its first stage has no rows; one of a
+    single stage has its first ``single`` hits, with no stage, score or rank of a chain.
     """
-    at = hits.groupBy("query_id", "video_id").agg(F.countDistinct("stage").alias("have"))
-    h = hits.join(at.where(F.col("have") >= max(2, stages - 1)), ["query_id", "video_id"]).drop("have")
+    if isinstance(stages, int):
+        n, most = hits.select("query_id").distinct().withColumn("n_stages", F.lit(stages).cast("long")), stages
+    else:
+        n = stages.select("query_id", F.col("n_stages").cast("long").alias("n_stages"))
+        most = n.agg(F.max("n_stages")).first()[0] or 1
+    begun = hits.where("stage = 1").select("query_id").distinct()
+    asked = hits.join(n, "query_id").join(begun, "query_id", "left_semi").where("stage <= n_stages").select("query_id", "n_stages", "stage", *KEY, "score")
+    alone = ranked(asked.where("n_stages = 1"), single)
+    kind = hits.schema["stage"].dataType
+    alone = alone.select("query_id", "video_id", F.lit(None).cast(kind).alias("stage"), "frame_id", F.lit(None).cast("double").alias("chain_score"), F.lit(None).cast("int").alias("video_rank"))
+    many = asked.where("n_stages > 1")
+    at = many.groupBy("query_id", "video_id").agg(F.countDistinct("stage").alias("have"), F.max("n_stages").alias("n"))
+    h = staged(many.join(at.where("have >= greatest(2, n - 1)").select("query_id", "video_id"), ["query_id", "video_id"]), "chain-hits")
     last = h.select("query_id", "video_id", F.lit(-1).cast("long").alias("last")).distinct()
     taken = None
     by = Window.partitionBy("query_id", "video_id")
-    for n in range(1, stages + 1):
-        s = h.where(F.col("stage") == n).join(last, ["query_id", "video_id"])
+    for i in range(1, most + 1):
+        s = h.where(F.col("stage") == i).join(last, ["query_id", "video_id"])
         s = s.withColumn("behind", (F.col("frame_id") > F.col("last")).cast("int")).withColumn("any", F.max("behind").over(by)).where("behind = any")
-        s = s.withColumn("r", F.row_number().over(by.orderBy(F.desc("score"), "frame_id"))).where(F.col("r") <= per_stage).select("query_id", "video_id", "stage", "frame_id", "score")
+        s = s.withColumn("r", F.row_number().over(by.orderBy(F.desc("score"), "frame_id"))).where(F.col("r") <= per_stage).select("query_id", "video_id", "n_stages", "stage", "frame_id", "score")
+        s = staged(s, "chain-step")  # a few rows a video; each step builds on all before
         taken = s if taken is None else taken.unionByName(s)
         moved = s.groupBy("query_id", "video_id").agg(F.max("frame_id").alias("to"))
         last = last.join(moved, ["query_id", "video_id"], "left").select("query_id", "video_id", F.coalesce("to", "last").alias("last"))
-    per = taken.groupBy("query_id", "video_id", "stage").agg(F.max("score").alias("best")).groupBy("query_id", "video_id").agg(F.sum("best").alias("total"), F.count("*").alias("matched"))
-    per = per.where("matched >= 2").withColumn("chain_score", F.round(F.col("total") + 2.0 * F.col("matched") / stages, 6))
+    per = taken.groupBy("query_id", "video_id", "n_stages", "stage").agg(F.max("score").alias("best")).groupBy("query_id", "video_id", "n_stages").agg(F.sum("best").alias("total"), F.count("*").alias("matched"))
+    per = per.where("matched >= 2").withColumn("chain_score", F.round(F.col("total") + 2.0 * F.col("matched") / F.col("n_stages"), 6))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("chain_score"), "video_id"))
-    best = per.withColumn("video_rank", rank).where(F.col("video_rank") <= top_videos)
-    return taken.join(best, ["query_id", "video_id"]).select("query_id", "video_id", "stage", "frame_id", "chain_score", "video_rank")
+    best = per.withColumn("video_rank", rank).where(F.col("video_rank") <= top_videos).drop("n_stages")
+    chains = taken.join(best, ["query_id", "video_id"]).select("query_id", "video_id", "stage", "frame_id", "chain_score", "video_rank")
+    return chains.unionByName(alone)
 
 
-def chain_fallback(chain: DataFrame, hits: DataFrame, min_rows: int = 40, max_rows: int = 200) -> DataFrame:
-    """query_id, video_id, frame_id, stage: where a query's chain has fewer than ``min_rows``, stage-1 hits by score fill it up to ``max_rows``."""
+def filled_chain(chain: DataFrame, hits: DataFrame, min_rows: int = 40, max_rows: int = 200) -> DataFrame:
+    """query_id, video_id, frame_id, stage, rank: a chain's rows by video, stage and frame; where there are fewer than ``min_rows``, stage-1 hits by score fill up to ``max_rows``."""
     n = chain.groupBy("query_id").agg(F.count("*").alias("n"))
     first = hits.where("stage = 1").join(n, "query_id", "left").na.fill(0, ["n"]).where(F.col("n") < min_rows)
     extra = first.join(chain.select("query_id", *KEY).distinct(), ["query_id", *KEY], "left_anti")
     r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *KEY))
     extra = extra.withColumn("r", r).where(F.col("n") + F.col("r") <= max_rows)
-    return chain.select("query_id", *KEY, "stage").unionByName(extra.select("query_id", *KEY, F.lit(1).cast(chain.schema["stage"].dataType).alias("stage")))
+    own = F.row_number().over(Window.partitionBy("query_id").orderBy("video_rank", "stage", "frame_id"))
+    kind = chain.schema["stage"].dataType
+    return chain.select("query_id", *KEY, "stage", own.cast("long").alias("rank")).unionByName(extra.select("query_id", *KEY, F.lit(1).cast(kind).alias("stage"), (F.col("n") + F.col("r")).cast("long").alias("rank")))
+
+
+def chain_fallback(chain: DataFrame, hits: DataFrame, min_rows: int = 40, max_rows: int = 200) -> DataFrame:
+    """query_id, video_id, frame_id, stage of ``filled_chain``."""
+    return filled_chain(chain, hits, min_rows, max_rows).drop("rank")
 
 
 def group_by_video(hits: DataFrame) -> DataFrame:
@@ -148,9 +171,31 @@ def auto_stages(queries: DataFrame, stage_vectors: DataFrame, search_chain, sear
     ``stage_vectors``: query_id, stage, qvec of ``chained_stages``. ``search_chain`` takes stages' vectors (query_id, stage, qvec) and gives a
     chain's rows (query_id, video_id, frame_id, stage, rank); ``search_one`` takes the other queries and their vectors and gives ranked hits.
     """
-    asked = chained_stages(queries)
-    many = asked.where("chained").join(stage_vectors, ["query_id", "stage"]).select("query_id", "stage", "qvec")
+    asked = staged(chained_stages(queries), "stages")
+    many = asked.where("chained").join(stage_vectors, ["query_id", "stage"], "left").select("query_id", "stage", "qvec")
     one = queries.join(asked.where("not chained").select("query_id").distinct(), "query_id", "left_semi")
     vec = stage_vectors.where("stage = 1").join(one.select("query_id"), "query_id", "left_semi").select("query_id", "qvec")
     flat = search_one(one, vec).select("query_id", *KEY, F.lit(None).cast("long").alias("stage"), F.col("rank").cast("long").alias("rank"))
     return search_chain(many).select("query_id", *KEY, F.col("stage").cast("long").alias("stage"), F.col("rank").cast("long").alias("rank")).unionByName(flat)
+
+
+def chain_search(vectors: DataFrame, limit: int = 1000, **chain):
+    """For ``auto_stages``: takes stages' vectors (query_id, stage, qvec), any number a query, and gives its chain's rows (query_id, video_id, frame_id, stage, rank).
+
+    Each stage looks for twice ``limit`` nearest frames; how many stages a query has is its largest, whether it found something or not.
+    """
+
+    def search(many: DataFrame) -> DataFrame:
+        kind = many.schema["query_id"].dataType
+        one = F.concat_ws(":", F.col("stage").cast("string"), F.col("query_id").cast("string"))
+        near = knn_search(many.where("qvec is not null").select(one.alias("query_id"), "qvec"), vectors, 2 * limit)
+        parts = F.split("query_id", ":", 2)
+        hits = staged(near.select(parts[1].cast(kind).alias("query_id"), parts[0].cast("long").alias("stage"), *KEY, "score"), "stage-hits")
+        return filled_chain(temporal_chain(hits, many.groupBy("query_id").agg(F.max("stage").alias("n_stages")), **chain), hits)
+
+    return search
+
+
+def search_any(queries: DataFrame, stage_vectors: DataFrame, vectors: DataFrame, shown: DataFrame, said: DataFrame, limit: int = 1000, **how) -> DataFrame:
+    """``auto_stages`` of texts from beginning to end: query_id, video_id, frame_id, stage, rank. ``stage_vectors``: query_id, stage, qvec for ``chained_stages`` of ``queries``."""
+    return auto_stages(queries, stage_vectors, chain_search(vectors, limit), lambda one, vec: hybrid_search(one, vec, vectors, shown, said, limit, **how))

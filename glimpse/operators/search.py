@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimpse.functions.text import strip_accents, word_tokens
+from glimpse.functions.text import strip, strip_accents, word_tokens
+from glimpse.operators import textindex as ti
 from glimpse.sources.readers import staged
 
 KEY = ["video_id", "frame_id"]
@@ -43,40 +44,52 @@ def _tokens(stop_words: tuple[str, ...], synonyms: dict[str, list[str]] | None)
     own = F.when(F.size(kept) > 0, kept).otherwise(t)
     if not synonyms:
         return t, own, own
-    bare, none = strip_accents(F.trim("text")), F.array().cast("array<string>")
+    bare, none = strip_accents(strip(F.col("text"))), F.array().cast("array<string>")
     more = [F.when(F.contains(bare, strip_accents(F.lit(k))), word_tokens(F.lit(" ".join(v)))).otherwise(none) for k, v in synonyms.items()]
     return t, own, F.array_union(own, F.array_except(F.flatten(F.array(*more)), stop))
 
 
-def bm25_binary(queries: DataFrame, docs: DataFrame, stop_words: tuple[str, ...] = (), k1: float = 1.2, b: float = 0.75, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+def bm25_binary(queries: DataFrame, docs: DataFrame | ti.TextIndex, stop_words: tuple[str, ...] = (), k1: float = 1.2, b: float = 0.75, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
     """query_id, video_id, frame_id, score, shared (words), n (words of the document), n_query: BM25 with a term frequency of 1.
 
-    Documents are cut into words once; that table is written to the shared folder, as lengths, frequencies and postings all need it.
+    With an index, frequencies and postings of the queries' words are read from it. Documents of a table are cut into words once; that table is written to the
+    shared folder, as lengths, frequencies and postings all need it.
     """
     q = query_tokens(queries, stop_words, synonyms)
-    words = word_tokens(F.col("text"))
-    table = staged(docs.select(*KEY, words.alias("w")).withColumn("n", F.size("w").cast("long")).where("n > 0"), "words")
-    avg = table.agg(F.count("*").alias("n_docs"), (F.sum("n") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
-    wanted = table.select(*KEY, "n", F.explode("w").alias("token")).join(q.select("token").distinct(), "token")  # only words that some query has
-    df = wanted.groupBy("token").agg(F.count("*").alias("df"))
-    weight = df.crossJoin(F.broadcast(avg)).select("token", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))  # avg is one row
+    if isinstance(docs, ti.TextIndex):
+        wanted, avg, weighed = docs.postings(q), docs.average(), ti.with_frequencies(q, docs).drop("df")
+    else:
+        words = word_tokens(F.col("text"))
+        table = staged(docs.select(*KEY, words.alias("w")).withColumn("n", F.size("w").cast("long")).where("n > 0"), "words")
+        avg = table.agg(F.count("*").alias("n_docs"), (F.sum("n") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
+        wanted = table.select(*KEY, "n", F.explode("w").alias("token")).join(q.select("token").distinct(), "token")  # only words that some query has
+        df = wanted.groupBy("token").agg(F.count("*").alias("df"))
+        weight = df.crossJoin(F.broadcast(avg)).select("token", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))  # avg is one row
+        weighed = q.join(weight, "token")
     nq = q.groupBy("query_id").agg(F.count("*").alias("n_query"))
-    hits = wanted.join(q.join(weight, "token"), "token").groupBy("query_id", *KEY, "n").agg(F.sum("idf").alias("idf"), F.count("*").alias("shared"))
+    hits = wanted.join(weighed, "token").groupBy("query_id", *KEY, "n").agg(F.sum("idf").alias("idf"), F.count("*").alias("shared"))
     hits = hits.join(nq, "query_id").crossJoin(F.broadcast(avg))
-    score = F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("n") / F.greatest("avgdl", F.lit(1.0))))
+    score = F.col("idf") * ti.length_factor(F.col("n"), F.col("avgdl"), k1, b)
     return hits.select("query_id", *KEY, F.round(score, 6).alias("score"), "shared", "n", "n_query")
 
 
+def bm25_top(queries: DataFrame, index: ti.TextIndex, k: int = 10, stop_words: tuple[str, ...] = (), synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """query_id, video_id, frame_id, score, rank: the first ``k`` of each query by ``bm25_binary``, without scoring all documents that share a word."""
+    return ti.bm25_top(query_tokens(queries, stop_words, synonyms), index, k)[0]
+
+
 def ranked(hits: DataFrame, k: int, by: str = "score") -> DataFrame:
     """The first ``k`` of each query by score, ties by key, with rank."""
     w = Window.partitionBy("query_id").orderBy(F.desc(by), *KEY)
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def candidate_docs(queries: DataFrame, docs: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """query_id, video_id, frame_id: documents that share a word with the query."""
-    q = query_tokens(queries, stop_words)
-    return build_postings(docs).join(q, "token").select("query_id", *KEY).distinct()
+def candidate_docs(queries: DataFrame, docs: DataFrame, stop_words: tuple[str, ...] = (), synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """query_id, video_id, frame_id: documents that share a word with the query or its synonyms; all documents, if none does."""
+    q = query_tokens(queries, stop_words, synonyms)
+    found = build_postings(docs).join(q, "token").select("query_id", *KEY).distinct()
+    alone = queries.select("query_id").distinct().join(found.select("query_id").distinct(), "query_id", "left_anti")
+    return found.unionByName(alone.crossJoin(docs.select(*KEY).distinct()))  # what the result is made of
 
 
 def tier_score(q: Column, d: Column, qa: Column, da: Column, words: Column) -> Column:
@@ -97,20 +110,32 @@ def word_score(bm: Column, shared: Column, n_doc: Column, n_query: Column) -> Co
     return F.round(F.least(0.70 + 0.20 * F.least(bm / 3, F.lit(1.0)) + 0.10 * (2 * p * r / (p + r)), F.lit(0.96)), 3)
 
 
-def search_text(queries: DataFrame, docs: DataFrame, stop_words: tuple[str, ...] = (), limit: int = 1000, min_score: float = 0.65, fuzzy: bool = False, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+def search_text(queries: DataFrame, docs: DataFrame | ti.TextIndex, stop_words: tuple[str, ...] = (), limit: int = 1000, min_score: float = 0.65, fuzzy: bool = False, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
     """query_id, video_id, frame_id, score, rank: documents that share a word with the query or its synonyms, by tier, cut at ``min_score``; blank queries have no hits.
 
     Where one text holds the other, all words of the inner but its first and last are words of the outer: counts of words tell which
     pairs may be such, and only for these, and for those that lengths allow to be alike, are texts looked at, which are prepared once a document.
+
+    An index is searched by bounds of scores, and serves queries that share no word with any document as well: documents that hold their text, are part of it or, if
+    ``fuzzy``, are spelled alike. A table is searched for shared words alone.
     """
-    asked = queries.where(F.trim("text") != "")
-    low = F.lower(F.trim("text"))
-    every, own, _ = _tokens(stop_words, synonyms)
-    q = asked.select("query_id", low.alias("q"), strip_accents(low).alias("qa"), F.size(every).alias("n_all"), F.size(own).alias("n_own"))
-    s = bm25_binary(asked, docs, stop_words, synonyms=synonyms).withColumnRenamed("score", "bm").join(q, "query_id")
+    asked = queries.where(strip(F.col("text")) != "")
+    low = F.lower(strip(F.col("text")))
+    every, own, more = _tokens(stop_words, synonyms)
+    q = asked.select("query_id", low.alias("q"), strip_accents(low).alias("qa"), F.size(every).alias("n_all"), F.size(own).alias("n_own"), F.size(more).cast("long").alias("n_query"))
+    if isinstance(docs, ti.TextIndex):
+        q = staged(q, "queries")
+        tokens = query_tokens(asked, stop_words, synonyms)
+        words = ti.with_frequencies(tokens, docs).join(q.select("query_id", "n_all", "n_own", "n_query"), "query_id")
+        s = _bounded(words, docs, limit, fuzzy).join(q.drop("n_query"), "query_id")
+        text = docs.docs().select(F.col("video_id").alias("d_video"), F.col("frame_id").alias("d_frame"), "d", "da")
+        alone = q.join(words.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "q", "qa")
+    else:
+        s = bm25_binary(asked, docs, stop_words, synonyms=synonyms).withColumnRenamed("score", "bm").join(q.drop("n_query"), "query_id")
+        text = docs.select(F.col("video_id").alias("d_video"), F.col("frame_id").alias("d_frame"), low.alias("d"), strip_accents(low).alias("da"))
+        alone = None
     inside = F.col("shared") >= F.col("n_own") - 2
     around = (F.col("n") <= F.col("n_all") + 2) & (F.col("shared") >= F.col("n") - 2 - (F.col("n_all") - F.col("n_own")))
-    text = docs.select(F.col("video_id").alias("d_video"), F.col("frame_id").alias("d_frame"), low.alias("d"), strip_accents(low).alias("da"))
     same = (F.col("video_id") == F.col("d_video")) & (F.col("frame_id") == F.col("d_frame"))
     words = word_score(F.col("bm"), F.col("shared"), F.col("n"), F.col("n_query"))
     a, c = F.length("qa"), F.length("da")
@@ -118,10 +143,47 @@ def search_text(queries: DataFrame, docs: DataFrame, stop_words: tuple[str, ...]
     j = s.join(text, same & (inside | around | alike), "left")
     score = tier_score(F.col("q"), F.col("d"), F.col("qa"), F.col("da"), words)
     if fuzzy:
+        # only the last tier, of words, is raised by likeness
         ratio = F.when(alike, _ratio()(F.when(alike, F.col("qa")), F.when(alike, F.col("da"))))
-        score = F.greatest(score, F.when(ratio >= 0.65, F.round(0.65 + 0.22 * ratio, 3)).otherwise(F.lit(0.0)))
-    hits = j.select("query_id", *KEY, F.round(score, 3).alias("score")).where(F.col("score") >= min_score)
-    return ranked(hits, limit)
+        raised = F.greatest(words, F.when(ratio >= 0.65, F.round(0.65 + 0.22 * ratio, 3)).otherwise(F.lit(0.0)))
+        score = tier_score(F.col("q"), F.col("d"), F.col("qa"), F.col("da"), raised)
+    hits = j.select("query_id", *KEY, F.round(score, 3).alias("score"))
+    if alone is not None:
+        hits = hits.unionByName(_without_words(staged(alone, "alone"), docs, fuzzy))
+    return ranked(hits.where(F.col("score") >= min_score), limit)
+
+
+def _bounded(words: DataFrame, index: ti.TextIndex, limit: int, fuzzy: bool) -> DataFrame:
+    """query_id, key, n, shared, n_query, bm of the documents that may be among a query's first ``limit``. ``words`` has n_all, n_own, n_query."""
+    avg = index.average().first()["avgdl"] or 1.0
+    bm = lambda idf, n: F.round(idf * ti.length_factor(F.coalesce(n, F.lit(0)), F.lit(float(avg))), 6)
+
+    def least(idf, shared, n):
+        w = word_score(bm(idf, n), shared, n, F.col("n_query"))
+        return F.when((shared >= F.col("n_own") - 2) | (n <= F.col("n_all") + 2), F.least(w, F.lit(0.82))).otherwise(w)  # a tier of texts may be below that of words
+
+    def most(idf, shared, n):
+        p, r = shared / F.col("n_query"), F.least(F.lit(1.0), shared / F.greatest(n, F.lit(1)))  # without length all its words may be shared; null is no least
+        w = F.round(F.least(0.70 + 0.20 * F.least(bm(idf, n) / 3, F.lit(1.0)) + 0.10 * (2 * p * r / (p + r)), F.lit(0.96)), 3)
+        w = F.greatest(w, F.lit(0.87)) if fuzzy else w
+        return F.when((shared >= F.col("n_own") - 2) | F.coalesce(n <= F.col("n_all") + 2, F.lit(False)), 1.0).otherwise(w)
+
+    short = lambda n, left: (n <= F.col("n_all") + 2) & (n <= left + 2 + F.col("n_all") - F.col("n_own"))
+    pairs, _ = ti.bounded_pairs(words, index, limit, least, most, short)
+    nq = words.select("query_id", "n_query").distinct()
+    return pairs.join(nq, "query_id").select("query_id", *KEY, "n", "shared", "n_query", bm(F.col("idf"), F.col("n")).alias("bm"))
+
+
+def _without_words(alone: DataFrame, index: ti.TextIndex, fuzzy: bool) -> DataFrame:
+    """query_id, key, score of queries (query_id, q, qa) that share no word with any document."""
+    held = ti.containing(alone, index).unionByName(ti.contained(alone, index)).distinct()
+    j = held.join(alone, "query_id").join(index.docs().select(*KEY, "d", "da"), KEY)
+    zero = F.lit(0.0)
+    hits = j.select("query_id", *KEY, F.round(tier_score(F.col("q"), F.col("d"), F.col("qa"), F.col("da"), zero), 3).alias("score"))
+    if not fuzzy:
+        return hits
+    near = ti.alike(alone, index).withColumn("ratio", _ratio()("qa", "da")).where("ratio >= 0.65").select("query_id", *KEY, F.round(0.65 + 0.22 * F.col("ratio"), 3).alias("score"))
+    return hits.unionByName(near.join(held, ["query_id", *KEY], "left_anti"))
 
 
 # Words of queries that say nothing of the texts looked for, on screen and in speech.

@@ -316,10 +316,13 @@ def neighbor_frames(spark, d):
 SYN = {"the": ["that", "one"], "una": ["un"], "und": ["mit der"], "les": ["des"]}
 
 
+_BARE = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+
+
 def _lex(p: str, q: str, x: str, stop: tuple[str, ...], syn: dict[str, list[str]] | None = None) -> str:
     """The tables of a lexical search of queries ``q`` in documents ``x``, their names with ``p`` before them."""
     words = "(" + ", ".join(f"'{w}'" for w in stop) + ")"
-    more = ", ".join(f"case when contains(lower(strip_accents(lower(trim(text)))), '{k}') then [{', '.join(repr(w) for w in dict.fromkeys(' '.join(v).split()))}] else [] end" for k, v in (syn or {}).items())
+    more = ", ".join(f"case when contains(lower(strip_accents(lower({_BARE}))), '{k}') then [{', '.join(repr(w) for w in dict.fromkeys(' '.join(v).split()))}] else [] end" for k, v in (syn or {}).items())
     return f""", {p}po as (select video_id, frame_id, unnest({_TOK}) as token from {x}), {p}dl as (select video_id, frame_id, len({_TOK}) as n from {x}), {p}av as (select count(*) as n_docs, sum(n)::double/greatest(count(*),1) as avgdl from {p}dl where n > 0),
 {p}qt0 as (select query_id, {_TOK} as t, list_filter(flatten([[]::varchar[]{', ' + more if more else ''}]), lambda x: x not in {words}) as more from {q}),
 {p}qw as (select query_id, case when len(list_filter(t, lambda x: x not in {words})) > 0 then list_filter(t, lambda x: x not in {words}) else t end as own, more from {p}qt0),
@@ -327,7 +330,7 @@ def _lex(p: str, q: str, x: str, stop: tuple[str, ...], syn: dict[str, list[str]
 {p}df as (select token, count(*) as df from {p}po where token in (select token from {p}qt) group by 1),
 {p}bm as (select t.query_id, o.video_id, o.frame_id, sum(ln((n_docs-df+0.5::double)/(df+0.5::double)+1)) as idf, count(*) as shared from {p}qt t join {p}po o using (token) join {p}df using (token), {p}av group by all),
 {p}bs as (select query_id, video_id, frame_id, round(idf*2.2::double/(1+1.2::double*(1-0.75::double+0.75::double*n/greatest(avgdl,1.0::double))), 6) as score, shared, n, n_query from {p}bm join {p}dl using (video_id, frame_id) join {p}nq using (query_id), {p}av),
-{p}xp as materialized (select video_id, frame_id, lower(trim(text)) as d, lower(strip_accents(lower(trim(text)))) as da from {x}), {p}qp as materialized (select query_id, lower(trim(text)) as q, lower(strip_accents(lower(trim(text)))) as qa from {q}),
+{p}xp as materialized (select video_id, frame_id, lower({_BARE}) as d, lower(strip_accents(lower({_BARE}))) as da from {x}), {p}qp as materialized (select query_id, lower({_BARE}) as q, lower(strip_accents(lower({_BARE}))) as qa from {q}),
 {p}ta as (select b.*, q, qa, d, da, shared::double/n_query as p, shared::double/greatest(n,1) as r from {p}bs b join {p}qp using (query_id) join {p}xp using (video_id, frame_id)),
 {p}ts as (select query_id, video_id, frame_id, round(case when q = d then 1.0::double when contains(d, q) then 0.95::double+0.05::double*length(q)/greatest(length(d),1)
  when length(d) >= 3 and contains(q, d) then 0.90::double+0.05::double*length(d)/greatest(length(q),1)
@@ -362,9 +365,11 @@ def bm25_binary(spark, d):
     return se.bm25_binary(fx.queries(spark, d), fx.docs(spark, d), STOP).withColumn("n_query", F.col("n_query"))
 
 
-@query(_LEX + " select distinct query_id, video_id, frame_id from po join qt using (token)")
+@query(_LEX.replace("qx as (select item_id::bigint as query_id, text from benchmark)", "qx as (select item_id::bigint as query_id, case when item_id % 20 = 0 then 'zzqx' else text end as text from benchmark)") + ", sw as (select distinct query_id, video_id, frame_id from po join qt using (token)) select * from sw union all select query_id, video_id, frame_id from qx, dx where query_id not in (select query_id from sw)")
 def candidate_docs(spark, d):
-    return se.candidate_docs(fx.queries(spark, d), fx.docs(spark, d), STOP)
+    """Every twentieth query is a word that no document has."""
+    q = fx.queries(spark, d).withColumn("text", F.when(F.col("query_id") % 20 == 0, "zzqx").otherwise(F.col("text")))
+    return se.candidate_docs(q, fx.docs(spark, d), STOP)
 
 
 @query(ctes("dx", "qx") + _lex("", "qx", "dx", STOP, SYN) + " select * from tr where rank <= 1000")
@@ -378,11 +383,6 @@ def search_asr(spark, d):
     return se.search_asr(fx.queries(spark, d), fx.docs(spark, d), synonyms=SYN).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
-def search_ocr_fuzzy(spark, d):
-    return se.search_text(fx.queries(spark, d), fx.docs(spark, d), STOP, fuzzy=True)
-
-
 _DOT = "round(list_sum(list_transform(range(1, len(vec)+1), lambda i: qvec[i]*vec[i])), 6)"
 _KNN = ", kr as (select query_id, video_id, frame_id, score, row_number() over (partition by query_id order by score desc, video_id, frame_id) as rank from (select query_id, video_id, frame_id, round(list_dot_product(qvec, vec), 6) as score from vx, qv))"
 

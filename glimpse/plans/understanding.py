@@ -107,9 +107,9 @@ def split_stages(spark, d):
 
 
 _UNQ = """regexp_replace(regexp_replace(rest, '"\\s*(\\S[^"]*?\\S)\\s*"', '\\1', 'g'), '''\\s*(\\S[^'']*?\\S)\\s*''', '\\1', 'g')"""
-_DEC = f"""{_LOG}{_TOP}, u as (select *, {_OCR('rest')} as o, {_UNQ} as u from g), c as (select *, {_drop(_QUESTION(_strip('u')), ql.LEADS)} as core, {_ASKS('u')} as is_question from u),
-s as (select *, {_STAGES('core')} as f, len(string_split_regex(core, '\\s+')) <= 4 or core = '' as short from c),
-m as (select *, case when len(f) >= 2 then 'trake' when len(o) > 0 and short then 'ocr' when is_question then 'qa' else 'kis' end as mode, case when len(f) >= 2 then array_to_string(f, ' - ') else coalesce(nullif(core, ''), {_strip('text')}) end as v from s)
+_DEC_OF = f"""{_TOP}, u as (select *, {_OCR('rest')} as o, {_UNQ} as u from g), c as (select *, {_drop(_QUESTION(_strip('u')), ql.LEADS)} as core, {_ASKS('u')} as is_question from u),
+s as (select *, {_STAGES('core')} as f, len(string_split_regex(core, '\\s+')) <= 4 or core = '' as short from c)"""
+_DEC = f"""{_LOG}{_DEC_OF}, m as (select *, case when len(f) >= 2 then 'trake' when len(o) > 0 and short then 'ocr' when is_question then 'qa' else 'kis' end as mode, case when len(f) >= 2 then array_to_string(f, ' - ') else coalesce(nullif(core, ''), {_strip('text')}) end as v from s)
 select query_id, mode, topic, case when topic <> '' and not contains(lower(v), lower(topic)) then topic||' - '||v else v end as visual, is_question from m"""
 
 

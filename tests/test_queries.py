@@ -3,9 +3,9 @@ import os
 import pytest
 from oracle import duck, same
 
-from glimpse.plans import answers, catalog, files, understanding
+from glimpse.plans import answers, catalog, files, indexed, understanding
 
-assert answers and files and understanding
+assert answers and files and indexed and understanding
 DIR = os.environ.get("GLIMPSE_TEST_DIR", "/root/testdata/sf0.001")
 
 
