@@ -73,7 +73,8 @@ def frame_order_key(c: Column) -> Column:
     """Natural order of frame names: numbers first, by value, then others by their text without case."""
     bare = canonical_frame_id(c)
     number = bare.rlike("^[0-9]+$")
-    return F.struct((~number).alias("named"), F.when(number, bare.cast("decimal(38,0)")).alias("number"), F.when(~number, bare).alias("name"), F.lower(F.trim(c)).alias("whole"))
+    named = F.when(~number, F.struct(F.lower(bare).alias("name"), F.lower(strip(c)).alias("whole")))
+    return F.struct((~number).alias("named"), F.when(number, bare.cast("decimal(38,0)")).alias("number"), named["name"].alias("name"), named["whole"].alias("whole"))
 
 
 def video_and_frame(video: Column, frame: Column, source: Column, info: Column, path: Column) -> Column:
@@ -128,10 +129,21 @@ def format_ms(seconds: Column) -> Column:
 
 
 def canonical_frame_id(c: Column) -> Column:
-    """The id without its prefix, leading zeros and a trailing .0; a text that isn't such a number stays, lower-case."""
-    bare = F.regexp_replace(F.lower(F.trim(c)), r"^(key)?frame[_-]?", "")
-    digits = F.regexp_extract(bare, r"^0*([0-9]+)(\.0+)?$", 1)
-    return F.when(digits != "", digits).otherwise(bare)
+    """The number of a frame's name (with or without a prefix, leading zeros and a trailing .0) without leading zeros; a name that is no number stays as it is. Null is empty."""
+    name = strip(F.coalesce(c, F.lit("")))
+    digits = F.regexp_extract(name, r"(?i)^(?:frame[_-]?|keyframe[_-]?)?0*([0-9]+)(\.0+)?$", 1)
+    return F.when(digits != "", digits).otherwise(name)
+
+
+def file_stem(path: Column) -> Column:
+    """A file's name without folders and its last extension."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]+$", "")
+
+
+def named_frame_id(path: Column) -> Column:
+    """What follows "keyframe" in a file's name, else the name."""
+    stem = file_stem(path)
+    return F.coalesce(F.nullif(F.regexp_extract(stem, r"(?i)keyframe[_-]?(.+)$", 1), F.lit("")), stem)
 
 
 def parse_frame_id(path: Column) -> Column:
@@ -139,11 +151,17 @@ def parse_frame_id(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, r"(?:keyframe|frame)?[_-]?([0-9]+)\.[A-Za-z0-9]+$", 1), F.lit("")).cast("long")
 
 
+# How file names tell a time, in seconds, in milliseconds, in seconds with a point.
+NAMED_SECONDS = r"(?i)(?:^|[_-])ts[_-]?(\d+(?:\.\d+)?)s?(?:[_-]|$)"
+NAMED_MILLISECONDS = r"(?i)(?:^|[_-])(\d+(?:\.\d+)?)ms(?:[_-]|$)"
+NAMED_POINT = r"(?:^|[_-])(\d+\.\d+)(?:[_-]|$)"
+
+
 def timestamp_from_name(path: Column) -> Column:
-    """Seconds from a file name: ts_12.5s, else 1500ms, else _12.5_ (with a point), else null."""
-    name = F.element_at(F.split(path, "/"), -1)
-    part = lambda p: F.nullif(F.regexp_extract(name, p, 1), F.lit("")).cast("double")
-    return F.coalesce(part(r"ts_([0-9]+(?:\.[0-9]+)?)s"), part(r"([0-9]+(?:\.[0-9]+)?)ms") / 1000, part(r"_([0-9]+\.[0-9]+)_"))
+    """Seconds from a file name, by parts between its start, underscores, hyphens and its end: ts_12.5s, else 1500ms, else 12.5 (with a point), else null."""
+    stem = file_stem(path)
+    part = lambda p: F.nullif(F.regexp_extract(stem, p, 1), F.lit("")).cast("double")
+    return F.coalesce(part(NAMED_SECONDS), part(NAMED_MILLISECONDS) / 1000, part(NAMED_POINT))
 
 
 def doc_key(video: Column, frame: Column) -> Column:
@@ -159,11 +177,15 @@ def key_frame(key: Column) -> Column:
     return F.nullif(F.regexp_extract(F.element_at(F.split(key, "/"), -1), r"([0-9]+)", 1), F.lit("")).cast("long")
 
 
+# Fixed value: the letters with marks that tell Vietnamese.
+VIETNAMESE = "[àáãạảăắằẳẵặâấầẩẫậèéẹẻẽêềếểễệđìíĩỉịòóõọỏôốồổỗộơớờởỡợùúũụủưứừửữựỳýỹỷỵ]"
+
+
 def is_vietnamese(c: Column) -> Column:
-    """Has a letter with a mark that Vietnamese uses and most other Latin scripts don't."""
-    return F.lower(c).rlike("[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]")
+    """Has a letter with a mark that Vietnamese uses."""
+    return F.lower(c).rlike(VIETNAMESE)
 
 
-def bare_video(c: Column) -> Column:
-    """A video's name as joins use it: no folder, no .mp4, lower case."""
-    return F.regexp_replace(F.lower(F.element_at(F.split(F.trim(c), "/"), -1)), r"\.mp4$", "")
+def plain_video(c: Column) -> Column:
+    """A video's name without .mp4 and outer white space."""
+    return strip(F.regexp_replace(c, r"(?i)\.mp4\s*$", ""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimpse.functions.text import canonical_frame_id, collapse_spaces, frame_order_key, text_quality, timestamp_from_name
+from glimpse.functions.text import canonical_frame_id, frame_order_key, named_frame_id, normalize_text, text_quality, timestamp_from_name
 
 
 def segment_scenes(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -134,13 +134,12 @@ def junk_segment(text: Column, no_speech: Column, logprob: Column, fillers: tupl
 
 def resolve_timestamp(frames: DataFrame, frame_map: DataFrame, fps: float = 0.0) -> DataFrame:
     """``frames`` (video_id, path) with seconds: of the frame map (video_id, frame_id, seconds) by the name's number, else from the file name, else number / fps, else null."""
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[A-Za-z0-9]+$", "")
-    number = F.expr("try_cast(nth as bigint)")
-    f = frames.withColumn("nth", canonical_frame_id(F.regexp_replace(name, r"(?i)^keyframe[_-]?", ""))).withColumn("nth", number)
+    named = named_frame_id(F.col("path"))
+    f = frames.withColumn("nth", canonical_frame_id(named).try_cast("bigint")).withColumn("plain", named.rlike("^[0-9]+$"))
     m = frame_map.groupBy(F.col("video_id").alias("m_video"), F.col("frame_id").cast("long").alias("m_frame")).agg(F.min("seconds").alias("m_seconds"))
     j = f.join(m, (F.col("video_id") == F.col("m_video")) & (F.col("nth") == F.col("m_frame")), "left")
-    by_rate = F.col("nth") / float(fps) if fps > 0 else F.lit(None).cast("double")
-    return j.withColumn("seconds", F.coalesce("m_seconds", timestamp_from_name(F.col("path")), by_rate)).drop("nth", "m_video", "m_frame", "m_seconds")
+    by_rate = F.when(F.col("plain"), F.col("nth") / float(fps)) if fps > 0 else F.lit(None).cast("double")
+    return j.withColumn("seconds", F.coalesce("m_seconds", timestamp_from_name(F.col("path")), by_rate)).drop("nth", "plain", "m_video", "m_frame", "m_seconds")
 
 
 def align_segments(segments: DataFrame, frames: DataFrame, default_len: float = 2.0, sep: str = " | ") -> DataFrame:
@@ -148,7 +147,8 @@ def align_segments(segments: DataFrame, frames: DataFrame, default_len: float =
 
     ``segments``: video_id, segment_id (order of arrival), seg_start, seg_end, text; ``frames``: video_id, frame_id, seconds.
     Distinct texts of a frame are joined in order of arrival. The nearest frame is taken among the last before the start and the first
-    from it on; the earlier one wins only if strictly closer. A segment is no video's whole: pairs are bounded by its length.
+    from it on; the earlier one wins only if strictly closer. A segment is no video's whole: pairs are bounded by its length. Segments of videos
+    without frames go to frame floor(start * 25).
     """
     s = segments.withColumn("seg_end", F.coalesce("seg_end", F.col("seg_start") + default_len))
     s = s.withColumn("span", F.explode(F.sequence(F.floor(F.col("seg_start") / 60), F.floor(F.col("seg_end") / 60))))
@@ -163,7 +163,9 @@ def align_segments(segments: DataFrame, frames: DataFrame, default_len: float =
     left, right, mid = F.col("left"), F.col("right"), F.col("mid")
     pick = F.when(right.isNull(), left).when(left.isNotNull() & (F.abs(mid - left["seconds"]) < F.abs(right["seconds"] - mid)), left).otherwise(right)
     near = both.where("kind = 0").withColumn("pick", pick).where("pick is not null").select("video_id", "segment_id", F.col("pick.frame_id").alias("frame_id"), "text")
-    first = inside.unionByName(near).groupBy("video_id", "frame_id", "text").agg(F.min("segment_id").alias("at"))
+    unmapped = segments.join(frames.select("video_id").distinct(), "video_id", "left_anti")
+    unmapped = unmapped.select("video_id", "segment_id", F.floor(F.col("seg_start") * 25).cast(frames.schema["frame_id"].dataType).alias("frame_id"), "text")
+    first = inside.unionByName(near).unionByName(unmapped).groupBy("video_id", "frame_id", "text").agg(F.min("segment_id").alias("at"))
     return first.groupBy("video_id", "frame_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), sep).alias("text"))
 
 
@@ -272,12 +274,12 @@ def reuse_duplicate_text(frames: DataFrame, title_below: float = 6.0, ticker_bel
 
 
 def rank_text_candidates(candidates: DataFrame, top: int = 5, window: int = 5) -> DataFrame:
-    """video_id, frame_id, text, confidence, score, rank: the readings of a frame, equal ones (in any case) taken together.
+    """video_id, frame_id, text, confidence, score, rank: the readings of a frame, spelled right, equal ones (in any case) taken together.
 
     ``candidates``: video_id, frame_id, text, confidence, source, recent (the texts of the last frames). Score: 0.55 * confidence + 0.15 *
     sources (2 at most, halved) + 0.10 * quality + 0.20 * share of ``recent`` that agrees.
     """
-    t = collapse_spaces(F.col("text"))
+    t = normalize_text(F.col("text"))
     c = candidates.withColumn("text", t).where(F.length("text") >= 2).withColumn("k", F.lower("text"))
     agree = F.size(F.filter(F.coalesce("recent", F.array().cast("array<string>")), lambda r: F.lower(r) == F.col("k")))
     g = c.withColumn("agree", agree).groupBy("video_id", "frame_id", "k").agg(F.min("text").alias("text"), F.max(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "confidence"))).alias("confidence"), F.countDistinct("source").alias("sources"), F.max("agree").alias("agree"))

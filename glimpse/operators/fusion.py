@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimpse.functions.querylog import decompose
+from glimpse.functions.querylog import decompose, environment, route, select_model
 from glimpse.operators.search import KEY, knn_search, ranked, search_asr, search_ocr
 from glimpse.sources.readers import staged
 
@@ -140,6 +140,15 @@ def two_stage(coarse: DataFrame, queries: DataFrame, keep: int = 500, top_k: int
     return rerank(coarse.where(F.col("rank") <= keep), queries, top_k)
 
 
+def two_stage_by_model(coarse: dict[str, DataFrame], queries: DataFrame, fallback: str = "clip", keep: int = 500, top_k: int = 10) -> DataFrame:
+    """``two_stage``, each query (query_id, text) on the hits of the model that its kind and environment call for, of the ``fallback`` where there is none; with ``model``."""
+    m = select_model(route(F.col("text")), environment(F.col("text")))
+    asked = queries.withColumn("model", F.when(m.isin(*coarse), m).otherwise(fallback))
+    hits = reduce(DataFrame.unionByName, [h.select("query_id", *KEY, "score", "rank").withColumn("model", F.lit(n)) for n, h in coarse.items()])
+    own = hits.join(asked.select("query_id", "model"), ["query_id", "model"]).drop("model")
+    return two_stage(own, queries, keep, top_k).join(asked.select("query_id", "model"), "query_id")
+
+
 def hybrid_search(queries: DataFrame, query_vectors: DataFrame, vectors: DataFrame, shown: DataFrame, said: DataFrame, limit: int = 1000, shown_how: dict | None = None, said_how: dict | None = None) -> DataFrame:
     """query_id, video_id, frame_id, score, rank, score_kind: nearest frames, on-screen texts and speech, fused by rank.
 

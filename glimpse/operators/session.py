@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glimpse.functions.text import plain_video, strip
+
 
 def upsert_docs(base: DataFrame, updates: DataFrame) -> DataFrame:
     """video_id, frame_id, text: a key's last text (by seq in ``updates``), else the old one."""
@@ -69,34 +71,73 @@ def keep_first(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(order))).where("r = 1").drop("r")
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """``rows`` with videos' names without .mp4, and ``same``, by which names are compared."""
+    return rows.withColumn("video_id", plain_video(F.col("video_id"))).withColumn("same", F.lower("video_id"))
+
+
+def _candidate(rows: DataFrame) -> Column:
+    """A row's candidate, the first where there is none."""
+    return F.coalesce(F.col("candidate"), F.lit(1)).cast("long") if "candidate" in rows.columns else F.lit(1).cast("long")
+
+
 def selection_tray(events: DataFrame, cap: int = 10) -> DataFrame:
-    """query_id, task, video_id, frame_id, place: frames added in order, each once; ten at most unless the task is trake."""
-    once = keep_first(events, ["query_id", "video_id", "frame_id"], "seq")
+    """query_id, task, video_id, frame_id, place: frames added in order, each once; ten at most unless the task is trake.
+
+    Names of videos are the same in any case and with .mp4 or without. In trake a frame may be in several candidates (column candidate, 1 where missing).
+    """
+    e = _named(events).withColumn("in", F.when(F.col("task") == "trake", _candidate(events)).otherwise(F.lit(0).cast("long")))
+    once = keep_first(e, ["query_id", "in", "same", "frame_id"], "seq")
     p = once.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("seq")))
     return p.where((F.col("task") == "trake") | (F.col("place") <= cap)).select("query_id", "task", "video_id", "frame_id", "place")
 
 
 def kis_rows(selection: DataFrame) -> DataFrame:
-    """query_id, line_no, line: video,frame lines, each once, in order of selection."""
-    once = keep_first(selection, ["query_id", "video_id", "frame_id"], "seq")
+    """query_id, line_no, line: video,frame lines, each once (names in any case, without .mp4), in order of selection."""
+    once = keep_first(_named(selection), ["query_id", "same", "frame_id"], "seq")
     n = F.row_number().over(Window.partitionBy("query_id").orderBy("seq"))
     return once.select("query_id", n.alias("line_no"), F.concat_ws(",", "video_id", F.col("frame_id").cast("string")).alias("line"))
 
 
+def _answers(selection: DataFrame) -> Column:
+    """The answers of a frame, else the common ones: texts cut at bars, semicolons and line feeds, blank ones left out."""
+    cut = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), r"[|;\n]"), strip), lambda a: a != "")
+    return F.when(F.size(cut("answers")) > 0, cut("answers")).otherwise(cut("common") if "common" in selection.columns else F.array().cast("array<string>"))
+
+
 def qa_rows(selection: DataFrame, longest: int = 100) -> DataFrame:
-    """query_id, line_no, line: video,frame,"answer" for every answer of a frame (else the common ones, else 0), split at bars, semicolons and line feeds."""
-    answers = F.filter(F.transform(F.split(F.coalesce(F.nullif(F.trim("answers"), F.lit("")), F.nullif(F.trim("common"), F.lit("")), F.lit("0")), r"[|;\n]"), lambda a: F.trim(a)), lambda a: a != "")
-    s = selection.select("query_id", "seq", "video_id", "frame_id", F.posexplode(answers).alias("i", "answer"))
-    line = F.concat(F.col("video_id"), F.lit(","), F.col("frame_id").cast("string"), F.lit(',"'), F.replace(F.substring("answer", 1, longest), F.lit('"'), F.lit('""')), F.lit('"'))
-    s = s.withColumn("line", line).groupBy("query_id", "line").agg(F.min(F.struct("seq", "i")).alias("o"))
-    return s.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("o")).alias("line_no"), "line")
+    """query_id, line_no, line: video,frame,"answer" for every answer of a frame (else the common ones, else 0).
+
+    Of lines with the same video, frame and answer, in any case, the first stays.
+    """
+    own = _answers(selection)
+    s = _named(selection).select("query_id", "seq", "video_id", "same", "frame_id", F.posexplode(F.when(F.size(own) > 0, own).otherwise(F.array(F.lit("0")))).alias("i", "answer"))
+    s = s.withColumn("answer", F.substring("answer", 1, longest))
+    line = F.concat(F.col("video_id"), F.lit(","), F.col("frame_id").cast("string"), F.lit(',"'), F.replace("answer", F.lit('"'), F.lit('""')), F.lit('"'))
+    s = s.withColumn("line", line).groupBy("query_id", "same", "frame_id", F.lower("answer").alias("a")).agg(F.min(F.struct("seq", "i", "line")).alias("o"))
+    return s.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("o")).alias("line_no"), F.col("o.line").alias("line"))
+
+
+def qa_payload(selection: DataFrame, fps: float = 25.0) -> DataFrame:
+    """query_id, place, text: answer-video-milliseconds for every answer of every frame, as a contest takes questions; a query without frames gives its answers alone.
+
+    ``selection``: query_id, seq, video_id (null: no frame), frame_id, timestamp_ms, seconds, answers, common. A frame's time is its timestamp, else its seconds above 0, else its number by rate.
+    """
+    ms = F.coalesce(F.col("timestamp_ms").cast("long"), F.when(F.col("seconds") > 0, F.floor(F.col("seconds") * 1000 + 0.5)), F.floor(F.col("frame_id") * (1000.0 / fps) + 0.5))
+    s = _named(selection.withColumn("video_id", F.element_at(F.split("video_id", "/"), -1)))
+    s = s.select("query_id", "seq", "video_id", ms.alias("ms"), F.posexplode(_answers(selection)).alias("i", "answer"))
+    text = F.when(F.col("video_id").isNull(), F.col("answer")).otherwise(F.concat_ws("-", "answer", "video_id", F.col("ms").cast("string")))
+    return s.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("seq", "i")).alias("place"), text.alias("text"))
 
 
 def trake_rows(selection: DataFrame) -> DataFrame:
-    """query_id, line_no, line: per candidate its first frame's video and its distinct frames above 0, ascending."""
-    g = selection.groupBy("query_id", "candidate").agg(F.min_by("video_id", "seq").alias("video"), F.array_sort(F.collect_set(F.when(F.col("frame_id") > 0, F.col("frame_id")))).alias("f")).where(F.size("f") > 0)
+    """query_id, line_no, line: per candidate its first frame's video and its distinct frames above 0, ascending; the lines of ``kis_rows`` for a query where no candidate has such a frame."""
+    s = _named(selection).withColumn("candidate", _candidate(selection))
+    g = s.groupBy("query_id", "candidate").agg(F.min_by("video_id", "seq").alias("video"), F.array_sort(F.collect_set(F.when(F.col("frame_id") > 0, F.col("frame_id")))).alias("f")).where(F.size("f") > 0)
     n = F.row_number().over(Window.partitionBy("query_id").orderBy("candidate"))
-    return g.select("query_id", n.alias("line_no"), F.concat_ws(",", "video", F.array_join(F.transform("f", lambda x: x.cast("string")), ",")).alias("line"))
+    chains = g.select("query_id", n.alias("line_no"), F.concat_ws(",", "video", F.array_join(F.transform("f", lambda x: x.cast("string")), ",")).alias("line"))
+    some = selection.groupBy("query_id").agg(F.max(F.coalesce(F.col("frame_id") > 0, F.lit(False))).alias("some")).where("not some").select("query_id")
+    return chains.unionByName(kis_rows(selection.join(some, "query_id", "left_semi")))
 
 
 def renumber(candidates: DataFrame) -> DataFrame:
@@ -117,10 +158,21 @@ def submission_status(lines: DataFrame) -> DataFrame:
     return lines.groupBy("query_id").agg(F.count("*").alias("n_lines"))
 
 
-def reciprocal_ranks(hits: DataFrame, judged: DataFrame) -> DataFrame:
-    """query_id, rr: 1 / rank of the first relevant hit, 0 without one."""
-    j = hits.join(judged.select("video_id", "frame_id").distinct().withColumn("good", F.lit(1)), ["video_id", "frame_id"], "left")
-    return j.groupBy("query_id").agg(F.coalesce(F.round(1.0 / F.min(F.when(F.col("good") == 1, F.col("rank"))), 6), F.lit(0.0)).alias("rr"))
+def reciprocal_ranks(hits: DataFrame, judged: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """query_id, rr: 1 / rank of the first relevant hit, 0 without one. ``judged`` (video_id, frame_id) holds for all queries, or for one each with query_id.
+
+    Queries without hits count where they are named: those of ``queries``, else those of ``judged``.
+    """
+    key = ["video_id", "frame_id", *(["query_id"] if "query_id" in judged.columns else [])]
+    j = hits.join(judged.select(*key).distinct().withColumn("good", F.lit(1)), key, "left")
+    found = j.groupBy("query_id").agg(F.coalesce(F.round(1.0 / F.min(F.when(F.col("good") == 1, F.col("rank"))), 6), F.lit(0.0)).alias("rr"))
+    asked = queries if queries is not None else judged if "query_id" in judged.columns else None
+    return found if asked is None else asked.select("query_id").distinct().join(found, "query_id", "left").na.fill(0.0, ["rr"])
+
+
+def mean_reciprocal_rank(ranks: DataFrame) -> DataFrame:
+    """One row: mrr, n_queries."""
+    return ranks.agg(F.coalesce(F.round(F.avg("rr"), 6), F.lit(0.0)).alias("mrr"), F.count("*").alias("n_queries"))
 
 
 def contest_score(t: Column, limit: Column, wrong: Column) -> Column:

@@ -69,6 +69,22 @@ def two_stage_retrieval(spark, d):
     return fu.two_stage(se.knn_search(v, fx.vectors(spark, d), 500), q).withColumn("rank", F.col("rank").cast("long"))
 
 
+_KM = ctes("vx", "qv") + f""", l as (select query_id, case query_id % 4 when 0 then 'a red sign' when 1 then 'night in the dark' when 2 then 'a small cup with a pattern in close-up' else 'something else here' end as text from qv),
+e as (select query_id, text, case query_id % 4 when 1 then 'mix' when 2 then 'dinov2' else 'clip' end as model from l),
+kr as (select query_id, model, video_id, frame_id, score, row_number() over (partition by query_id order by score desc, video_id, frame_id) as rank from (select query_id, model, video_id, frame_id, round(list_dot_product(qvec, vec), 6) as score from vx, qv join e using (query_id) where model = 'clip' or (model = 'dinov2' and vec_id % 2 = 0) or (model = 'mix' and vec_id % 3 = 0)))
+select * from (select query_id, model, video_id, frame_id, score, row_number() over (partition by query_id order by score desc, video_id, frame_id) as rank from (select query_id, model, video_id, frame_id, round(score + 1.0::double/(60+rank), 6) as score from kr where rank <= 500)) where rank <= 10"""
+
+
+@query(_KM)
+def two_stage_by_model(spark, d):
+    """Three models, of which two know only some vectors; texts call for one of them, or for one that isn't there."""
+    v, q = fx.vectors(spark, d), fx.query_vectors(spark, d)
+    k = F.col("query_id") % 4
+    asked = q.select("query_id", F.when(k == 0, "a red sign").when(k == 1, "night in the dark").when(k == 2, "a small cup with a pattern in close-up").otherwise("something else here").alias("text"))
+    coarse = {"clip": v, "dinov2": v.where("vec_id % 2 = 0"), "mix": v.where("vec_id % 3 = 0")}
+    return fu.two_stage_by_model({n: se.knn_search(q, x, 500) for n, x in coarse.items()}, asked).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"{_LOG}, s as (select query_id, text, {_STAGES('text')} as f from l), r as (select query_id, len(f) >= 2 as chained, case when len(f) >= 2 then f else [text] end as f from s) select query_id, chained, unnest(range(1, len(f)+1)) as stage, unnest(f) as text from r")
 def auto_stages(spark, d):
     s = log(spark, d).withColumn("f", ql.split_stages(F.col("text")))

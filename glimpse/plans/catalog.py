@@ -58,28 +58,24 @@ def normalize_text(spark, d):
     return fx.docs(spark, d).select("doc_id", tx.normalize_text(text).alias("clean"))
 
 
-@query(ctes("kf") + ", n as (select event_id, case when event_id % 3 = 0 then event_type else 'keyframe_00'||cast(frame_id as varchar) end as name, frame_id from kf) select event_id, event_id % 3 = 0 as named, case when event_id % 3 > 0 then frame_id::double end as number, case when event_id % 3 = 0 then name end as name from n")
+@query(ctes("kf") + ", n as (select event_id, case event_id % 3 when 0 then 'Frame_'||event_type when 1 then 'KeyFrame_00'||cast(frame_id as varchar)||'.0' else cast(frame_id as varchar) end as name, frame_id from kf) select event_id, event_id % 3 = 0 as named, case when event_id % 3 > 0 then frame_id::double end as number, case when event_id % 3 = 0 then lower(name) end as name from n")
 def frame_order_key(spark, d):
-    name = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.concat(F.lit("keyframe_00"), F.col("frame_id").cast("string")))
+    number = F.col("frame_id").cast("string")
+    name = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Frame_"), "event_type")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("KeyFrame_00"), number, F.lit(".0"))).otherwise(number)
     k = fx.keyframes(spark, d).select("event_id", tx.frame_order_key(name).alias("k"))
     return k.select("event_id", "k.named", F.col("k.number").cast("double").alias("number"), "k.name")
 
 
 @query(ctes("kf") + """, m as (select video_id, frame_id, min(seconds) as s from kf where event_id % 3 = 0 group by all)
-select event_id, coalesce(m.s, case when event_id % 3 = 1 then event_id / 1000.0::double end, kf.frame_id / 25.0::double) as seconds from kf left join m on m.video_id = kf.video_id and m.frame_id = kf.frame_id""")
+select event_id, coalesce(m.s, case event_id % 3 when 1 then event_id / 100.0::double when 2 then kf.frame_id / 25.0::double end) as seconds from kf left join m on m.video_id = kf.video_id and m.frame_id = kf.frame_id""")
 def resolve_timestamp(spark, d):
-    """A third of the frames is on the map; of others, some names hold the time, and the rest goes by 25 frames a second."""
-    k = fx.keyframes(spark, d)
-    number = F.col("frame_id").cast("string")
-    path = F.concat(F.lit("a/"), F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("x_"), F.col("event_id").cast("string"), F.lit("ms/keyframe_"))).otherwise(F.lit("keyframe_")), number, F.lit(".webp"))
-    path = F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("a/keyframe_"), number, F.lit(".webp"))).otherwise(path)
-    frames = k.select("event_id", "video_id", path.alias("path"))
+    """A third of the frames is on the map; other names hold the time beside the number, or the number alone, which goes by 25 frames a second."""
+    k, e = fx.keyframes(spark, d), F.col("event_id")
+    number, hundredths = F.col("frame_id").cast("string"), F.concat(F.expr("event_id div 100").cast("string"), F.lit("."), F.lpad((e % 100).cast("string"), 2, "0"))
+    timed = F.concat(F.lit("b/ts_"), hundredths, F.lit("s_keyframe_00"), number, F.lit(".webp"))
+    path = F.when(e % 3 == 1, timed).otherwise(F.concat(F.lit("a/keyframe_"), number, F.lit(".webp")))
     on_map = k.where("event_id % 3 = 0").select("video_id", "frame_id", "seconds")
-    timed = fr.resolve_timestamp(frames.where("event_id % 3 <> 1"), on_map, 25.0)
-    # a name that holds both its number and its time, as some extractors write it
-    named = fr.resolve_timestamp(k.where("event_id % 3 = 1").select("event_id", "video_id", "frame_id", F.concat(F.lit("b/f"), F.col("event_id").cast("string"), F.lit("ms.webp")).alias("path")), on_map)
-    named = named.join(on_map.groupBy("video_id", "frame_id").agg(F.min("seconds").alias("m")), ["video_id", "frame_id"], "left").withColumn("seconds", F.coalesce("m", "seconds"))
-    return timed.select("event_id", "seconds").unionByName(named.select("event_id", "seconds"))
+    return fr.resolve_timestamp(k.select("event_id", "video_id", path.alias("path")), on_map, 25.0).select("event_id", "seconds")
 
 
 @query(ctes("kf") + """ select event_id, case when event_id % 4 = 3 then 'L1_V2' else video_id end as video, frame_id as frame from kf""")
@@ -120,9 +116,11 @@ def doc_key(spark, d):
     return k.select("doc_id", "key", tx.key_video(F.col("key")).alias("video"), tx.key_frame(F.col("key")).alias("frame"))
 
 
-@query("select doc_id, cast(doc_id+1 as varchar) as id from documents")
+@query("select doc_id, case when doc_id % 5 = 0 then 'Frame_'||lang else cast(doc_id+1 as varchar) end as id from documents")
 def canonical_frame_id(spark, d):
+    """Numbers in several dresses, and every fifth name no number at all."""
     raw = F.concat(F.when(F.col("doc_id") % 2 == 0, "keyframe_00").otherwise("FRAME_"), F.col("frame_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".0").otherwise(""))
+    raw = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" Frame_"), "lang", F.lit(" "))).otherwise(raw)
     return fx.docs(spark, d).select("doc_id", tx.canonical_frame_id(raw).alias("id"))
 
 
@@ -131,17 +129,23 @@ def parse_frame_id(spark, d):
     return fx.docs(spark, d).select("doc_id", tx.parse_frame_id(tx.doc_key(F.col("video_id"), F.col("frame_id"))).alias("frame"))
 
 
-@query(ctes("kf") + " select event_id, case when event_id%3=0 then value when event_id%3=1 then event_id/1000.0::double else null end as t from kf")
-def timestamp_from_name(spark, d):
-    e = F.col("event_id")
-    name = F.when(e % 3 == 0, F.concat(F.lit("a/ts_"), F.col("value").cast("string"), F.lit("s.webp"))).when(e % 3 == 1, F.concat(F.lit("b/f"), e.cast("string"), F.lit("ms.webp"))).otherwise("c/none.webp")
-    return fx.keyframes(spark, d).where("value >= 0.001 and value < 1e6").select("event_id", tx.timestamp_from_name(name).alias("t"))
+_NAMES = ("ts_{t}s", "TS-{t}_k", "ts{n}", "x_{n}MS", "{n}ms-x", "f{n}ms", "x_{t}", "{t}_x", "x_{n}", "none")
 
 
-ORACLES["timestamp_from_name"] += " where value >= 0.001 and value < 1e6"
+@query(ctes("kf") + f""", n as (select event_id, event_id // 100 || '.' || lpad((event_id % 100)::varchar, 2, '0') as t, event_id::varchar as n from kf),
+p as (select event_id, case event_id % 10 {" ".join(f"when {i} then " + repr(x).replace("{t}", "'||t||'").replace("{n}", "'||n||'") for i, x in enumerate(_NAMES))} end as stem from n),
+r as (select event_id, regexp_extract(stem, '{tx.NAMED_SECONDS}', 1) as a, regexp_extract(stem, '{tx.NAMED_MILLISECONDS}', 1) as b, regexp_extract(stem, '{tx.NAMED_POINT}', 1) as c from p)
+select event_id, case when a <> '' then a::double when b <> '' then b::double / 1000 when c <> '' then c::double end as t from r""")
+def timestamp_from_name(spark, d):
+    e, n = F.col("event_id"), F.col("event_id").cast("string")
+    t = F.concat(F.expr("event_id div 100").cast("string"), F.lit("."), F.lpad((e % 100).cast("string"), 2, "0"))
+    name = F.lit(None).cast("string")
+    for i, x in enumerate(_NAMES):
+        name = F.when(e % 10 == i, F.replace(F.replace(F.lit(x), F.lit("{t}"), t), F.lit("{n}"), n)).otherwise(name)
+    return fx.keyframes(spark, d).select("event_id", tx.timestamp_from_name(F.concat(F.lit("a.b/"), name, F.lit(".webp"))).alias("t"))
 
 
-@query("select doc_id, regexp_matches(lower(text), '[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]') as vi from documents")
+@query(f"select doc_id, regexp_matches(lower(text), '{tx.VIETNAMESE}') as vi from documents")
 def is_vietnamese(spark, d):
     return fx.docs(spark, d).select("doc_id", tx.is_vietnamese(F.col("text")).alias("vi"))
 
@@ -237,17 +241,18 @@ def junk_segment_filter(spark, d):
 
 
 def _segment_frames(spark, d):
-    v = fx.segments(spark, d).select("video_id").distinct()
+    v = fx.segments(spark, d).where("not video_id like '%7'").select("video_id").distinct()  # the others have no frame map
     return v.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("k")).select("video_id", (F.col("k") + 1).alias("frame_id"), (F.col("k") * 7.5).alias("seconds"))
 
 
-@query(ctes("sx") + """, g as (select distinct video_id, unnest(range(25)) as k from sx), f as (select video_id, k+1 as frame_id, k*7.5::double as seconds from g),
+@query(ctes("sx") + """, g as (select distinct video_id, unnest(range(25)) as k from sx where video_id not like '%7'), f as (select video_id, k+1 as frame_id, k*7.5::double as seconds from g),
 i as (select s.video_id, segment_id, frame_id, text from sx s join f on f.video_id = s.video_id and seconds between seg_start and seg_end),
-a as (select * from sx where (video_id, segment_id) not in (select video_id, segment_id from i)),
+a as (select * from sx where video_id not like '%7' and (video_id, segment_id) not in (select video_id, segment_id from i)),
 c as (select a.video_id, segment_id, text, frame_id, abs(seconds-(seg_start+seg_end)/2) as dist, seconds >= seg_start as after_ from a join f on f.video_id = a.video_id
       where frame_id in ((select max(frame_id) from f g where g.video_id = a.video_id and g.seconds < a.seg_start), (select min(frame_id) from f g where g.video_id = a.video_id and g.seconds >= a.seg_start))),
 n as (select video_id, segment_id, frame_id, text from (select *, row_number() over (partition by video_id, segment_id order by dist, after_ desc) as r from c) where r = 1),
-u as (select video_id, frame_id, text, min(segment_id) as o from (select video_id, segment_id, frame_id, text from i union all select * from n) group by all)
+z as (select video_id, segment_id, floor(seg_start*25)::bigint as frame_id, text from sx where video_id like '%7'),
+u as (select video_id, frame_id, text, min(segment_id) as o from (select video_id, segment_id, frame_id, text from i union all select * from n union all select * from z) group by all)
 select video_id, frame_id, string_agg(text, ' | ' order by o, text) as text from u group by all""")
 def align_segments_to_frames(spark, d):
     return fr.align_segments(fx.segments(spark, d), _segment_frames(spark, d))
@@ -404,10 +409,13 @@ def l2_normalize(spark, d):
     return fx.vectors(spark, d).select("vec_id", F.round(F.sqrt(se.dot(v, v)), 6).alias("before"), F.round(F.sqrt(se.dot(n, n)), 6).alias("after"))
 
 
-@query(ctes("vx") + ", c as (select vec_id, vec[1:32] as v from vx), n as (select vec_id, v, sqrt(list_dot_product(v, v)) as n from c) select vec_id, round(v[1]/n, 6) as first, round(v[32]/n, 6) as last, 32::bigint as size from n")
+@query(ctes("vx") + """, c as (select vec_id, vec[1:32] as v, 32 as d from vx union all select vec_id, list_concat(list_transform(vec, lambda x: x*0.85::double), list_transform(range(32), lambda i: 0.0::double)), 96 from vx),
+n as (select vec_id, d, v, sqrt(list_dot_product(v, v)) as n from c) select vec_id, d as size, unnest(range(1, d+1)) as i, round(unnest(v)/n, 6) as x from n""")
 def adapt_dimension(spark, d):
-    a = se.adapt_dimension(F.col("vec"), 32)
-    return fx.vectors(spark, d).select("vec_id", F.round(a[0], 6).alias("first"), F.round(a[31], 6).alias("last"), F.size(a).cast("long").alias("size"))
+    """Cut to 32 components and filled up to 96, each component."""
+    v = fx.vectors(spark, d)
+    one = lambda n: v.select("vec_id", F.lit(n).cast("int").alias("size"), F.posexplode(se.adapt_dimension(F.col("vec"), n)).alias("i", "x"))
+    return one(32).unionByName(one(96)).select("vec_id", "size", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 @query(ctes("vx") + " select upper(video_id)||'_'||cast(frame_id as varchar) as id, video_id, frame_id, round(vec[1], 6) as first from vx")
@@ -557,14 +565,17 @@ def pending_work(spark, d):
     return ss.pending_work(k.select("video_id").distinct(), k.where("value > 480"))
 
 
-@query(ctes("kf") + """, l as (select video_id as log, event_id as line_no, case when event_id % 97 = 0 then null else 'V'||cast((event_id // 6) % 40 as varchar) end as video_id, event_type as text, event_id % 6 = 5 and event_id % 4 <> 0 as done from kf),
+@query(ctes("kf") + """, r as (select *, row_number() over (order by event_id) - 1 as i from kf), l as (select 'log'||cast(i // 500 as varchar) as log, i as line_no, case when i % 97 = 0 then null else 'V'||cast((i // 6) % 400 as varchar) end as video_id, event_type as text, i % 6 = 5 and (i // 6) % 4 <> 0 as done from r),
 n as (select *, case when lag(line_no) over w is null or video_id is distinct from lag(video_id) over w or coalesce(lag(done) over w, false) then 1 else 0 end as new from l window w as (partition by log order by line_no)),
 b as (select *, sum(new) over (partition by log order by line_no) as block from n), g as (select log, block, video_id, max(line_no) as e from b where video_id is not null group by all having bool_or(done)),
 m as (select video_id, log, block from (select *, row_number() over (partition by video_id order by log desc, e desc) as r from g) where r = 1) select video_id, line_no, text from b join m using (video_id, log, block) where not done""")
 def latest_complete_block(spark, d):
-    e = F.col("event_id")
-    l = fx.keyframes(spark, d).select(F.col("video_id").alias("log"), e.alias("line_no"), F.when(e % 97 != 0, F.concat(F.lit("V"), (F.floor(e / 6) % 40).cast("string"))).alias("video_id"), F.col("event_type").alias("text"), ((e % 6 == 5) & (e % 4 != 0)).alias("done"))
-    return ss.latest_complete_block(l)
+    """Logs of 500 lines, six a video, of which most blocks end well; some lines can't be read."""
+    i = F.row_number().over(Window.orderBy("event_id")) - 1
+    k = fx.keyframes(spark, d).select("event_id", "event_type").withColumn("i", i.cast("long"))
+    video = F.when(F.col("i") % 97 != 0, F.concat(F.lit("V"), (F.floor(F.col("i") / 6) % 400).cast("string")))
+    done = (F.col("i") % 6 == 5) & (F.floor(F.col("i") / 6) % 4 != 0)
+    return ss.latest_complete_block(k.select(F.concat(F.lit("log"), F.floor(F.col("i") / 500).cast("string")).alias("log"), F.col("i").alias("line_no"), video.alias("video_id"), F.col("event_type").alias("text"), done.alias("done")))
 
 
 @query(ctes("sx") + " select video_id, count(*) as n_segments, count(*) filter (length(trim(text)) > 0) as n_ok, count(*) filter (length(trim(text)) = 0) as n_empty, max(seg_end) as duration from sx group by 1")
@@ -607,18 +618,18 @@ def query_history(spark, d):
 
 def _selection(spark, d):
     k = fx.keyframes(spark, d)
-    return k.select((F.col("event_id") % 20).alias("query_id"), F.col("event_id").alias("seq"), "video_id", (F.col("frame_id") % 5).alias("frame_id"), F.when(F.col("event_id") % 20 < 10, "kis").otherwise("trake").alias("task"), (F.floor(F.col("event_id") / 20) % 30).alias("candidate"))
+    return k.select((F.col("event_id") % 20).alias("query_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lower("video_id"), F.lit(".MP4"))).otherwise(F.col("video_id")).alias("video_id"), F.when(F.col("event_id") % 20 == 19, 0).otherwise(F.col("frame_id") % 5).alias("frame_id"), F.when(F.col("event_id") % 20 < 10, "kis").otherwise("trake").alias("task"), (F.floor(F.col("event_id") / 20) % 30).alias("candidate"))
 
 
-_SEL = ", se as (select event_id % 20 as query_id, event_id as seq, video_id, frame_id % 5 as frame_id, case when event_id % 20 < 10 then 'kis' else 'trake' end as task, event_id // 20 % 30 as candidate from kf), so as (select * from (select *, row_number() over (partition by query_id, video_id, frame_id order by seq) as r from se) where r = 1)"
+_SEL = ", se as (select event_id % 20 as query_id, event_id as seq, case when event_id % 3 = 0 then lower(video_id) else video_id end as video_id, case when event_id % 20 = 19 then 0 else frame_id % 5 end as frame_id, case when event_id % 20 < 10 then 'kis' else 'trake' end as task, event_id // 20 % 30 as candidate from kf), so as (select * from (select *, row_number() over (partition by query_id, lower(video_id), frame_id order by seq) as r from se) where r = 1), st as (select * from (select *, row_number() over (partition by query_id, lower(video_id), frame_id, case when task = 'trake' then candidate else 0 end order by seq) as r from se) where r = 1)"
 
 
-@query(ctes("kf") + _SEL + ", p as (select *, row_number() over (partition by query_id order by seq) as place from so) select query_id, task, video_id, frame_id, place from p where task = 'trake' or place <= 10")
+@query(ctes("kf") + _SEL + ", p as (select *, row_number() over (partition by query_id order by seq) as place from st) select query_id, task, video_id, frame_id, place from p where task = 'trake' or place <= 10")
 def selection_tray(spark, d):
     return ss.selection_tray(_selection(spark, d)).withColumn("place", F.col("place").cast("long"))
 
 
-@query(ctes("kf") + _SEL + """, p as (select *, row_number() over (partition by query_id order by seq) as place from so), c as (select query_id, any_value(task) as task, count(*) as n_frames from p where (task = 'trake' or place <= 10) and place <= query_id + 1 group by 1)
+@query(ctes("kf") + _SEL + """, p as (select *, row_number() over (partition by query_id order by seq) as place from st), c as (select query_id, any_value(task) as task, count(*) as n_frames from p where (task = 'trake' or place <= 10) and place <= query_id + 1 group by 1)
 select query_id, n_frames, case when task = 'trake' then null when n_frames > 5 then 'too many' when n_frames > 3 then 'many' when n_frames > 1 then 'fine' else 'best' end as band from c""")
 def selection_band(spark, d):
     return ss.selection_band(ss.selection_tray(_selection(spark, d)).where("place <= query_id + 1"))
@@ -629,14 +640,26 @@ def kis_rows(spark, d):
     return ss.kis_rows(_selection(spark, d)).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-@query(ctes("kf") + _SEL + """, a as (select query_id, seq, video_id, frame_id, unnest(case when seq % 3 = 0 then ['a"1', 'b'] else ['c'] end) as answer, unnest(case when seq % 3 = 0 then [0, 1] else [0] end) as i from se),
-l as (select query_id, video_id||','||cast(frame_id as varchar)||',"'||replace(answer, '"', '""')||'"' as line, min(seq*10+i) as o from a group by all) select query_id, row_number() over (partition by query_id order by o) as line_no, line from l""")
+@query(ctes("kf") + _SEL + """, a as (select query_id, seq, video_id, frame_id, unnest(case seq % 4 when 0 then ['a"1', 'b'] when 1 then ['A"1'] else ['c'] end) as answer, unnest(case seq % 4 when 0 then [0, 1] else [0] end) as i from se),
+l as (select query_id, lower(video_id) as v, frame_id, lower(answer) as w, min(seq*10+i) as o, arg_min(video_id||','||cast(frame_id as varchar)||',"'||replace(answer, '"', '""')||'"', seq*10+i) as line from a group by all) select query_id, row_number() over (partition by query_id order by o) as line_no, line from l""")
 def qa_rows(spark, d):
-    s = _selection(spark, d).withColumn("answers", F.when(F.col("seq") % 3 == 0, 'a"1 | b;')).withColumn("common", F.lit("c"))
-    return ss.qa_rows(s).withColumn("line_no", F.col("line_no").cast("long"))
+    """Frames' own answers, with capitals or without, or nothing but marks; else the common one."""
+    own = F.when(F.col("seq") % 4 == 0, 'a"1 | b;').when(F.col("seq") % 4 == 1, 'A"1').when(F.col("seq") % 4 == 2, " ; ")
+    return ss.qa_rows(_selection(spark, d).withColumn("answers", own).withColumn("common", F.lit("c"))).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@query(ctes("kf") + _SEL + """, t as (select event_id as seq, seconds from kf), a as (select query_id, seq, video_id, frame_id, case when seq % 5 = 0 then seq*3 when seq % 5 = 1 then floor(seconds*1000+0.5)::bigint else frame_id*40 end as ms, unnest(case when seq % 4 = 0 then ['a', 'b'] else ['c'] end) as answer, unnest(case when seq % 4 = 0 then [0, 1] else [0] end) as i from se join t using (seq))
+select query_id, row_number() over (partition by query_id order by seq, i) as place, case when query_id = 5 then answer else answer||'-'||video_id||'-'||ms::varchar end as text from a""")
+def qa_payload(spark, d):
+    """Times by timestamp, by seconds or by number; one query has no frames."""
+    q = F.col("seq") % 5
+    s = _selection(spark, d).join(fx.keyframes(spark, d).select(F.col("event_id").alias("seq"), "seconds"), "seq").withColumn("seconds", F.when(q == 1, F.col("seconds")).otherwise(0.0))
+    s = s.withColumn("timestamp_ms", F.when(q == 0, F.col("seq") * 3)).withColumn("answers", F.when(F.col("seq") % 4 == 0, "a|b")).withColumn("common", F.lit("c"))
+    s = s.withColumn("video_id", F.when(F.col("query_id") != 5, F.concat(F.lit("x/"), "video_id")))
+    return ss.qa_payload(s).withColumn("place", F.col("place").cast("long"))
 
 
-@query(ctes("kf") + _SEL + ", g as (select query_id, candidate, arg_min(video_id, seq) as v, string_agg(distinct cast(frame_id as varchar), ',' order by cast(frame_id as varchar)) filter (frame_id > 0) as f from se group by all) select query_id, row_number() over (partition by query_id order by candidate) as line_no, v||','||f as line from g where f is not null")
+@query(ctes("kf") + _SEL + ", g as (select query_id, candidate, arg_min(video_id, seq) as v, string_agg(distinct cast(frame_id as varchar), ',' order by cast(frame_id as varchar)) filter (frame_id > 0) as f from se group by all) select query_id, row_number() over (partition by query_id order by candidate) as line_no, v||','||f as line from g where f is not null union all select query_id, row_number() over (partition by query_id order by seq), video_id||','||cast(frame_id as varchar) from so where query_id = 19")
 def trake_rows(spark, d):
     return ss.trake_rows(_selection(spark, d)).withColumn("line_no", F.col("line_no").cast("long"))
 
@@ -663,11 +686,24 @@ def submission_status(spark, d):
     return ss.submission_status(ss.kis_rows(_selection(spark, d)))
 
 
-@query(_LEX + _TIER + ", g as (select doc_id+1 as frame_id, source as video_id from documents join labels using (doc_id) where quality = 1) select query_id, coalesce(round(1.0::double/min(case when g.frame_id is not null then rank end), 6), 0) as rr from tr left join g using (video_id, frame_id) where rank <= 1000 group by 1")
-def mrr(spark, d):
-    h = se.search_text(fx.queries(spark, d), fx.docs(spark, d), STOP)
+_MRR = _LEX + _TIER + ", g as (select doc_id+1 as frame_id, source as video_id from documents join labels using (doc_id) where quality = 1), f as (select query_id, coalesce(round(1.0::double/min(case when g.frame_id is not null then rank end), 6), 0) as rr from tr left join g using (video_id, frame_id) where rank <= 1000 group by 1), a as (select query_id, coalesce(rr, 0) as rr from (select query_id from qx union all select -query_id - 1 from qx) left join f using (query_id))"
+
+
+def _ranks(spark, d):
+    """Every query, and as many that find nothing."""
+    q = fx.queries(spark, d)
     good = fx.docs(spark, d).join(fx.table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id")
-    return ss.reciprocal_ranks(h, good)
+    return ss.reciprocal_ranks(se.search_text(q, fx.docs(spark, d), STOP), good, q.select("query_id").unionByName(q.select((-F.col("query_id") - 1).alias("query_id"))))
+
+
+@query(_MRR + " select * from a")
+def mrr(spark, d):
+    return _ranks(spark, d)
+
+
+@query(_MRR + " select round(avg(rr), 6) as mrr, count(*) as n_queries from a")
+def mrr_mean(spark, d):
+    return ss.mean_reciprocal_rank(_ranks(spark, d))
 
 
 @query(ctes("kf") + " select event_id, round(greatest(0.0::double, 50+50*(1-value/300.0::double)-10*(event_id%4)), 6) as score from kf")

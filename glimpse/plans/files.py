@@ -25,6 +25,17 @@ def read_frame_map(spark, d):
     return rd.read_frame_map(spark, f"{path}/maps").select("video_id", "frame_id", "seconds", "timestamp_ms")
 
 
+def _renamed(spark, source, target, column, names):
+    """Give each folder's one file its name in ``target``, by the file system's own API."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(target))
+    for value, name in names.items():
+        for f in fs.globStatus(path(f"{source}/{column}={value}/part-*")) or []:
+            fs.rename(f.getPath(), path(f"{target}/{name}"))
+
+
 def _as_maps(spark, source, target):
     """Give every written file a video's name, by the file system's own API."""
     jvm = spark.sparkContext._jvm
@@ -70,11 +81,14 @@ def read_metadata_json(spark, d):
     return rd.read_metadata_json(spark, path, multi_line=False)
 
 
-@query()
+@query("select 'V'||source||'.TXT' as name, sum(strlen(doc_id::varchar) + 1)::bigint as length from documents where source <> 'src0' group by source")
 def list_media(spark, d):
+    """A file a source, with a line a document; those of another kind aren't listed."""
     path = rd.scratch(spark, "media")
-    fx.docs(spark, d).select("text").write.text(path)
-    return rd.list_media(spark, path, ("txt",)).agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"))
+    fx.docs(spark, d).repartition(8, "video_id").select("video_id", F.col("doc_id").cast("string").alias("value")).write.partitionBy("video_id").text(f"{path}/raw")
+    names = {r[0]: f"V{r[0]}.{'TXT' if r[0] != 'src0' else 'log'}" for r in fx.docs(spark, d).select("video_id").distinct().collect()}  # a file each
+    _renamed(spark, f"{path}/raw", f"{path}/media", "video_id", names)
+    return rd.list_media(spark, f"{path}/media", ("txt",)).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").cast("long").alias("length"))
 
 
 @query(ctes("kf") + ", s as (select event_id % 20 as query_id, event_id as seq, video_id, frame_id % 5 as frame_id from kf), o as (select query_id, video_id, frame_id, min(seq) as seq from s group by all), n as (select query_id, row_number() over (partition by query_id order by seq) as line_no, video_id||','||cast(frame_id as varchar) as line from o) select query_id, line from n where line_no <= 100")

@@ -30,6 +30,11 @@ def log(spark, d):
     return fx.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("query_id"), text.alias("text"))
 
 
+def spoken_log(spark, d):
+    """``log`` with every seventh text as a wish to hear somebody speak about something."""
+    return log(spark, d).withColumn("text", F.when(F.col("query_id") % 7 == 0, F.concat(F.lit("nói về "), F.substring("text", 1, 12))).otherwise(F.col("text")))
+
+
 _C = lambda a, b: f"array_to_string(w[{a}:{b}], ' ')"
 _LOG = f"""with l0 as (select conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from conversations), l1 as (select *, string_split(t, ' ') as w from l0),
 l as (select (conv_id*1000+turn)::bigint as query_id, case (conv_id+turn)%6 when 0 then 'Find a video of '||t when 1 then 'tại '||{_C(1, 3)}||', '||t when 2 then {_C(1, 4)}||' then '||{_C(5, 8)}||'; stage 2: '||t
@@ -45,6 +50,7 @@ def _strip(x: str) -> str:
 
 
 def _drop(x: str, patterns) -> str:
+    x = _strip(x)
     for p in patterns:
         x = _strip(f"regexp_replace({x}, {_q('(?i)' + p)}, '', 'g')")
     return x
@@ -75,6 +81,11 @@ _OCR = lambda x: f"""list_filter(list_concat(list_transform(regexp_extract_all({
 _SET = lambda x: f"coalesce(list_aggregate(list_sort(list_distinct({x})), 'string_agg', '|'), '')"
 
 
+_SPOKEN = lambda x: "list_filter(list_transform(flatten([" + ", ".join(f"regexp_extract_all({x}, {_q('(?i)' + p)}, 1)" for p in ql.SPOKEN_FORMS) + f"]), lambda v: {_strip('v')}), lambda v: length(v) >= 2)"
+_KEYS = sorted(WORDS, key=len, reverse=True)
+_ENGLISH = lambda x: f"(case when len(list_filter([{', '.join(map(_q, _KEYS))}], lambda k: contains(lower({x}), k))) = 0 then '' else 'A video scene of '||array_to_string(list_transform(list_filter([{', '.join(map(_q, _KEYS))}], lambda k: contains(lower({x}), k)), lambda k: map([{', '.join(map(_q, _KEYS))}], [{', '.join(_q(WORDS[k]) for k in _KEYS)}])[k]), ', ') end)"
+
+
 def _set(c):
     return F.array_join(F.array_sort(c), "|")
 
@@ -109,13 +120,18 @@ def split_stages(spark, d):
 _UNQ = """regexp_replace(regexp_replace(rest, '"\\s*(\\S[^"]*?\\S)\\s*"', '\\1', 'g'), '''\\s*(\\S[^'']*?\\S)\\s*''', '\\1', 'g')"""
 _DEC_OF = f"""{_TOP}, u as (select *, {_OCR('rest')} as o, {_UNQ} as u from g), c as (select *, {_drop(_QUESTION(_strip('u')), ql.LEADS)} as core, {_ASKS('u')} as is_question from u),
 s as (select *, {_STAGES('core')} as f, len(string_split_regex(core, '\\s+')) <= 4 or core = '' as short from c)"""
-_DEC = f"""{_LOG}{_DEC_OF}, m as (select *, case when len(f) >= 2 then 'trake' when len(o) > 0 and short then 'ocr' when is_question then 'qa' else 'kis' end as mode, case when len(f) >= 2 then array_to_string(f, ' - ') else coalesce(nullif(core, ''), {_strip('text')}) end as v from s)
-select query_id, mode, topic, case when topic <> '' and not contains(lower(v), lower(topic)) then topic||' - '||v else v end as visual, is_question from m"""
+_DEC = f"""{_LOG.replace("\nl as (", "\nl_ as (")}, l as (select query_id, case when query_id % 7 = 0 then 'nói về '||text[1:12] else text end as text from l_){_DEC_OF}, m as (select *, {_SPOKEN('unq')} as a from (select *, {_UNQ} as unq from s)),
+n as (select *, case when len(f) >= 2 then 'trake' when len(o) > 0 and short then 'ocr' when len(a) > 0 and short then 'asr' when is_question then 'qa' else 'kis' end as mode, case when len(f) >= 2 then array_to_string(f, ' - ') else coalesce(nullif(core, ''), {_strip('text')}) end as v from m),
+vs as (select *, case when topic <> '' and not contains(lower(v), lower(topic)) then topic||' - '||v else v end as visual from n)
+select query_id, mode, topic, visual, is_question, len(f) >= 2 as is_temporal, 0.95::double as confidence, case when len(f) >= 2 then array_to_string(f, ' // ') else visual end as stages, {_SET('o')} as on_screen, {_SET('a')} as spoken,
+array_to_string(list_filter([{', '.join(map(_q, WORDS))}], lambda k: contains(lower(text), k)), ',') as entities, {_ENGLISH('visual')} as visual_english from vs"""
 
 
 @query(_DEC)
 def decompose(spark, d):
-    return ql.decompose(log(spark, d)).select("query_id", "mode", "topic", "visual", "is_question")
+    """All fields; every seventh text says whom somebody speaks about, in few words."""
+    q = ql.decompose(spoken_log(spark, d), WORDS)
+    return q.select("query_id", "mode", "topic", "visual", "is_question", "is_temporal", "confidence", F.array_join("stages", " // ").alias("stages"), _set(F.col("on_screen")).alias("on_screen"), _set(F.col("spoken")).alias("spoken"), F.array_join("entities", ",").alias("entities"), "visual_english")
 
 
 _ROUTE = f"case when {_NW} = 0 then 'simple_text' when {_found('text', ql.TEMPORAL)} > 0 then 'temporal' when {_found('text', ql.ON_SCREEN)} > 0 or regexp_matches(text, '[\"''].*?[\"'']') then 'ocr_text' when {_NW} >= 8 or {_found('text', ql.COLOURS)} > 0 then 'fine_grained_object' when {_NW} <= 3 and {_found('text', ql.COMMON)} = 0 then 'ambiguous' else 'simple_text' end"
@@ -147,7 +163,11 @@ def thought_branches(spark, d):
     return ql.thought_branches(log(spark, d))
 
 
-@query(f"{_LOG} select query_id, coalesce(nullif({_strip("regexp_extract(text, '[\"''](.*?)[\"'']', 1)")}, ''), nullif({_strip(f'regexp_extract(text, {_q("(?i)" + ql.INTENT_FORMS[0])}, 1)')}, '')) as wanted from l")
+_TEXT, _ANY_CASE = "text", "(?i)"
+_INTENTS = ", ".join(f"nullif({_strip(f'regexp_extract({_strip(_TEXT)}, {_q(_ANY_CASE + p)}, 1)')}, '')" for p in ql.INTENT_FORMS)
+
+
+@query(f"{_LOG} select query_id, coalesce(nullif({_strip("regexp_extract(text, '[\"''](.*?)[\"'']', 1)")}, ''), {_INTENTS}) as wanted from l")
 def ocr_intent(spark, d):
     return log(spark, d).select("query_id", ql.on_screen_intent(F.col("text")).alias("wanted"))
 
@@ -183,9 +203,12 @@ _WORDS = lambda x: f"regexp_extract_all(lower(strip_accents(lower({x}))), '[\\p{
 _MORE = ", ".join(f"case when contains(lower(strip_accents(lower(text))), '{k}') then {_WORDS(_q(' '.join(v)))} else [] end" for k, v in SYNONYMS.items())
 
 
-@query(f"{_LOG} select query_id, {_SET(f'list_concat({_WORDS("text")}, flatten([{_MORE}]))')} as tokens from l")
+_NO = "('of', 'and', 'that')"
+
+
+@query(f"{_LOG}, w as (select query_id, text, {_WORDS('text')} as t from l) select query_id, {_SET(f'list_concat(case when len(list_filter(t, lambda x: x not in {_NO})) > 0 then list_filter(t, lambda x: x not in {_NO}) else t end, list_filter(flatten([{_MORE}]), lambda x: x not in {_NO}))')} as tokens from w")
 def expand_query_tokens(spark, d):
-    return log(spark, d).select("query_id", _set(ql.expand_tokens(F.col("text"), SYNONYMS)).alias("tokens"))
+    return log(spark, d).select("query_id", _set(ql.expand_tokens(F.col("text"), SYNONYMS, ("of", "and", "that"))).alias("tokens"))
 
 
 @query(f"""{_LOG}, r as (select query_id, text as t, query_id % 4 as k from l)

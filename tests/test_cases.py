@@ -108,6 +108,8 @@ def test_names_spellings_and_spoken_words(spark):
     assert one(spark, ql.spoken_intent(F.lit("Tìm đoạn nói : xin chào, tỉnh Hà Nam. Đây")))[:2] == ["xin chào", "Hà Nam"]
     names = spark.createDataFrame([("keyframe_10",), ("2",), ("b",), ("A",), ("007",)], "n string")
     assert [r.n for r in names.orderBy(tx.frame_order_key(F.col("n"))).collect()] == ["2", "007", "keyframe_10", "A", "b"]
+    for name, want in (("frame_abc", "frame_abc"), (" KeyFrame-0012.0 ", "12"), ("Frame_", "Frame_"), ("007", "7"), ("12.5", "12.5")):
+        assert one(spark, tx.canonical_frame_id(F.lit(name))) == want, name
     none = F.lit(None).cast("string")
     hit = one(spark, tx.video_and_frame(none, F.lit("0"), F.lit("x/L01_V002/keyframes/keyframe_33.webp"), none, none))
     assert (hit.video, hit.frame) == ("L01_V002", 33)
@@ -145,3 +147,94 @@ def test_unreadable_frames_have_no_vector(spark):
     v = spark.createDataFrame([("v", 0, "x"), ("v", 1, "y")], "video_id string, pos long, vec string")
     assert {(r.frame_id, r.vec) for r in fr.align_vectors_by_rank(f, v, readable="ok").collect()} == {(1, "x"), (4, "y")}
     assert {(r.frame_id, r.vec) for r in fr.align_vectors_by_rank(f, v).collect()} == {(1, "x"), (2, "y")}
+
+
+def test_times_in_names(spark):
+    cases = {"ts12.5s": 12.5, "TS-12.5_k": 12.5, "ts_7": 7.0, "x_1500MS": 1.5, "x_12.5": 12.5, "12.5_x": 12.5, "f123ms": None, "123ms": 0.123, "xts_4s": None, "a-ts4s": 4.0, "x_12": None}
+    d = spark.createDataFrame([*cases], "string").select("value", tx.timestamp_from_name(F.concat(F.lit("d.e/"), "value", F.lit(".webp"))).alias("t"))
+    assert {r.value: r.t for r in d.collect()} == cases
+
+
+def test_letters_of_vietnamese(spark):
+    d = spark.createDataFrame(["cá", "gà", "mũ", "BÁNH MÌ", "đi", "cafe", "naïve", "über"], "string").select("value", tx.is_vietnamese(F.col("value")).alias("v"))
+    assert {r.value for r in d.collect() if r.v} == {"cá", "gà", "mũ", "BÁNH MÌ", "đi"}
+
+
+def test_white_space_before_leading_phrases(spark):
+    assert one(spark, ql.clean_noise(F.lit(" \tTìm cảnh chợ\n"))) == "chợ" and one(spark, ql.clean_question(F.lit("  cho biết chợ ở đâu ? "))) == "chợ"
+
+
+def test_spoken_mode_and_fields(spark):
+    q = ql.decompose(asks(spark, ["nói về biển đảo", " ", "chợ rồi nhà thờ"]), {"chợ": "a market", "nhà": "a house"}).orderBy("query_id").collect()
+    assert [(r["mode"], r.is_temporal, list(r.entities), r.confidence) for r in q] == [("asr", False, [], 0.95), ("kis", False, [], 0.95), ("trake", True, ["chợ", "nhà"], 0.95)]
+    assert list(q[0].spoken) == ["biển đảo"] and q[2].visual_english == "A video scene of a market, a house"
+
+
+def test_names_of_videos_in_any_case(spark):
+    cols = "query_id long, seq long, task string, video_id string, frame_id long, candidate long, answers string, common string"
+    s = spark.createDataFrame([(1, 1, "kis", "V1.MP4", 5, None, "x; X", "c"), (1, 2, "kis", "v1", 5, None, " ;", "c"), (1, 3, "kis", " V2", 5, None, None, "c")], cols)
+    assert [(r.video_id, r.place) for r in ss.selection_tray(s).orderBy("place").collect()] == [("V1", 1), ("V2", 2)]
+    assert [r.line for r in ss.kis_rows(s).orderBy("line_no").collect()] == ["V1,5", "V2,5"]
+    assert [r.line for r in ss.qa_rows(s).orderBy("line_no").collect()] == ['V1,5,"x"', 'v1,5,"c"', 'V2,5,"c"']
+    t = spark.createDataFrame([(1, 1, "trake", "v", 5, 1, "", ""), (1, 2, "trake", "V.mp4", 5, 2, "", ""), (1, 3, "trake", "v", 5, 2, "", ""), (2, 4, "trake", "w", 0, 1, "", ""), (2, 5, "trake", "W", -1, 3, "", "")], cols)
+    assert [(r.query_id, r.video_id) for r in ss.selection_tray(t).orderBy("query_id", "place").collect()] == [(1, "v"), (1, "V"), (2, "w"), (2, "W")]
+    assert [(r.query_id, r.line) for r in ss.trake_rows(t).orderBy("query_id", "line_no").collect()] == [(1, "v,5"), (1, "V,5"), (2, "w,0"), (2, "W,-1")]
+
+
+def test_contest_texts_of_answers(spark):
+    s = spark.createDataFrame([(1, 1, "a/L1.mp4", 50, None, 0.0, "x|y", "c"), (1, 2, "L2", 50, None, 1.2345, None, "c"), (1, 3, "L3", 50, 77, 9.0, None, "c"), (2, 4, None, None, None, None, "42;", None)], "query_id long, seq long, video_id string, frame_id long, timestamp_ms long, seconds double, answers string, common string")
+    assert [r.text for r in ss.qa_payload(s).orderBy("query_id", "place").collect()] == ["x-L1-2000", "y-L1-2000", "c-L2-1235", "c-L3-77", "42"]
+
+
+def test_ranks_of_queries_without_hits(spark):
+    hits = spark.createDataFrame([(1, "v", 1, 1), (1, "v", 2, 2), (2, "v", 1, 1)], "query_id long, video_id string, frame_id long, rank int")
+    judged = spark.createDataFrame([(1, "v", 2), (2, "v", 9), (3, "v", 1)], "query_id long, video_id string, frame_id long")
+    got = ss.reciprocal_ranks(hits, judged)
+    assert {r.query_id: r.rr for r in got.collect()} == {1: 0.5, 2: 0.0, 3: 0.0} and tuple(ss.mean_reciprocal_rank(got).first()) == (0.166667, 3)
+
+
+def test_speech_without_a_frame_map(spark):
+    seg = spark.createDataFrame([("a", 1, 2.39, 3.0, "x"), ("a", 2, 2.38, None, "y"), ("b", 1, 0.0, 1.0, "z")], "video_id string, segment_id long, seg_start double, seg_end double, text string")
+    frames = spark.createDataFrame([("b", 1, 0.5)], "video_id string, frame_id long, seconds double")
+    assert {(r.video_id, r.frame_id): r.text for r in fr.align_segments(seg, frames).collect()} == {("a", 59): "x | y", ("b", 1): "z"}
+
+
+def test_readings_are_spelled_right(spark):
+    c = spark.createDataFrame([("v", 1, "duong  phố", 0.5, "s", ["đường phố"]), ("v", 1, "đường phố", 0.4, "t", None)], "video_id string, frame_id long, text string, confidence double, source string, recent array<string>")
+    got = fr.rank_text_candidates(c).collect()
+    assert len(got) == 1 and got[0].text == "đường phố" and got[0].score == round(0.55 * 0.5 + 0.15 + 0.1 * (0.65 + 0.35 * 9 / 12) + 0.2 * 0.2, 4)
+
+
+def chain(spark, rows, stages):
+    h = spark.createDataFrame(rows, "query_id long, stage long, video_id string, frame_id long, score double")
+    n = stages if isinstance(stages, int) else spark.createDataFrame([*stages.items()], "query_id long, n_stages long")
+    return h, fu.temporal_chain(h, n)
+
+
+def test_chains_of_any_number_of_stages(spark):
+    rows = [(1, 2, "v", 5, 0.9), (1, 3, "v", 9, 0.8)]  # no hit of the first stage
+    rows += [(2, 1, "v", k, 0.5 - k / 1000) for k in range(250)]  # one stage
+    rows += [(3, 1, "v", 10, 0.5), (3, 2, "v", 5, 0.9), (3, 2, "v", 20, 0.4)]  # two, in order
+    rows += [(4, 1, "v", 10, 0.5), (4, 2, "v", 5, 0.9), (4, 3, "v", 4, 0.1), (4, 1, "w", 1, 0.9)]  # three, none behind
+    _, got = chain(spark, rows, {1: 3, 2: 1, 3: 2, 4: 3})
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.query_id, []).append((r.video_id, r.stage, r.frame_id, r.chain_score))
+    assert 1 not in found and len(found[2]) == 200 and {x[1] for x in found[2]} == {None} and max(x[2] for x in found[2]) == 199
+    assert sorted(found[3]) == [("v", 1, 10, 2.9), ("v", 2, 20, 2.9)]
+    assert sorted(found[4]) == [("v", 1, 10, 3.5), ("v", 2, 5, 3.5), ("v", 3, 4, 3.5)]
+    assert chain(spark, rows[:2], 3)[1].count() == 0 and chain(spark, rows[2:252], 1)[1].count() == 200
+
+
+def test_texts_of_one_two_and_three_events_in_one_call(spark):
+    q = asks(spark, ["a man walks then a dog runs", "a plain question", "cat sits; bird sings -> sun sets"])
+    v = spark.createDataFrame([("v", k, [float(k == 1), float(k == 2), float(k == 3)]) for k in range(1, 4)], "video_id string, frame_id long, vec array<double>")
+    asked = fu.chained_stages(q)
+    assert {(r.query_id, r.stage) for r in asked.collect()} == {(0, 1), (0, 2), (1, 1), (2, 1), (2, 2), (2, 3)}
+    vectors = asked.select("query_id", "stage", F.transform(F.array(*[F.lit(k) for k in (1, 2, 3)]), lambda x: (x == F.col("stage")).cast("double")).alias("qvec"))
+    none = spark.createDataFrame([], "video_id string, frame_id long, text string")
+    got = {}
+    for r in fu.search_any(q, vectors, v, none, none, 10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.frame_id, r.stage))
+    assert [x for x in got[0]][:2] == [(1, 1), (2, 1)] and {s for _, s in got[0]} == {1, 2} and {s for _, s in got[2]} == {1, 2, 3}
+    assert [f for f, _ in got[1]][0] == 1 and {s for _, s in got[1]} == {None}
