@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,17 +81,50 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def drop_near_duplicates(frames: DataFrame, threshold: int = 5, window: int = 4) -> DataFrame:
-    """video_id, frame_idx, dhash of the frames kept: in order, one within ``threshold`` bits of any of the last ``window`` kept is dropped.
+def in_order(frames: DataFrame, step, schema: str, rows: int = 2000) -> DataFrame:
+    """What ``step(state, row)`` gives for each of ``frames``, video by video in order of frame_idx: a pass over sorted partitions that holds one state at a time.
 
-    A video's frames are one ordered fold; a video is the unit that stays together.
+    ``step`` takes the video's state (None before its first frame) and a row as a tuple of ``frames``' columns, of which the first are video_id
+    and frame_idx, and returns the new state and a row or None. A video stays in one task, as each frame depends on those before; its length costs no memory.
     """
-    item = F.struct("frame_idx", "dhash")
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(item)), F.array().cast("array<struct<frame_idx:bigint,dhash:bigint>>"),
-        lambda acc, x: F.when(F.exists(F.slice(acc, F.greatest(F.size(acc) - window + 1, F.lit(1)), F.lit(window)), lambda k: hamming(k["dhash"], x["dhash"]) <= threshold), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return frames.groupBy("video_id").agg(fold.alias("kept")).select("video_id", F.explode("kept").alias("k")).select("video_id", "k.frame_idx", "k.dhash")
+    named = [x.strip() for x in schema.split(",")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        video, state, out = None, None, []
+        fields = [x.split(" ")[0] for x in named]
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[0] != video:
+                    video, state = row[0], None
+                state, told = step(state, row)
+                if told is not None:
+                    out.append(told)
+            for i in range(0, len(out), rows):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out[i : i + rows], strict=True), types(), strict=True)], names=fields)
+            out = []
+
+    def types():
+        import pyarrow as pa
+
+        kinds = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
+        return [kinds[x.split(" ")[1]] for x in named]
+
+    return frames.repartition("video_id").sortWithinPartitions("video_id", "frame_idx").mapInArrow(run, schema)
+
+
+def drop_near_duplicates(frames: DataFrame, threshold: int = 5, window: int = 4) -> DataFrame:
+    """video_id, frame_idx, dhash of the frames kept: in order, one within ``threshold`` bits of any of the last ``window`` kept is dropped."""
+
+    def step(last, row):
+        video, frame, bits = row
+        last = last or []
+        if any(((bits ^ x) & 0xFFFFFFFFFFFFFFFF).bit_count() <= threshold for x in last):
+            return last, None
+        return [*last, bits][-window:], (video, frame, bits)
+
+    return in_order(frames.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), "dhash"), step, "video_id string, frame_idx bigint, dhash bigint")
 
 
 def build_frame_map(frames: DataFrame, fps: float = 25.0) -> DataFrame:
@@ -255,24 +289,27 @@ def reuse_duplicate_text(frames: DataFrame, title_below: float = 6.0, ticker_bel
     """video_id, frame_idx, anchor, reused, text: a frame whose title and ticker are near those of the anchor takes the anchor's text.
 
     ``frames``: video_id, frame_idx, title, ticker (arrays), text. The anchor is the last frame that was not reused; one without text
-    is not reused. A video's frames are one ordered fold, which carries no texts: these come by a join on the anchor.
+    is not reused. The pass over a video's frames holds the anchor's patches alone; texts come by a join on the anchor.
     """
-    item = F.struct("frame_idx", "title", "ticker", (F.coalesce(F.length(F.trim("text")), F.lit(0)) > 0).alias("full"))
-    kind = "struct<title:array<double>,ticker:array<double>,full:boolean,anchor:bigint,out:array<struct<frame_idx:bigint,anchor:bigint>>>"
-    start = F.from_json(F.lit('{"full":false,"out":[]}'), kind)
-
-    def step(acc, x):
-        near = F.coalesce((region_difference(acc["title"], x["title"]) < title_below) & (region_difference(acc["ticker"], x["ticker"]) < ticker_below), F.lit(False)) & acc["full"]
-        keep = lambda n: F.when(near, acc[n]).otherwise(x[n]).alias(n)
-        anchor = F.when(near, acc["anchor"]).otherwise(x["frame_idx"])
-        return F.struct(keep("title"), keep("ticker"), keep("full"), anchor.alias("anchor"), F.concat(acc["out"], F.array(F.struct(x["frame_idx"].alias("frame_idx"), anchor.alias("anchor")))).alias("out"))
-
-    fold = F.aggregate(F.array_sort(F.collect_list(item)), start, step)["out"]
-    at = frames.groupBy("video_id").agg(fold.alias("o")).select("video_id", F.inline("o"))
+    columns = ["video_id", F.col("frame_idx").cast("long").alias("frame_idx"), "title", "ticker", (F.coalesce(F.length(F.trim("text")), F.lit(0)) > 0).alias("full")]
+
+    def step(held, row):
+        video, frame, title, ticker, full = row
+        title, ticker = (None if x is None else np.array(x, float) for x in (title, ticker))
+        if held is not None and held[3] and _mean_difference(held[1], title) < title_below and _mean_difference(held[2], ticker) < ticker_below:
+            return held, (video, frame, held[0])
+        return (frame, title, ticker, full), (video, frame, frame)
+
+    at = in_order(frames.select(*columns), step, "video_id string, frame_idx bigint, anchor bigint")
     texts = frames.select("video_id", F.col("frame_idx").alias("anchor"), "text")
     return at.join(texts, ["video_id", "anchor"]).select("video_id", "frame_idx", "anchor", (F.col("frame_idx") != F.col("anchor")).alias("reused"), "text")
 
 
+def _mean_difference(a: np.ndarray | None, b: np.ndarray | None) -> float:
+    """As ``region_difference``; nan where it is null, which is below nothing."""
+    return float(np.abs(a - b).mean()) if a is not None and b is not None and len(a) == len(b) else float("nan")
+
+
 def rank_text_candidates(candidates: DataFrame, top: int = 5, window: int = 5) -> DataFrame:
     """video_id, frame_id, text, confidence, score, rank: the readings of a frame, spelled right, equal ones (in any case) taken together.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glimpse.functions.text import strip, strip_accents, word_tokens
 from glimpse.operators import textindex as ti
-from glimpse.sources.readers import staged
+from glimpse.sources.readers import scratch, staged
 
 KEY = ["video_id", "frame_id"]
 
@@ -253,31 +253,47 @@ def knn_search(queries: DataFrame, vectors: DataFrame, k: int = 1000, scope: str
 
         def run(batches):
             import pyarrow as pa
-
-            floor = np.full(len(ids), -np.inf)
-            best: list = [[] for _ in ids]  # score, batch, row
-            keys = []
+            import pyarrow.compute as pc
+
+            floor, keys = np.full(len(ids), -np.inf), []
+            held: list = []  # parts of (query, score, batch, row)
+
+            def best():
+                """The ``k`` best of each query of what is held, and all that are as good as the last."""
+                who, score, n, row = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.lexsort((-score, who))
+                first = np.searchsorted(who[order], np.arange(len(ids)), side="left")
+                count = np.bincount(who, minlength=len(ids))
+                full = np.flatnonzero(count >= k)
+                floor[full] = score[order[first[full] + k - 1]]
+                keep = score >= floor[who]
+                return who[keep], score[keep], n[keep], row[keep]
+
+            total = 0
             for b in batches:
                 keys.append(b.select(list(KEY)))
-                size = np.asarray(pa.compute.list_value_length(b.column("vec")))
+                size = np.asarray(pc.list_value_length(b.column("vec")))
                 for d, (who, q) in by_width.items():
                     at = np.flatnonzero(size == d)
                     if not len(at):
                         continue
                     s = np.round(q @ np.asarray(b.column("vec").take(pa.array(at)).flatten()).reshape(len(at), d).T, 6)
-                    for r, i in enumerate(who):
-                        best[i].append((s[r][keep := np.flatnonzero(s[r] >= floor[i])], np.full(len(keep), len(keys) - 1), at[keep]))
-                        if sum(len(x[0]) for x in best[i]) > 4 * k + 1000:
-                            best[i] = [_top(best[i], k)]
-                            floor[i] = best[i][0][0].min()
-            for i, x in enumerate(best):
-                if not x:
-                    continue
-                s, n, row = _top(x, k)
-                for j in np.unique(n):
-                    m = n == j
-                    out = keys[j].take(pa.array(row[m]))
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * int(m.sum())), *out.columns, pa.array(s[m])], names=["query_id", *KEY, "score"])
+                    least = floor[who]
+                    if len(at) > k:
+                        least = np.maximum(least, np.partition(s, len(at) - k, axis=1)[:, len(at) - k])
+                    i, j = np.nonzero(s >= least[:, None])
+                    held.append((who[i], s[i, j], np.full(len(i), len(keys) - 1), at[j]))
+                    total += len(i)
+                if total > 4 * k * len(ids) + 100_000:
+                    held = [best()]
+                    total = len(held[0][0])
+            if not held:
+                return
+            who, score, n, row = best()
+            for j in np.unique(n):
+                m = n == j
+                out = keys[j].take(pa.array(row[m]))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in who[m]]), *out.columns, pa.array(score[m])], names=["query_id", *KEY, "score"])
 
         return v.mapInArrow(run, schema)
 
@@ -291,13 +307,45 @@ def knn_search(queries: DataFrame, vectors: DataFrame, k: int = 1000, scope: str
     return ranked(found.withColumn("score", F.round("score", 6)), k)
 
 
-def _top(parts: list, k: int):
-    """The ``k`` best by score, and all that are as good as the last."""
-    s, n, row = (np.concatenate(x) for x in zip(*parts, strict=True))
-    if len(s) > k:
-        keep = s >= np.partition(s, len(s) - k)[len(s) - k]
-        s, n, row = s[keep], n[keep], row[keep]
-    return s, n, row
+def met(k: int):
+    """For cogroups of a block of queries (query_id, qvec) and one of vectors (key, vec), all of one length: each query's best ``k`` of the block, ties included."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"query_id": a["query_id"][:0], **{c: b[c][:0] for c in KEY}, "score": np.zeros(0), "looked": np.zeros(0, np.int64)})
+        s = np.round(np.array(a["qvec"].tolist()) @ np.array(b["vec"].tolist()).T, 6)
+        floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
+        i, j = np.nonzero(s >= floor[:, None])
+        looked = np.zeros(len(i), np.int64)
+        looked[0] = s.size  # the block's pairs, with its first row
+        return pd.DataFrame({"query_id": a["query_id"].to_numpy()[i], **{c: b[c].to_numpy()[j] for c in KEY}, "score": s[i, j], "looked": looked})
+
+    return run
+
+
+def in_blocks(asked: DataFrame, there: DataFrame, on: list[str], k: int, block: int = 4096) -> DataFrame:
+    """query_id, key, score, looked: ``asked`` (on, query_id, qvec) against the rows of ``there`` (on, key, vec) with the same ``on``.
+
+    Rows of a value of ``on`` are cut into blocks of about ``block``, queries alike; a task holds one block of each, so a value of all rows is many tasks.
+    """
+    rows = lambda df, name: df.groupBy(*on).agg(F.ceil(F.count("*") / block).alias(name))
+    both = staged(rows(there, "blocks").join(rows(asked, "parts"), on), "blocks")
+    fresh = both.select(*[F.col(c).alias(f"_{c}") for c in on], (F.col("blocks") + 0).alias("n_blocks"), (F.col("parts") + 0).alias("n_parts"))
+    same = lambda df: [df[c] == fresh[f"_{c}"] for c in on]
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    v = there.join(fresh, same(there)).select(*on, *KEY, "vec", every("n_parts").alias("part"), F.pmod(F.xxhash64(*KEY), "n_blocks").alias("block"))
+    q = asked.join(both, on).select(*on, "query_id", "qvec", F.pmod(F.xxhash64("query_id"), "parts").alias("part"), every("blocks").alias("block"))
+    kinds = [f"query_id {asked.schema['query_id'].dataType.simpleString()}", *(f"{c} {there.schema[c].dataType.simpleString()}" for c in KEY)]
+    tile = [*on, "part", "block"]
+    return q.groupBy(*tile).cogroup(v.groupBy(*tile)).applyInPandas(met(k), f"{', '.join(kinds)}, score double, looked long")
+
+
+def knn_in_scope(queries: DataFrame, vectors: DataFrame, k: int = 1000, block: int = 4096) -> DataFrame:
+    """query_id, video_id, frame_id, score, rank: ``knn_search`` of each query (query_id, video_id, qvec) inside its own video alone."""
+    size = lambda df, c: df.withColumn(c, F.col(c).cast("array<double>")).withColumn("width", F.size(c)).where("width > 0")
+    q = size(queries.select("query_id", F.col("video_id").alias("scope"), "qvec"), "qvec")
+    v = size(vectors.select(*KEY, F.col("video_id").alias("scope"), "vec"), "vec")
+    return ranked(in_blocks(q, v, ["scope", "width"], k, block).drop("looked"), k)
 
 
 def lookup_vectors(ids: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -342,19 +390,36 @@ def refine_search(queries: DataFrame, marked: DataFrame, vectors: DataFrame, k:
     return knn_search(rocchio(asked, feedback), vectors, k)
 
 
-def video_qa(queries: DataFrame, vectors: DataFrame, docs: DataFrame, spoken: DataFrame, k: int = 50) -> DataFrame:
+def holding_words(asked: DataFrame, index: ti.TextIndex) -> DataFrame:
+    """query_id, key: documents of a query's video whose text holds one of its words (query_id, video_id, word, of three letters or more).
+
+    A word is looked for by the rarest of its letter triples, in its video alone, and then in the texts that have it.
+    """
+    w = staged(asked.select("query_id", "video_id", "word", strip_accents(F.col("word")).alias("bare")), "wanted")
+    each = w.select("bare").distinct()
+    each = each.select("bare", F.explode(ti.triples(F.col("bare"))).alias("token"))
+    rows = index.grams(each)
+    rare = each.join(rows.groupBy("token").agg(F.count("*").alias("df")), "token", "left").na.fill(0, ["df"]).groupBy("bare").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
+    found = rows.join(w.join(rare, "bare"), ["token", "video_id"]).select("query_id", *KEY, "word")
+    # without accents a word may be shorter than a triple: it is looked for in all triples that hold it
+    brief = w.where(F.length("bare") < 3).join(index.grams().select("token").distinct(), F.contains("token", "bare")).select("query_id", "video_id", "word", "token")
+    found = found.unionByName(index.grams(brief).join(brief, ["token", "video_id"]).select("query_id", *KEY, "word"))
+    return found.join(index.docs().select(*KEY, "d"), KEY).where(F.contains("d", "word")).select("query_id", *KEY).distinct()
+
+
+def video_qa(queries: DataFrame, vectors: DataFrame, docs: DataFrame | ti.TextIndex, spoken: DataFrame | ti.TextIndex, k: int = 50) -> DataFrame:
     """query_id, video_id, frame_id, score, rank: inside one video each (query_id, video_id, text, qvec), nearest vectors and frames whose texts hold a word of the query.
 
     A frame among the nearest keeps its cosine; of others, on-screen text that holds a word of three letters or more scores 0.99, speech 0.98.
+    Texts are met by their index, which is made in the shared folder for a table.
     """
-    near = queries.select("query_id", "video_id", "qvec").join(vectors.select(*KEY, "vec"), "video_id")
-    hits = ranked(near.select("query_id", *KEY, F.round(dot(F.col("qvec"), F.col("vec")), 6).alias("score")), k).drop("rank")
+    hits = knn_in_scope(queries, vectors, k).drop("rank")
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) >= 3)
-    q = queries.select("query_id", "video_id", words.alias("words"))
+    q = queries.select("query_id", "video_id", F.explode(F.array_distinct(words)).alias("word"))
 
-    def holding(texts: DataFrame, score: float) -> DataFrame:
-        j = texts.select(*KEY, F.lower("text").alias("t")).join(q, "video_id")
-        return j.where(F.exists("words", lambda w: F.contains("t", w))).select("query_id", *KEY, F.lit(score).alias("score"))
+    def holding(texts: DataFrame | ti.TextIndex, score: float) -> DataFrame:
+        index = texts if isinstance(texts, ti.TextIndex) else ti.build_index(texts, scratch(queries.sparkSession, "index"), kinds=("triples",))
+        return holding_words(q, index).select("query_id", *KEY, F.lit(score).alias("score"))
 
     more = holding(docs, 0.99).unionByName(holding(spoken, 0.98)).groupBy("query_id", *KEY).agg(F.max("score").alias("score"))
     more = more.join(hits.select("query_id", *KEY), ["query_id", *KEY], "left_anti")

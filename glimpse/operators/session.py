@@ -18,15 +18,23 @@ def pending_work(videos: DataFrame, done: DataFrame) -> DataFrame:
     return videos.join(done.select("video_id"), "video_id", "left_anti")
 
 
-def latest_complete_block(lines: DataFrame) -> DataFrame:
+def latest_complete_block(lines: DataFrame, stretch: int = 100_000) -> DataFrame:
     """line_no, video_id, text of each video's last block that ended with ``done`` and has no bad line.
 
     ``lines``: log (a file), line_no, video_id (null in bad lines), text, done. A block is a run of lines of one video; it ends at a done line,
-    at another video, or at the log's end. Each log is one sorted run; a video's last block is the one of the last log by name.
+    at another video, or at the log's end. A log is looked at in stretches of ``stretch`` line numbers, each with the last line before it and the number
+    of blocks begun before it, so that one long log is many tasks' work. A video's last block is the one of the last log by name.
     """
-    w = Window.partitionBy("log").orderBy("line_no")
-    new = F.when(F.lag("line_no").over(w).isNull() | ~F.col("video_id").eqNullSafe(F.lag("video_id").over(w)) | F.coalesce(F.lag("done").over(w), F.lit(False)), 1).otherwise(0)
-    b = lines.withColumn("new", new).withColumn("block", F.sum("new").over(w))
+    l = lines.select("log", "line_no", "video_id", "text", F.coalesce("done", F.lit(False)).alias("done")).withColumn("stretch", F.floor(F.col("line_no") / stretch))
+    in_log = Window.partitionBy("log").orderBy("stretch")  # of a row a stretch
+    inside = Window.partitionBy("log", "stretch").orderBy("line_no")
+    ends = l.groupBy("log", "stretch").agg(F.max_by(F.struct("video_id", "done"), "line_no").alias("end"))
+    ends = ends.select("log", "stretch", F.lag("end").over(in_log).alias("before"))
+    at = l.join(ends, ["log", "stretch"]).withColumn("last", F.coalesce(F.lag(F.struct("video_id", "done")).over(inside), "before"))
+    at = at.withColumn("new", F.when(F.col("last").isNull() | ~F.col("video_id").eqNullSafe(F.col("last.video_id")) | F.col("last.done"), 1).otherwise(0))
+    begun = at.groupBy("log", "stretch").agg(F.sum("new").alias("n"))
+    begun = begun.select("log", "stretch", F.coalesce(F.sum("n").over(in_log.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    b = at.withColumn("nth", F.sum("new").over(inside)).join(begun, ["log", "stretch"]).withColumn("block", F.col("earlier") + F.col("nth"))
     good = b.groupBy("log", "block", "video_id").agg(F.max("done").alias("ok"), F.max("line_no").alias("end")).where("ok and video_id is not null")
     last = good.groupBy("video_id").agg(F.max(F.struct("log", "end", "block")).alias("m")).select("video_id", "m.log", "m.block")
     return b.join(last, ["log", "block", "video_id"]).where("not done").select("video_id", "line_no", "text")

@@ -7,7 +7,7 @@ document takes the place of earlier ones; one without words' count is a deletion
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ class TextIndex:
     spark: SparkSession
     path: str
     buckets: int
+    kinds: tuple[str, ...]
     segments: tuple[int, ...]
 
     def _read(self, name: str, schema: str) -> DataFrame:
@@ -83,21 +84,23 @@ def bucket_of(token: Column, buckets: int) -> Column:
 
 
 def triples(c: Column) -> Column:
-    """The distinct letter triples of a text; a shorter text is its own."""
-    n = F.length(c)
-    return F.when(n < 3, F.array(c)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))))
+    """The distinct letter triples of a text in order; a shorter text is its own. The text is cut into letters once, as places in it are counted from its start."""
+    three = lambda w: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.concat(x, F.get(w, i + 1), F.get(w, i + 2)))
+    cut = F.transform(F.array(F.filter(F.split(c, ""), lambda x: x != "")), three)[0]
+    return F.when(F.length(c) < 3, F.array(c)).otherwise(F.array_distinct(cut))
 
 
-def build_index(docs: DataFrame, path: str, buckets: int = 64) -> TextIndex:
-    """The index of ``docs`` (video_id, frame_id, text; a key once) at ``path``. Null and blank texts have no words."""
+def build_index(docs: DataFrame, path: str, buckets: int = 64, kinds: tuple[str, ...] = ("words", "triples")) -> TextIndex:
+    """The index of ``docs`` (video_id, frame_id, text; a key once) at ``path``, for searches by words, by letter triples, or both. Null and blank texts have no words."""
     spark = docs.sparkSession
-    spark.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{path}/settings")
-    return _with_segment(TextIndex(spark, path, buckets, ()), docs, None)
+    spark.createDataFrame([(buckets, list(kinds))], "buckets int, kinds array<string>").coalesce(1).write.parquet(f"{path}/settings")
+    return _with_segment(TextIndex(spark, path, buckets, tuple(kinds), ()), docs, None)
 
 
 def open_index(spark: SparkSession, path: str) -> TextIndex:
     segments = spark.read.schema("n_docs long, segment int").parquet(f"{path}/totals").select("segment").distinct().collect()  # a row each
-    return TextIndex(spark, path, spark.read.parquet(f"{path}/settings").first()[0], tuple(sorted(r[0] for r in segments)))
+    buckets, kinds = spark.read.parquet(f"{path}/settings").first()
+    return TextIndex(spark, path, buckets, tuple(kinds), tuple(sorted(r[0] for r in segments)))
 
 
 def update_index(index: TextIndex, changed: DataFrame | None = None, deleted: DataFrame | None = None) -> TextIndex:
@@ -110,6 +113,8 @@ def _with_segment(index: TextIndex, docs: DataFrame, deleted: DataFrame | None)
     segment = max(index.segments, default=-1) + 1
     text = F.coalesce("text", F.lit(""))
     low = F.lower(strip(text))
+    parts = int(index.spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(*KEY, "text").repartition(parts, *KEY)  # a few large files are cut into words by all
     new = docs.select(*KEY, word_tokens(text).alias("w"), low.alias("d"), strip_accents(low).alias("da"))
     new = new.select(*KEY, F.size("w").cast("long").alias("n"), "w", "d", "da")
     if deleted is not None:
@@ -129,13 +134,15 @@ def _with_segment(index: TextIndex, docs: DataFrame, deleted: DataFrame | None)
         df = df.withColumn("bucket", bucket_of(F.col("token"), index.buckets))
         df.repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/{name}/segment={segment}")
 
-    put(new.where("n > 0").select(F.explode("w").alias("token"), *KEY, "n"), "postings", ["token", *KEY])
-    grams = new.where("d != ''").select(F.posexplode(triples(F.col("da"))).alias("i", "token"), *KEY)
-    put(grams.select("token", *KEY, (F.col("i") == 0).alias("first")), "grams", ["token", *KEY])
-    put(terms.groupBy("token").agg(F.sum("df").alias("df")).where("df != 0"), "terms", ["token"])
+    if "words" in index.kinds:
+        put(new.where("n > 0").select(F.explode("w").alias("token"), *KEY, "n"), "postings", ["token", *KEY])
+        put(terms.groupBy("token").agg(F.sum("df").alias("df")).where("df != 0"), "terms", ["token"])
+    if "triples" in index.kinds:
+        grams = new.where("d != ''").select(F.posexplode(triples(F.col("da"))).alias("i", "token"), *KEY)
+        put(grams.select("token", *KEY, (F.col("i") == 0).alias("first")), "grams", ["token", *KEY])
     totals = totals.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words"))
     totals.write.mode("overwrite").parquet(f"{index.path}/totals/segment={segment}")
-    return TextIndex(index.spark, index.path, index.buckets, (*index.segments, segment))
+    return replace(index, segments=(*index.segments, segment))
 
 
 def with_frequencies(tokens: DataFrame, index: TextIndex) -> DataFrame:

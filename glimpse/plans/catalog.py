@@ -575,7 +575,7 @@ def latest_complete_block(spark, d):
     k = fx.keyframes(spark, d).select("event_id", "event_type").withColumn("i", i.cast("long"))
     video = F.when(F.col("i") % 97 != 0, F.concat(F.lit("V"), (F.floor(F.col("i") / 6) % 400).cast("string")))
     done = (F.col("i") % 6 == 5) & (F.floor(F.col("i") / 6) % 4 != 0)
-    return ss.latest_complete_block(k.select(F.concat(F.lit("log"), F.floor(F.col("i") / 500).cast("string")).alias("log"), F.col("i").alias("line_no"), video.alias("video_id"), F.col("event_type").alias("text"), done.alias("done")))
+    return ss.latest_complete_block(k.select(F.concat(F.lit("log"), F.floor(F.col("i") / 500).cast("string")).alias("log"), F.col("i").alias("line_no"), video.alias("video_id"), F.col("event_type").alias("text"), done.alias("done")), stretch=70)
 
 
 @query(ctes("sx") + " select video_id, count(*) as n_segments, count(*) filter (length(trim(text)) > 0) as n_ok, count(*) filter (length(trim(text)) = 0) as n_empty, max(seg_end) as duration from sx group by 1")

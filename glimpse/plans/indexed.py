@@ -1,10 +1,12 @@
-"""Queries over a stored index, and of chains of any number of events, each beside its SQL."""
+"""Queries over a stored index, of approximate search and of chains of any number of events, each beside its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glimpse.operators import dictionary as di
 from glimpse.operators import fusion as fu
+from glimpse.operators import nearest as ne
 from glimpse.operators import search as se
 from glimpse.operators import textindex as ti
 from glimpse.plans import fixtures as fx
@@ -90,3 +92,58 @@ def auto_stages_search(spark, d):
     q, v = _staged_queries(spark, d), fx.vectors(spark, d)
     vectors = _stage_vectors(spark, d, fu.chained_stages(q))
     return fu.auto_stages(q, vectors, fu.chain_search(v, 100), lambda one, vec: se.knn_search(vec, v, 100))
+
+
+def _ann(spark, d, **how):
+    return ne.ann_search(fx.query_vectors(spark, d), fx.vectors(spark, d), 10, bucket_rows=128, **how)[0].withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def ann_search(spark, d):
+    """No SQL; its recall is held against exact search in tests."""
+    return _ann(spark, d)
+
+
+@query(ctes("vx", "qv") + _KNN + " select * from kr where rank <= 10")
+def ann_search_every_bucket(spark, d):
+    """With probes of all buckets the search is exact."""
+    return _ann(spark, d, tables=2, probes=1 << 20)
+
+
+@query(ctes("vx", "qv") + ", q as (select query_id, video_id, qvec from qv join vx on vec_id = query_id) select * from (select query_id, vx.video_id, frame_id, round(list_dot_product(qvec, vec), 6) as score, row_number() over (partition by query_id order by round(list_dot_product(qvec, vec), 6) desc, frame_id) as rank from q join vx using (video_id)) where rank <= 10")
+def knn_in_scope(spark, d):
+    """Every query inside its own video."""
+    v = fx.vectors(spark, d)
+    q = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "video_id", F.col("vec").alias("qvec"))
+    return se.knn_in_scope(q, v, 10, block=16).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _dictionary(spark, d):
+    """Every different word of the benchmark and of names of parts is a key; its value is "as" before it."""
+    w = fx.table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("key"))
+    return w.where("length(key) >= 2").distinct().withColumn("value", F.concat(F.lit("as "), "key")).withColumn("place", F.xxhash64("key"))
+
+
+_KEYS_SQL = "k as (select distinct key, 'as ' || key as value from (select unnest(string_split_regex(lower(text), '\\s+')) as key from benchmark) where length(key) >= 2), t as (select conv_id * 1000 + turn as id, lower(text) as text from conversations)"
+
+
+def _talk(spark, d):
+    return fx.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+
+
+@query(f"with {_KEYS_SQL} select id, coalesce((select string_agg(key, '|' order by key) from k where contains(text, key)), '') as entities from t")
+def dictionary_entities_table(spark, d):
+    e = di.entities(_talk(spark, d), _dictionary(spark, d))
+    return e.select("id", F.array_join(F.array_sort("entities"), "|").alias("entities"))
+
+
+@query(f"with {_KEYS_SQL} select id, coalesce((select 'A video scene of ' || string_agg(value, ', ' order by length(key) desc, key) from k where contains(text, key)), '') as english from t")
+def visual_english_table(spark, d):
+    return di.visual_english(_talk(spark, d), _dictionary(spark, d).withColumn("place", F.col("key")))
+
+
+@query(f"""with {_KEYS_SQL}, b as (select distinct lower(strip_accents(key)) as key, lower(strip_accents(value)) as value from k), s as (select id, list_distinct(regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}_]+')) as w, lower(strip_accents(text)) as bare from t)
+select distinct id, token from (select id, unnest(case when len(list_filter(w, lambda x: x not in ('the', 'of'))) > 0 then list_filter(w, lambda x: x not in ('the', 'of')) else w end) as token from s
+union all select id, unnest(list_filter(regexp_extract_all(value, '[\\p{{L}}\\p{{N}}_]+'), lambda x: x not in ('the', 'of'))) from s join b on contains(bare, b.key))""")
+def expand_query_tokens_table(spark, d):
+    return di.expanded_tokens(_talk(spark, d), _dictionary(spark, d), ("the", "of"))

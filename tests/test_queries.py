@@ -26,4 +26,4 @@ def test_spoken_intent_of_the_log(spark):
 
 
 def test_all_queries_have_sql():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"asr_intent"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"asr_intent", "ann_search"}
