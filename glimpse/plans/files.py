@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glimpse.functions import text as tx
 from glimpse.operators import session as ss
 from glimpse.plans import fixtures as fx
-from glimpse.plans.catalog import query
+from glimpse.plans.catalog import ORACLES, _turns, query
 from glimpse.plans.fixtures import ctes
 from glimpse.sources import readers as rd
 from glimpse.streaming import ingest
@@ -132,3 +132,16 @@ def stream_video_interest(spark, d):
     turns = spark.readStream.schema("at timestamp, session_id long, video_id string").parquet(f"{path}/in")
     ingest.stream_video_interest(turns, f"{path}/out", f"{path}/state").awaitTermination()
     return ingest.latest_counts(spark.read.parquet(f"{path}/out")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(ORACLES["conversation_memory"])
+def stream_conversation_memory(spark, d):
+    """Turns in three deliveries, later turns first, every seventh session's twice; equal to the memory in batch."""
+    path = rd.scratch(spark, "memory")
+    t = _turns(spark, d).withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn_no")))
+    t = t.unionByName(t.where("session_id % 7 = 0"))
+    for i in range(3):
+        t.where((F.col("turn_no") + i) % 3 == 0).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    turns = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    ingest.stream_conversation_memory(turns, f"{path}/out", f"{path}/state").awaitTermination()
+    return ingest.latest_memory(spark.read.parquet(f"{path}/out"))
