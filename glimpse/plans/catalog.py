@@ -14,6 +14,8 @@ from glimpse.operators import search as se
 from glimpse.operators import session as ss
 from glimpse.plans import fixtures as fx
 from glimpse.plans.fixtures import ctes
+from glimpse.sources.layout import write_by_video
+from glimpse.sources.readers import scratch
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -713,4 +715,6 @@ def contest_score(spark, d):
 
 @query("select doc_id from documents where source = 'src3'")
 def scope_to_video(spark, d):
-    return fx.docs(spark, d).where("video_id = 'src3'").select("doc_id")
+    """One video of a table laid out by video."""
+    table = write_by_video(fx.docs(spark, d).select("video_id", "doc_id"), scratch(spark, "docs"), F.lit("all"), 16)
+    return table.scoped(spark.createDataFrame([("src3",)], "video_id string")).select("doc_id")

@@ -13,6 +13,7 @@ from glimpse.plans import fixtures as fx
 from glimpse.plans.catalog import _KNN, _LEX, STOP, SYN, _lex, query
 from glimpse.plans.fixtures import ctes
 from glimpse.plans.understanding import _DEC_OF
+from glimpse.sources.layout import write_by_video
 from glimpse.sources.readers import scratch
 
 
@@ -112,10 +113,11 @@ def ann_search_every_bucket(spark, d):
 
 @query(ctes("vx", "qv") + ", q as (select query_id, video_id, qvec from qv join vx on vec_id = query_id) select * from (select query_id, vx.video_id, frame_id, round(list_dot_product(qvec, vec), 6) as score, row_number() over (partition by query_id order by round(list_dot_product(qvec, vec), 6) desc, frame_id) as rank from q join vx using (video_id)) where rank <= 10")
 def knn_in_scope(spark, d):
-    """Every query inside its own video."""
+    """Every query inside its own video, whose vectors alone are read."""
     v = fx.vectors(spark, d)
     q = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "video_id", F.col("vec").alias("qvec"))
-    return se.knn_in_scope(q, v, 10, block=16).withColumn("rank", F.col("rank").cast("long"))
+    table = write_by_video(v.select("video_id", "frame_id", "vec"), scratch(spark, "vectors"), F.substring("video_id", 1, 4), 16)
+    return se.knn_in_scope(q, table.scoped(q), 10, block=16).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _dictionary(spark, d):
@@ -147,3 +149,12 @@ select distinct id, token from (select id, unnest(case when len(list_filter(w, l
 union all select id, unnest(list_filter(regexp_extract_all(value, '[\\p{{L}}\\p{{N}}_]+'), lambda x: x not in ('the', 'of'))) from s join b on contains(bare, b.key))""")
 def expand_query_tokens_table(spark, d):
     return di.expanded_tokens(_talk(spark, d), _dictionary(spark, d), ("the", "of"))
+
+
+@query("select doc_id from documents where source in ('src3', 'src17') and source[1:4] = 'src' || source[4]")
+def scope_to_videos(spark, d):
+    """Documents laid out by the first letters of the video, as batches, and by video; of two videos, with and without their batch, and one that isn't there."""
+    x = fx.docs(spark, d)
+    table = write_by_video(x.drop("lang"), scratch(spark, "docs"), F.substring("video_id", 1, 4), 16)
+    scopes = spark.createDataFrame([("src3", "src3"), ("src17", "src1"), ("src5", "src4"), ("none", "src3"), (None, None)], "video_id string, batch string")
+    return table.scoped(scopes).select("doc_id")
