@@ -90,19 +90,21 @@ def deleted_lines(docs: DataFrame, **how) -> DataFrame:
 
 
 def dedup(docs: DataFrame, counts: bool = False, **how) -> DataFrame:
-    """``docs`` without the lines of later repeated runs; other columns stay. ``counts`` adds n_lines and n_deleted.
+    """``docs`` without the lines of later repeated runs; other columns stay. ``counts`` adds n_lines and n_deleted, with a trailing underscore where ``docs`` has such a column.
 
     Null texts stay null with no lines; an empty text is one empty line. Lines are compared byte by byte (64-bit hash).
     """
-    gone, n, out = free_name(docs, "__gone"), "n_lines", free_name(docs, "__out")
-    g = stage(deleted_lines(docs, **how), "gone").withColumnRenamed("gone", gone)
+    g = stage(deleted_lines(docs, **how), "gone")
+    # The rest of a row goes in a struct, so that no column of it meets one of ours.
+    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c.lower() != "text"])
+    d = docs.select(F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_text"), "text", others.alias("row"))
     # One plan at all sizes: texts are shuffled once, compressed, whether the deletions would fit a broadcast or not.
-    d = docs.hint("merge").join(g, docs["doc_id"].eqNullSafe(g["__id"]) & (F.xxhash64(docs["text"]) == g["__text"]), "left").drop("__id", "__text")
+    d = d.hint("merge").join(g, F.col("own_id").eqNullSafe(F.col("__id")) & (F.col("own_text") == F.col("__text")), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col(gone), i), x)), lambda x: x.isNotNull())
-    d = d.withColumn(out, F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col("gone"), i), x)), lambda x: x.isNotNull())
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = [text.alias(c) if c.lower() == "text" else F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)]
     if counts:
-        d = d.withColumn(n, F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn("n_deleted", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
-        d = d.withColumn("n_deleted", F.greatest("n_deleted", F.lit(0).cast("long")))
-    d = d.withColumn("text", F.col(out)).drop(gone, out)
-    return d
+        n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+        out += [n_lines.alias(free_name(docs, "n_lines")), F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias(free_name(docs, "n_deleted"))]
+    return d.select(*out)

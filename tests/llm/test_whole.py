@@ -153,3 +153,13 @@ def test_repetitive_texts_are_not_spelled_out(spark):
     b = spark.createDataFrame([(k, "a " * (400 + k)) for k in range(20)] + [(99, "a " * 5)], "item_id long, text string")
     r = decontaminate.contamination(d, b).first()
     assert (r.n_words, r.n_hit, r.n_items, r.longest) == (200_000, 200_000, 21, 419)
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    line = " ".join(f"w{i}" for i in range(60))
+    rows = [(k, f"own {k}\n{line}", k * 10, "a", 7, "g", k) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id long, gone string, n_lines long, `row` string, `c.d` long")
+    got = linededup.dedup(docs, counts=True)
+    assert got.columns == [*docs.columns, "n_lines_", "n_deleted"]
+    assert sorted(map(tuple, got.collect())) == [(k, t if k == 0 else f"own {k}", *rest, 2, int(k > 0)) for k, t, *rest in rows]
+    assert linededup.dedup(docs).columns == docs.columns
