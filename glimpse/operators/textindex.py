@@ -90,7 +90,7 @@ def triples(c: Column) -> Column:
     return F.when(F.length(c) < 3, F.array(c)).otherwise(F.array_distinct(cut))
 
 
-def build_index(docs: DataFrame, path: str, buckets: int = 64, kinds: tuple[str, ...] = ("words", "triples")) -> TextIndex:
+def build_index(docs: DataFrame, path: str, buckets: int = 32, kinds: tuple[str, ...] = ("words", "triples")) -> TextIndex:
     """The index of ``docs`` (video_id, frame_id, text; a key once) at ``path``, for searches by words, by letter triples, or both. Null and blank texts have no words."""
     spark = docs.sparkSession
     spark.createDataFrame([(buckets, list(kinds))], "buckets int, kinds array<string>").coalesce(1).write.parquet(f"{path}/settings")

@@ -18,7 +18,7 @@ from glimpse.sources.readers import scratch
 
 
 def _index(spark, docs):
-    return ti.build_index(docs, scratch(spark, "index"))
+    return ti.build_index(docs, scratch(spark, "index"), 8)
 
 
 @query(ctes("dx", "qx") + _lex("", "qx", "dx", STOP, SYN) + " select * from tr where rank <= 1000")
