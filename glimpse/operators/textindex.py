@@ -157,7 +157,7 @@ def length_factor(n: Column, avgdl: Column, k1: float = 1.2, b: float = 0.75) ->
     return (k1 + 1) / (1 + k1 * (1 - b + b * n / F.greatest(avgdl, F.lit(1.0))))
 
 
-def bounded_pairs(words: DataFrame, index: TextIndex, k: int, score, bound, maybe=None, ahead: int = 4) -> tuple[DataFrame, DataFrame]:
+def bounded_pairs(words: DataFrame, index: TextIndex, k: int, score, bound, maybe=None, ahead: int = 4, few: int = 50) -> tuple[DataFrame, DataFrame]:
     """(pairs, looked): query_id, key, n, idf (sum), shared of all documents that can be among a query's first ``k``, and how many pairs were looked at.
 
     ``words``: query_id, token, df, idf, n_query and columns of the query; none repeats. A query's rare words come first: their documents, completed
@@ -166,7 +166,11 @@ def bounded_pairs(words: DataFrame, index: TextIndex, k: int, score, bound, mayb
 
     ``score(idf, shared, n)`` is a lower bound of a document's final score, ``bound(idf, shared, n)`` an upper one, n null for the shortest document.
     ``maybe(n, left)``, if given, tells which documents of frequent words (``left`` of them) are looked at in any case, by their length.
+    Of an index with at most ``few`` times ``k`` documents all pairs are looked at, as bounds would cost more than they save.
     """
+    if (index.average().first()["n_docs"] or 0) <= few * k:
+        pairs = index.postings(words).join(words.select("query_id", "token", "idf"), "token").groupBy("query_id", *KEY, "n").agg(F.sum("idf").alias("idf"), F.count("*").alias("shared"))
+        return pairs, pairs.groupBy("query_id").agg(F.count("*").alias("n_pairs"))
     w = Window.partitionBy("query_id").orderBy("df", "token")
     q = words.withColumn("seen", F.coalesce(F.sum("df").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     q = q.withColumn("rest_idf", F.sum("idf").over(w.rowsBetween(0, Window.unboundedFollowing))).withColumn("rest", F.count("*").over(w.rowsBetween(0, Window.unboundedFollowing)))
@@ -211,7 +215,7 @@ def bounded_pairs(words: DataFrame, index: TextIndex, k: int, score, bound, mayb
     return whole.unionByName(rest.select("query_id", *KEY, "n", "idf", "shared")), looked
 
 
-def bm25_top(tokens: DataFrame, index: TextIndex, k: int = 10) -> tuple[DataFrame, DataFrame]:
+def bm25_top(tokens: DataFrame, index: TextIndex, k: int = 10, **how) -> tuple[DataFrame, DataFrame]:
     """(hits, looked): query_id, key, score, rank, the first ``k`` of each query by BM25 with a term frequency of 1, ties by key; and pairs looked at.
 
     ``tokens``: query_id, token, none repeated. Equal to ranking all scores. A word counts at most ``idf * 2.2 / 1.3``, in a document without length.
@@ -219,7 +223,7 @@ def bm25_top(tokens: DataFrame, index: TextIndex, k: int = 10) -> tuple[DataFram
     avg = index.average().first()["avgdl"] or 1.0
     factor = lambda n: length_factor(F.coalesce(n, F.lit(0)), F.lit(float(avg)))
     s = lambda idf, shared, n: F.round(idf * factor(n), 6)
-    pairs, looked = bounded_pairs(with_frequencies(tokens, index).withColumn("n_query", F.lit(0)), index, k, s, s)
+    pairs, looked = bounded_pairs(with_frequencies(tokens, index).withColumn("n_query", F.lit(0)), index, k, s, s, **how)
     hits = pairs.select("query_id", *KEY, s(F.col("idf"), None, F.col("n")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *KEY))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k), looked
