@@ -116,7 +116,7 @@ def search_text(queries: DataFrame, docs: DataFrame | ti.TextIndex, stop_words:
     Where one text holds the other, all words of the inner but its first and last are words of the outer: counts of words tell which
     pairs may be such, and only for these, and for those that lengths allow to be alike, are texts looked at, which are prepared once a document.
 
-    An index is searched by bounds of scores, and serves queries that share no word with any document as well: documents that hold their text, are part of it or, if
+    An index is searched by bounds of scores and, where it has letter triples, serves queries that share no word with any document as well: documents that hold their text, are part of it or, if
     ``fuzzy``, are spelled alike. A table is searched for shared words alone.
     """
     asked = queries.where(strip(F.col("text")) != "")
@@ -129,7 +129,7 @@ def search_text(queries: DataFrame, docs: DataFrame | ti.TextIndex, stop_words:
         words = ti.with_frequencies(tokens, docs).join(q.select("query_id", "n_all", "n_own", "n_query"), "query_id")
         s = _bounded(words, docs, limit, fuzzy).join(q.drop("n_query"), "query_id")
         text = docs.docs().select(F.col("video_id").alias("d_video"), F.col("frame_id").alias("d_frame"), "d", "da")
-        alone = q.join(words.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "q", "qa")
+        alone = q.join(words.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "q", "qa") if "triples" in docs.kinds else None
     else:
         s = bm25_binary(asked, docs, stop_words, synonyms=synonyms).withColumnRenamed("score", "bm").join(q.drop("n_query"), "query_id")
         text = docs.select(F.col("video_id").alias("d_video"), F.col("frame_id").alias("d_frame"), low.alias("d"), strip_accents(low).alias("da"))

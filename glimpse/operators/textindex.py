@@ -55,6 +55,8 @@ class TextIndex:
 
     def grams(self, tokens: DataFrame | None = None) -> DataFrame:
         """token, video_id, frame_id, first (whether the text begins with it) of the letter triples of ``tokens``, or of all."""
+        if "triples" not in self.kinds:
+            raise ValueError("the index was built without letter triples")
         return self._alive(self._wanted(self._read("grams", "token string, video_id string, frame_id long, first boolean, bucket int"), tokens)).drop("segment", "bucket")
 
     def frequencies(self, tokens: DataFrame) -> DataFrame:
