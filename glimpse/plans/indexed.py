@@ -23,13 +23,15 @@ def _index(spark, docs):
 
 @query(ctes("dx", "qx") + _lex("", "qx", "dx", STOP, SYN) + " select * from tr where rank <= 1000")
 def search_ocr_indexed(spark, d):
-    """On-screen text from a stored index, by bounds of scores."""
+    """On-screen text from a stored index."""
     return se.search_ocr(fx.queries(spark, d), _index(spark, fx.docs(spark, d)), stop_words=STOP, synonyms=SYN).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(_LEX + " select query_id, video_id, frame_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, video_id, frame_id) as rank from bs) where rank <= 10")
 def bm25_top(spark, d):
-    return se.bm25_top(fx.queries(spark, d), _index(spark, fx.docs(spark, d)), 10, STOP).withColumn("rank", F.col("rank").cast("long"))
+    """By bounds of scores, whatever the number of documents."""
+    hits, _ = ti.bm25_top(se.query_tokens(fx.queries(spark, d), STOP), _index(spark, fx.docs(spark, d)), 10, few=0)
+    return hits.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("""with f as (select source as video_id, doc_id + 1 as frame_id, case when doc_id % 5 = 0 then lang || ' again' else text end as text from documents where doc_id % 7 <> 3),
