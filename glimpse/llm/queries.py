@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glimpse.llm import ann, decontaminate, jaccard, langid, linededup, lm, merkle, mixing, quality, sharding, tokens, toxicity, variants
+from glimpse.llm import ann, decontaminate, jaccard, langid, lm, merkle, mixing, passages, quality, sharding, tokens, toxicity, variants
 
 
 def _table(spark, sf_dir, name):
@@ -25,7 +25,7 @@ def op3_jaccard(spark, sf_dir):
 
 
 def op4_line_dedup(spark, sf_dir):
-    return linededup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return passages.dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
 
 def op5_language(spark, sf_dir):
