@@ -92,14 +92,15 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") == dim) & ~F.coalesce(bad, F.lit(False)) & F.exists(v, lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, rerank: int = 100, sample: int = 4000, query_block: int = 2048, code_block: int = 65_536, dim: int | None = None, sub: int = 1) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, rerank: int = 100, sample: int = 4000, query_block: int = 2048, code_block: int = 65_536, tasks: int = 20_000, dim: int | None = None, sub: int = 1) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest by inner product for each vector whose id is divisible by ``every``.
 
     Centres are trained on a sample of about ``sample`` vectors; all are coded, by one centre for each ``sub`` components. Blocks of
     queries meet blocks of codes in tiles, one a task; a tile keeps the best ``rerank`` of each query, ties to smaller ids, and of these
-    the best ``rerank`` of all tiles are ranked by exact products. ``dim`` is the commonest length unless given; vectors of other lengths, null or zero ones and those with null or
-    non-finite components take no part. Rows of equal ids are separate vectors to be found; a query is asked once an id, with one of
-    its vectors (the least), and no vector of its own id is a candidate.
+    the best ``rerank`` of all tiles are ranked by exact products. Tiles are dealt to at most ``tasks`` partitions, which hold one tile's
+    state at a time. ``dim`` is the commonest length unless given; vectors of other lengths, null or zero ones and those with null or
+    non-finite components take no part. Each row is a vector of its own, whatever its id: rows of one id are asked each, with ``k``
+    answers each, and find each other; only a query's own row is no candidate.
     """
     spark = vectors.sparkSession
     if dim is None:
@@ -124,15 +125,15 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, rerank: int = 100,
     eta = weights(dim)
 
     def encode(batches):
-        """Codes and ids, a record for up to 8192 vectors."""
+        """Codes and row numbers, a record for up to 8192 vectors."""
         import pyarrow as pa
 
         for b in batches:
             for i in range(0, b.num_rows, 8192):
                 part = b.slice(i, 8192)
                 codes = packed(assign(matrix(part.column("v")), centres, eta))
-                ids, row = (part.column(c).to_numpy().tobytes() for c in ("vec_id", "row"))
-                yield pa.RecordBatch.from_arrays([pa.array([len(codes)], pa.int64()), *(pa.array([y], pa.binary()) for y in (ids, row, codes.tobytes()))], names=["n", "ids", "rows", "codes"])
+                rows = part.column("row").to_numpy().tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([y], pa.binary()) for y in (rows, codes.tobytes())], names=["rows", "codes"])
 
     def group(batches):
         """Queries as four-byte numbers, a record for up to 256."""
@@ -141,7 +142,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, rerank: int = 100,
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column("query_id").to_numpy().tobytes()], pa.binary()), pa.array([matrix(part.column("q")).astype(np.float32).tobytes()], pa.binary())], names=["q_ids", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("asker").to_numpy().tobytes()], pa.binary()), pa.array([matrix(part.column("q")).astype(np.float32).tobytes()], pa.binary())], names=["askers", "q"])
 
     def best(batches):
         """Of each tile (its queries come first, then its codes), the best rows of each query with their approximate products."""
@@ -152,54 +153,54 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, rerank: int = 100,
         def rows():
             top_s, top_r = state
             keep = np.isfinite(top_s)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(1))), pa.array(top_r[keep]), pa.array(top_s[keep])], names=["query_id", "row", "near"])
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(1))), pa.array(top_r[keep]), pa.array(top_s[keep])], names=["asker", "row", "near"])
 
         for b in batches:
-            for tile, q_ids, q, c_ids, c_rows, codes in zip(*(b.column(c) for c in ("tile", "q_ids", "q", "ids", "rows", "codes")), strict=True):
+            for tile, askers, q, c_rows, codes in zip(*(b.column(c) for c in ("tile", "askers", "q", "rows", "codes")), strict=True):
                 if tile.as_py() != now:
                     if state is not None:
                         yield rows()
                     now, asked, state = tile.as_py(), [], None
-                if q_ids.is_valid:
-                    asked.append((np.frombuffer(q_ids.as_py(), np.int64), np.frombuffer(q.as_py(), np.float32).reshape(-1, wide)))
+                if askers.is_valid:
+                    asked.append((np.frombuffer(askers.as_py(), np.int64), np.frombuffer(q.as_py(), np.float32).reshape(-1, wide)))
                     continue
                 if not asked:
                     continue
                 if state is None:
                     ids = np.concatenate([y for y, _ in asked])
                     state = np.full((len(ids), rerank), -np.inf, np.float32), np.full((len(ids), rerank), np.iinfo(np.int64).max)
-                cid, row = np.frombuffer(c_ids.as_py(), np.int64), np.frombuffer(c_rows.as_py(), np.int64)
-                codes, at = np.frombuffer(codes.as_py(), np.uint8).reshape(len(cid), -1), 0
-                for q_id, vec in asked:
-                    _keep(scan(tables(vec, centres), codes), q_id, cid, row, *(y[at : at + len(q_id)] for y in state))
-                    at += len(q_id)
+                row = np.frombuffer(c_rows.as_py(), np.int64)
+                codes, at = np.frombuffer(codes.as_py(), np.uint8).reshape(len(row), -1), 0
+                for asker, vec in asked:
+                    _keep(scan(tables(vec, centres), codes), asker, row, *(y[at : at + len(asker)] for y in state))
+                    at += len(asker)
         if state is not None:
             yield rows()
 
-    codes = stage(x.mapInArrow(encode, "n long, ids binary, rows binary, codes binary"), "codes")
-    q = stage(x.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")), "queries")
-    asked = q.mapInArrow(group, "q_ids binary, q binary")
+    codes = stage(x.mapInArrow(encode, "rows binary, codes binary"), "codes")
+    q = stage(x.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("row").alias("asker"), F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "queries")
+    asked = q.mapInArrow(group, "askers binary, q binary")
     across, down = (max(1, -(-m // size)) for m, size in ((q.count(), query_block), (n, code_block)))
     # An equi-join of tiles: query records are dealt to ``across`` blocks and code records to ``down``; each goes to the tiles of its block.
     part = lambda of, blocks: F.pmod(F.xxhash64(of), F.lit(blocks))
-    asked = asked.withColumn("a", part("q_ids", across)).withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda d: F.col("a") * down + d)))
+    asked = asked.withColumn("a", part("askers", across)).withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda d: F.col("a") * down + d)))
     coded = codes.withColumn("d", part("rows", down)).withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda a: a * down + F.col("d"))))
     none = F.lit(None).cast("binary")
-    both = asked.select("tile", "q_ids", "q", none.alias("ids"), none.alias("rows"), none.alias("codes")).unionByName(coded.select("tile", none.alias("q_ids"), none.alias("q"), "ids", "rows", "codes"))
-    tiles = both.repartition(across * down, "tile").sortWithinPartitions("tile", F.col("q_ids").isNull())
-    found = stage(tiles.mapInArrow(best, "query_id long, row long, near float"), "found")
-    found = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "row"))).where(F.col("place") <= rerank)
+    both = asked.select("tile", "askers", "q", none.alias("rows"), none.alias("codes")).unionByName(coded.select("tile", none.alias("askers"), none.alias("q"), "rows", "codes"))
+    tiles = both.repartition(min(across * down, tasks), "tile").sortWithinPartitions("tile", F.col("askers").isNull())
+    found = stage(tiles.mapInArrow(best, "asker long, row long, near float"), "found")
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("near"), "row"))).where(F.col("place") <= rerank)
     exact = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    scored = found.join(x, "row").join(q, "query_id").select("query_id", "vec_id", exact.alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    scored = found.join(x, "row").join(q, "asker").select("asker", "row", "query_id", "vec_id", exact.alias("score"))
+    rank = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id", "row"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _keep(near: np.ndarray, q_id: np.ndarray, cid: np.ndarray, row: np.ndarray, top_s: np.ndarray, top_r: np.ndarray) -> None:
+def _keep(near: np.ndarray, asker: np.ndarray, row: np.ndarray, top_s: np.ndarray, top_r: np.ndarray) -> None:
     """Merge the approximate products [vectors, queries] of a record of codes into the queries' best, in place."""
     rerank = top_s.shape[1]
     for r, s in enumerate(np.ascontiguousarray(near.T)):
-        s[cid == q_id[r]] = -np.inf
+        s[row == asker[r]] = -np.inf
         at = np.flatnonzero(s >= max(top_s[r, -1], np.finfo(np.float32).min))
         if len(at) > rerank:
             at = at[s[at] >= np.partition(s[at], len(at) - rerank)[len(at) - rerank]]  # ties with the last one stay

@@ -77,7 +77,7 @@ class Units:
 
     def __init__(self, short: np.ndarray, counts: np.ndarray, buckets: np.ndarray, ends: int):
         n = np.concatenate([counts, buckets, [ends]]).astype(float) + 0.5
-        rank = np.empty(len(n), np.uint16)
+        rank = np.empty(len(n), np.uint16 if len(n) <= 1 << 16 else np.uint32)
         order = np.argsort(-n, kind="stable")
         rank[order] = np.arange(len(n))
         self.short, self.n_buckets = short, len(buckets)
@@ -91,10 +91,10 @@ class Units:
         at, known = _find(self.short, w.hash)
         unit = np.where(known, self.of_short[np.minimum(at, max(0, len(self.of_short) - 1))] if len(self.short) else self.end, self.of_bucket[(w.hash.view(np.int64) % self.n_buckets)])
         place = np.arange(len(unit)) + w.doc
-        y = np.full(len(unit) + w.n_docs, self.end, np.uint16)
+        y = np.full(len(unit) + w.n_docs, self.end)
         y[place] = unit
         left = np.arange(len(y)) - np.repeat(w.first[:-1] + np.arange(w.n_docs), w.count + 1)  # steps of the same text before
-        before = np.full((SPAN, len(y)), self.end, np.uint16)
+        before = np.full((SPAN, len(y)), self.end)
         for j in range(1, SPAN + 1):
             before[j - 1, j:] = np.where(left[j:] >= j, y[:-j], self.end)
         return y, before, place, ~known
@@ -146,7 +146,7 @@ def _log_sum(s: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 1 / (1 + np.exp(np.minimum(-x, 80)))  # below the largest power of single precision
 
 
 def _add_rows(into: np.ndarray, rows: np.ndarray, at: np.ndarray, ordered: bool = False) -> None:
@@ -185,7 +185,7 @@ class Trainer:
         drawn = np.searchsorted(self.class_up, self.rng.random(NOISE) * self.class_up[-1], side="right")
         drawn = np.minimum(drawn, n_classes - 1)
         own = m.classes[k]
-        pull = 1 - _sigmoid((h * own).sum(1) + m.class_bias[k] - self.noise[k])
+        pull = 1 - _sigmoid(np.einsum("ij,ij->i", h, own) + m.class_bias[k] - self.noise[k])
         push = _sigmoid(h @ m.classes[drawn].T + m.class_bias[drawn] - self.noise[drawn])
         dh += pull[:, None] * own - push @ m.classes[drawn]
         to = g[2 * u : 2 * u + n_classes]
@@ -193,7 +193,7 @@ class Trainer:
         _add_rows(to, -(push.T @ hb), drawn)
         # units against noise of their class
         own = m.target[y]
-        pull = 1 - _sigmoid((h * own).sum(1) + m.bias[y] - self.noise_in[y])
+        pull = 1 - _sigmoid(np.einsum("ij,ij->i", h, own) + m.bias[y] - self.noise_in[y])
         dh += pull[:, None] * own
         to = g[u : 2 * u]
         _add_rows(to, pull[:, None] * hb, y, True)
@@ -213,7 +213,7 @@ class Trainer:
         # context vectors and positions
         for j in range(SPAN):
             _add_rows(g[:u, :DIM], dh * m.position[j], before[j])
-            g[2 * u + n_classes + j, :DIM] = (dh * seen[j]).sum(0)
+            g[2 * u + n_classes + j, :DIM] = np.einsum("ij,ij->j", dh, seen[j])
             self.met[:u] += np.bincount(before[j], minlength=u)
         self.met[u : 2 * u] += np.bincount(y, minlength=u)
         self.met[2 * u :] += len(y)
@@ -228,8 +228,14 @@ class Trainer:
                 self.step(y[i::n], before[:, i::n])
 
 
-def trained(train: DataFrame, units: Units, rounds: int = 1) -> Model:
-    """The model after ``rounds`` passes of all tasks over ``train``; the driver gets the averaged rows alone."""
+def trained(train: DataFrame, units: Units, rounds: int = 1, tokens: int | None = None, per_task: int = 4_000_000) -> Model:
+    """The model after ``rounds`` passes of all tasks over ``train``; the driver gets the averaged rows alone.
+
+    A task learns from what it reads alone, so a task of few texts takes few steps: of ``tokens`` in all, given, tasks are merged
+    until each has about ``per_task``, however many partitions ``train`` is in.
+    """
+    if tokens is not None:
+        train = train.coalesce(max(1, int(tokens // per_task)))
     table = None
     size = len(Model(units).table)
 
@@ -286,13 +292,14 @@ def trained(train: DataFrame, units: Units, rounds: int = 1) -> Model:
     return Model(units, table)
 
 
-def score(docs: DataFrame, folds: int = 5, held: int = 1, share: float = 2e-5, buckets: int = 1024, frequent: float = 5e-7, rounds: int = 1) -> DataFrame:
+def score(docs: DataFrame, folds: int = 5, held: int = 1, share: float = 2e-5, buckets: int = 1024, frequent: float = 5e-7, rounds: int = 1, per_task: int = 4_000_000) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
     Learns from documents outside fold ``held``. Words with ``share`` of all tokens are units of their own, 1/share of them at most;
     all others share ``buckets`` units. ``frequent`` bounds what tasks keep of the counts: words with at least that share, so
     1/frequent of them at most; counts of others come by a join. Null texts are an end alone, as empty ones are; repeated rows are
-    scored and learnt from each.
+    scored and learnt from each. Tasks read about ``per_task`` tokens each, or a partition where partitions are larger; which texts
+    make a task, and so the last digits of ``score``, follow the splits of the files. The other columns don't.
     """
     docs = text_batches(docs).select("doc_id", "text")
     train = docs.where(fold("doc_id", folds) != held)
@@ -311,7 +318,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, share: float = 2e-5, b
     in_bucket[rest.column("b").to_numpy()], kinds[rest.column("b").to_numpy()] = rest.column("c").to_numpy(), rest.column("n").to_numpy()
     units = Units(h[own], c[own], in_bucket, n_docs)
     log_bucket = np.log10(in_bucket + 0.5 * kinds + 0.5)  # add-half counts of the words in it, and of any word not seen
-    model = trained(train, units, rounds)
+    model = trained(train, units, rounds, n, per_task)
     end = float(np.log10(n_docs + 0.5))
     has_end = int(n_docs > 0)
 

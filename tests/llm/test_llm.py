@@ -8,6 +8,7 @@ from pathlib import Path
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
@@ -284,5 +285,29 @@ def test_odd_vectors(spark):
     assert ann.search(d.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_vectors_of_their_own(spark):
+    d = spark.createDataFrame([(0, [1.0, 2.0]), (0, [5.0, 5.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ann.search(d).collect()))
+    # each row of id 0 is asked and finds the other one
+    assert got == [(0, 1, 0, 15.0), (0, 1, 0, 15.0), (0, 2, 1, 3.0), (0, 2, 1, 10.0)]
+
+
+def test_recall_where_few_are_reranked(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    got = {}
+    # blocks small enough for several tiles in a partition
+    for r in ann.search(d, every=200, query_block=50, code_block=3000, tasks=3).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(found & {*np.argsort(-s)[:20].tolist()})
+    assert len(got) == 100 and hit >= 0.95 * 20 * len(got)
+
+
 def test_hash_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442") and re.fullmatch(r"op\d+_\w+", next(iter(queries.QUERIES)))
