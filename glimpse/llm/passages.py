@@ -27,6 +27,16 @@ def run_hashes(words: Words):
     return lambda a, b: mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
 
 
+def least(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the first of the least values stands in each window of ``width``; windows double until they are wide enough."""
+    at, size = np.arange(len(values)), 1
+    while size < width:
+        k = min(size, width - size)
+        a, b = values[:-k], values[k:]
+        at, values, size = np.where(b < a, at[k:], at[:-k]), np.minimum(a, b), size + k
+    return at
+
+
 def fingerprint_spans(words: Words, gram_words: int, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, first word, word after the last, fingerprint and hash of the spans of all texts."""
     hashed, n, width = run_hashes(words), len(words.hash), run_words - gram_words + 1
@@ -35,7 +45,7 @@ def fingerprint_spans(words: Words, gram_words: int, run_words: int) -> tuple[np
     i = np.arange(n - gram_words + 1)
     grams = hashed(i, i + gram_words)
     w = np.arange(n - run_words + 1)  # windows of run_words words
-    at = w + np.lib.stride_tricks.sliding_window_view(grams, width).argmin(1)  # the first of the least
+    at = least(grams, width)
     w = w[words.doc[w] == words.doc[w + run_words - 1]]
     at = at[w]
     new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(w, prepend=-2) != 1))
