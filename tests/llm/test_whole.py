@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parents[1]))
 from oracle import same  # noqa: E402
 
-from glimpse.llm import decontaminate, langid, linededup, queries  # noqa: E402
+from glimpse.llm import common, decontaminate, langid, linededup, lm, queries  # noqa: E402
 
 
 @pytest.mark.parametrize("n_words", [100, 127, 300, 511])
@@ -163,3 +163,42 @@ def test_line_dedup_keeps_columns_of_any_name(spark):
     assert got.columns == [*docs.columns, "n_lines_", "n_deleted"]
     assert sorted(map(tuple, got.collect())) == [(k, t if k == 0 else f"own {k}", *rest, 2, int(k > 0)) for k, t, *rest in rows]
     assert linededup.dedup(docs).columns == docs.columns
+
+
+def test_scores_of_a_text_are_summed_over_its_tokens():
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    text = " ".join(rng.choice(words, 300)).encode()
+    known = common.Words([" ".join(words[:40]).encode()], common.SPACED).hash
+    units = lm.Units(np.sort(known), rng.integers(1, 99, 40), rng.integers(0, 50, 8).astype(float), 30)
+    t = lm.Trainer(units, None, 1)
+    w = common.Words([text], common.SPACED)
+    y, before, place, other = units.sequence(w)
+    t.go_through(y, before)
+    m = t.m
+    # by hand: three units before each, ends where the text has none; a class, then a unit of it
+    seq, total = [*y.tolist()], 0.0
+    assert len(seq) == 301 and seq[-1] == units.end and other.sum() == sum(int(x[1:]) >= 40 for x in text.decode().split())
+    for i, u in enumerate(seq):
+        h = sum(m.context[seq[i - j] if i >= j else units.end].astype(float) * m.position[j - 1] for j in range(1, lm.SPAN + 1))
+        s = np.exp(m.classes.astype(float) @ h + m.class_bias)
+        k = u // units.width
+        lo, hi = units.edges[k], units.edges[k + 1]
+        e = np.exp(m.target[lo:hi].astype(float) @ h + m.bias[lo:hi])
+        total += np.log(s[k] / s.sum()) + np.log(e[u - lo] / e.sum())
+    assert abs(m.log_probability(y, before).sum() - total) < 1e-3 * abs(total)
+
+
+def test_more_units_than_two_bytes_hold():
+    short = np.sort(np.random.default_rng(0).integers(0, 2**63, 70_000).astype(np.uint64))
+    units = lm.Units(short, np.ones(70_000, np.int64), np.zeros(4), 1)
+    assert len({*units.of_short.tolist(), *units.of_bucket.tolist(), int(units.end)}) == 70_005
+
+
+def test_what_is_learnt_does_not_hang_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    gain = []
+    for n in (1, 8):
+        held = [r for r in lm.score(docs.repartition(n), share=2e-4).collect() if r.held_out]
+        gain.append(sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held))
+    assert min(gain) > 0.05 and abs(gain[0] - gain[1]) < 0.02
