@@ -236,16 +236,28 @@ def adapt_dimension(v: Column, d: int) -> Column:
     return l2_normalize(F.when(F.size(v) >= d, F.slice(v, 1, d)).otherwise(padded))
 
 
+def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Rounded products of queries with vectors; least of all where one has components that are no numbers."""
+    s = np.round(q @ v.T, 6)
+    s[np.isnan(s)] = -np.inf
+    return s
+
+
 def knn_search(queries: DataFrame, vectors: DataFrame, k: int = 1000, scope: str | None = None, block: int = 2048) -> DataFrame:
     """query_id, video_id, frame_id, score, rank: exact cosine top-k of unit vectors (qvec against vec). Vectors of another length than a query's are not its hits.
 
-    The stated queries go to the tasks in blocks of bounded size; a block meets each Arrow batch of vectors in one matrix product,
-    and a task sends on its own best ``k`` a query.
+    Up to ``block`` queries go to the tasks, where they meet each Arrow batch of vectors in one matrix product; a task sends on its own best
+    ``k`` a query, and vectors aren't shuffled. More queries are a table cut into blocks, as the vectors are: a task holds one block of
+    each, and the driver none. Vectors that are empty or hold null or NaN components are no hits.
     """
-    v = (vectors if scope is None else vectors.where(F.col("video_id") == scope)).select(*KEY, F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
+    v = (vectors if scope is None else vectors.where(F.col("video_id") == scope)).select(*KEY, F.col("vec").cast("array<double>").alias("vec")).where("size(vec) > 0")
+    asked = queries.select("query_id", F.col("qvec").cast("array<double>").alias("qvec")).where("size(qvec) > 0")
+    stated = [(r[0], r[1]) for r in asked.limit(block + 1).collect()]
+    if len(stated) > block:
+        wide = lambda df, c: df.withColumn("width", F.size(c))
+        return ranked(in_blocks(wide(staged(asked, "asked"), "qvec"), wide(v, "vec"), ["width"], k, block).drop("looked"), k)
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, {', '.join(f'{c} {v.schema[c].dataType.simpleString()}' for c in KEY)}, score double"
-    found = None
 
     def of(held):
         ids, width = [r[0] for r in held], np.array([len(r[1]) for r in held])
@@ -277,11 +289,11 @@ def knn_search(queries: DataFrame, vectors: DataFrame, k: int = 1000, scope: str
                     at = np.flatnonzero(size == d)
                     if not len(at):
                         continue
-                    s = np.round(q @ np.asarray(b.column("vec").take(pa.array(at)).flatten()).reshape(len(at), d).T, 6)
+                    s = products(q, np.asarray(b.column("vec").take(pa.array(at)).flatten()).reshape(len(at), d))
                     least = floor[who]
                     if len(at) > k:
                         least = np.maximum(least, np.partition(s, len(at) - k, axis=1)[:, len(at) - k])
-                    i, j = np.nonzero(s >= least[:, None])
+                    i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
                     held.append((who[i], s[i, j], np.full(len(i), len(keys) - 1), at[j]))
                     total += len(i)
                 if total > 4 * k * len(ids) + 100_000:
@@ -297,14 +309,7 @@ def knn_search(queries: DataFrame, vectors: DataFrame, k: int = 1000, scope: str
 
         return v.mapInArrow(run, schema)
 
-    held = []
-    for r in queries.select("query_id", F.col("qvec").cast("array<double>").alias("qvec")).where("qvec is not null").toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == block:
-            found, held = of(held) if found is None else found.unionByName(of(held)), []
-    if held or found is None:
-        found = of(held) if found is None else found.unionByName(of(held))
-    return ranked(found.withColumn("score", F.round("score", 6)), k)
+    return ranked(of(stated).withColumn("score", F.round("score", 6)), k)
 
 
 def met(k: int):
@@ -313,11 +318,11 @@ def met(k: int):
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": a["query_id"][:0], **{c: b[c][:0] for c in KEY}, "score": np.zeros(0), "looked": np.zeros(0, np.int64)})
-        s = np.round(np.array(a["qvec"].tolist()) @ np.array(b["vec"].tolist()).T, 6)
+        s = products(np.array(a["qvec"].tolist(), float), np.array(b["vec"].tolist(), float))
         floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
-        i, j = np.nonzero(s >= floor[:, None])
+        i, j = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
         looked = np.zeros(len(i), np.int64)
-        looked[0] = s.size  # the block's pairs, with its first row
+        looked[:1] = s.size  # the block's pairs, with its first row
         return pd.DataFrame({"query_id": a["query_id"].to_numpy()[i], **{c: b[c].to_numpy()[j] for c in KEY}, "score": s[i, j], "looked": looked})
 
     return run

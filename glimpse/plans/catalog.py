@@ -420,19 +420,19 @@ def adapt_dimension(spark, d):
     return one(32).unionByName(one(96)).select("vec_id", "size", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
-@query(ctes("vx") + " select upper(video_id)||'_'||cast(frame_id as varchar) as id, video_id, frame_id, round(vec[1], 6) as first from vx")
+@query(ctes("vx") + " select upper(video_id)||'_'||cast(frame_id as varchar) as id, video_id, frame_id, unnest(range(1, len(vec)+1)) as i, round(unnest(vec), 6) as x from vx")
 def lookup_vectors(spark, d):
     v = fx.vectors(spark, d)
     ids = v.select(F.concat(F.upper("video_id"), F.lit("_"), F.col("frame_id").cast("string")).alias("id"))
-    return se.lookup_vectors(ids, v).select("id", "video_id", "frame_id", F.round(F.col("vec")[0], 6).alias("first"))
+    return se.lookup_vectors(ids, v).select("id", "video_id", "frame_id", F.posexplode("vec").alias("i", "x")).select("id", "video_id", "frame_id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
-@query(ctes("vx") + ", b as (select a.vec_id, list_transform(range(1,65), lambda i: 0.45::double*a.vec[i]+0.55::double*b.vec[i]) as v from vx a join vx b on b.vec_id = a.vec_id + 1) select vec_id, round(v[1]/sqrt(list_dot_product(v,v)), 6) as first, round(v[64]/sqrt(list_dot_product(v,v)), 6) as last from b")
+@query(ctes("vx") + ", b as (select a.vec_id, list_transform(range(1,65), lambda i: 0.45::double*a.vec[i]+0.55::double*b.vec[i]) as v from vx a join vx b on b.vec_id = a.vec_id + 1) select vec_id, unnest(range(1, 65)) as i, round(unnest(v)/sqrt(list_dot_product(v,v)), 6) as x from b")
 def blend_vectors(spark, d):
     v = fx.vectors(spark, d).select("vec_id", "vec")
     o = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec").alias("other"))
     m = v.join(o, "vec_id").select("vec_id", se.blend_vectors(F.col("vec"), F.col("other")).alias("v"))
-    return m.select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[63], 6).alias("last"))
+    return m.select("vec_id", F.posexplode("v").alias("i", "x")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 @query(ctes("vx", "qv") + """, f as (select label as query_id, vec_id % 3 <> 0 as rel, vec from vx), m as (select query_id, rel, i, avg(vec[i]) as x from f, range(1,65) t(i) group by all),

@@ -80,3 +80,26 @@ def test_reused_texts_by_hand(spark):
     d = spark.createDataFrame(rows, "video_id string, frame_idx long, title array<double>, ticker array<double>, text string")
     got = [(r.frame_idx, r.anchor, r.reused, r.text) for r in fr.reuse_duplicate_text(d).orderBy("frame_idx").collect()]
     assert got == [(0, 0, False, "a"), (1, 0, True, "a"), (2, 0, True, "a"), (3, 3, False, "d"), (4, 4, False, "e"), (5, 5, False, " "), (6, 6, False, "g")]
+
+
+def test_queries_in_one_scan_and_in_blocks(spark):
+    """More queries than a block are cut into blocks; odd vectors are no hits on either way."""
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    rows = [("v", k, r.tolist()) for k, r in enumerate(x)]
+    rows += [("w", 1, None), ("w", 2, []), ("w", 3, [1.0, None, 1.0, 1.0]), ("w", 4, [float("nan")] * 4), ("w", 5, [1.0, 2.0]), ("w", 6, x[7].tolist())]
+    v = spark.createDataFrame(rows, "video_id string, frame_id long, vec array<double>")
+    asked = [(k, r.tolist()) for k, r in enumerate(x[:90])] + [(90, [2.0, 1.0]), (91, None), (92, []), (93, [None, 1.0, 1.0, 1.0])]
+    q = spark.createDataFrame(asked, "query_id long, qvec array<double>")
+    scan, tiles = ([tuple(r) for r in se.knn_search(q, v, 12, block=b).orderBy("query_id", "rank").collect()] for b in (2048, 20))
+    assert scan == tiles and len(scan) == 90 * 12 + 1
+    there = [(c, f, np.array(a)) for c, f, a in rows[:300] + rows[-1:]]
+    for k in (0, 7, 89):
+        best = sorted((-round(float(x[k] @ a), 6), c, f) for c, f, a in there)[:12]
+        assert [(c, f) for i, c, f, *_ in scan if i == k] == [(c, f) for _, c, f in best]
+
+
+def test_a_table_of_queries_is_searched_without_the_driver(spark):
+    v = fx.vectors(spark, DIR)
+    tiles = se.knn_search(v.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec")), v, 3, block=500)
+    assert tiles.count() == 3 * v.count()
