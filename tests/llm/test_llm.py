@@ -309,5 +309,27 @@ def test_recall_where_few_are_reranked(spark):
     assert len(got) == 100 and hit >= 0.95 * 20 * len(got)
 
 
+def test_nearest_of_vectors_that_codes_do_not_tell_apart(spark):
+    """Near copies, all about one direction, of very different lengths, many equal ones in any order of ids, and products out of range."""
+    rng = np.random.default_rng(4)
+    kinds = {
+        "near copies": rng.normal(size=(5, 32)).repeat(600, 0) + 1e-4 * rng.normal(size=(3000, 32)),
+        "one direction": 1e-3 * rng.normal(size=(3000, 32)) + rng.normal(size=32),
+        "lengths": rng.normal(size=(3000, 32)) * rng.lognormal(0, 3, size=(3000, 1)),
+        "copies": np.concatenate([np.ones((2500, 32)), rng.normal(size=(500, 32))]),
+        "tiny": rng.normal(size=(300, 7)) * 1e-170,
+    }
+    for kind, x in kinds.items():
+        p = rng.permutation(len(x))
+        d = spark.createDataFrame(pd.DataFrame({"vec_id": p, "embedding": x[p].tolist()}), "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann.search(d, every=100, query_block=20, code_block=1000).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert len(got) == len(x) // 100
+        for q, found in got.items():
+            s = sum(x[q, c] * x[:, c] for c in range(x.shape[1]))
+            assert found == [(int(i), s[i]) for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:20], kind
+
+
 def test_hash_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442") and re.fullmatch(r"op\d+_\w+", next(iter(queries.QUERIES)))
