@@ -58,9 +58,10 @@ def read_ocr_jsonl(spark, d):
 
 
 def _speech(spark, d):
+    """Each conversation has a folder, as names of videos are cut and may repeat."""
     path = rd.scratch(spark, "asr")
-    s = fx.segments(spark, d)
-    s.select(F.concat(F.lit("/in/"), "video_id", F.lit(".mp4")).alias("video_path"), "segment_id", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"), F.when(F.col("segment_id") % 2 == 0, F.col("text")).alias("text"), F.col("text").alias("asr_text")).write.json(path)
+    s = fx.segments(spark, d, "conv_id")
+    s.select(F.concat(F.lit("/in/"), F.col("conv_id").cast("string"), F.lit("/"), "video_id", F.lit(".mp4")).alias("video_path"), "segment_id", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"), F.when(F.col("segment_id") % 2 == 0, F.col("text")).alias("text"), F.col("text").alias("asr_text")).write.json(path)
     return path
 
 

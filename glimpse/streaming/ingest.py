@@ -16,12 +16,13 @@ from glimpse.sources.readers import SPEECH_RECORD, TEXT_RECORD, segments
 
 def stream_ingest_segments(spark: SparkSession, source: str, target: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
     """Write new speech segments below ``source`` to the table ``target``, each video's segment once within ``late`` of its file's time.
+    A video is its path: files of one name in two folders are two.
 
     Noise is left out as in batch. Stops when all that lies there is read; the next start goes on from the checkpoint.
     """
     raw = spark.readStream.schema(SPEECH_RECORD).option("recursiveFileLookup", True).json(source)
-    rows = segments(raw, F.col("_metadata.file_modification_time").alias("arrived")).where(~junk_segment(F.col("text"), F.lit(None).cast("double"), F.lit(None).cast("double")))
-    once = rows.withWatermark("arrived", late).dropDuplicatesWithinWatermark(["video_id", "segment_id"])
+    rows = segments(raw, F.col("_metadata.file_modification_time").alias("arrived"), F.col("video_path")).where(~junk_segment(F.col("text"), F.lit(None).cast("double"), F.lit(None).cast("double")))
+    once = rows.withWatermark("arrived", late).dropDuplicatesWithinWatermark(["video_path", "segment_id"])
     return once.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
