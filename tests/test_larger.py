@@ -5,8 +5,11 @@ import os
 import duckdb
 import pytest
 from oracle import duck, same
+from pyspark.sql import functions as F
 
 from glimpse.operators import fusion as fu
+from glimpse.operators import nearest as ne
+from glimpse.operators import search as se
 from glimpse.plans import answers, catalog, files, indexed, understanding
 
 assert answers and files and indexed and understanding
@@ -37,3 +40,31 @@ def test_vectors_of_no_query_ask_nothing(spark):
     v = spark.createDataFrame([("v", 1, [1.0, 0.0]), ("v", 2, [0.0, 1.0])], "video_id string, frame_id long, vec array<double>")
     x = spark.createDataFrame([("v", 1, "nothing")], "video_id string, frame_id long, text string")
     assert [tuple(r) for r in fu.hybrid_search(q, asked, v, x, x, 5).orderBy("rank").collect()] == [(1, "v", 1, 1.0, 1, "cosine"), (1, "v", 2, 0.0, 2, "cosine")]
+
+
+def _some(spark):
+    v = spark.range(600).select(F.lit("v").alias("video_id"), F.col("id").alias("frame_id"), F.array(F.sin("id"), F.cos(F.col("id") * 3)).alias("vec"))
+    return v, v.where("frame_id < 30").select(F.col("frame_id").alias("query_id"), F.col("vec").alias("qvec"))
+
+
+def test_probes_of_all_buckets_are_one_row_a_query(spark, monkeypatch):
+    v, q = _some(spark)
+    met = []
+    monkeypatch.setattr(ne, "in_blocks", lambda asked, *how: met.append(asked.count()) or se.in_blocks(asked, *how))
+    hits, _ = ne.ann_search(q, v, 5, probes=1 << 20, bucket_rows=8)
+    want = se.knn_search(q, v, 5)
+    assert met == [30] and hits.select("query_id", "frame_id", "rank").exceptAll(want.select("query_id", "frame_id", "rank")).count() == 0
+
+
+def test_spots_in_hand_are_bounded(spark, monkeypatch):
+    v, q = _some(spark)
+    want = sorted(map(tuple, ne.ann_search(q, v, 5, bucket_rows=8, block=8)[0].collect()))
+    monkeypatch.setattr(ne, "SPOTS", 64)
+    assert sorted(map(tuple, ne.ann_search(q, v, 5, bucket_rows=8, block=8)[0].collect())) == want
+
+
+def test_blocks_send_on_few_rows(spark):
+    """Each pair of blocks sends on the best rows of each query: 600 vectors are two blocks for queries in blocks of 20, not 30."""
+    v, q = _some(spark)
+    wide = lambda df: df.withColumn("width", F.lit(2))
+    assert se.in_blocks(wide(q), wide(v), ["width"], 10, 20).count() <= 30 * 2 * 10 + 30
