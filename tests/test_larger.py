@@ -11,6 +11,7 @@ from glimpse.operators import fusion as fu
 from glimpse.operators import nearest as ne
 from glimpse.operators import search as se
 from glimpse.plans import answers, catalog, files, indexed, understanding
+from glimpse.sources.readers import numbered
 
 assert answers and files and indexed and understanding
 DIR = "/root/testdata/sf0.001"
@@ -68,3 +69,15 @@ def test_blocks_send_on_few_rows(spark):
     v, q = _some(spark)
     wide = lambda df: df.withColumn("width", F.lit(2))
     assert se.in_blocks(wide(q), wide(v), ["width"], 10, 20).count() <= 30 * 2 * 10 + 30
+
+
+def test_rows_are_numbered_in_ranges(spark):
+    d = numbered(spark.range(0, 3000, 3).select((F.col("id") * 7 % 3001).alias("id")).repartition(5), "id", "i", rows=50)
+    got = sorted((r.i, r.id) for r in d.collect())
+    assert [i for i, _ in got] == [*range(1000)] and [x for _, x in got] == sorted(x * 7 % 3001 for x in range(0, 3000, 3))
+
+
+def test_no_task_numbers_all_lines(spark):
+    """The only sort in one task is that of a row a range."""
+    plan = catalog.QUERIES["latest_complete_block"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(event_id" not in plan
