@@ -81,3 +81,21 @@ def test_no_task_numbers_all_lines(spark):
     """The only sort in one task is that of a row a range."""
     plan = catalog.QUERIES["latest_complete_block"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(event_id" not in plan
+
+
+@pytest.fixture(scope="module")
+def hot(tmp_path_factory):
+    """Tables of which only events differ: three times those of 12 users, under other ids."""
+    d = tmp_path_factory.mktemp("hot")
+    for f in os.listdir(DIR):
+        if f != "events.parquet":
+            os.symlink(f"{DIR}/{f}", d / f)
+    duckdb.sql(f"copy (select event_id + 10000000 * k as event_id, ts, user_id % 12 as user_id, event_type, value, props from '{DIR}/events.parquet', range(3) r(k)) to '{d}/events.parquet'")
+    return str(d)
+
+
+def test_nearest_frame_of_repeated_times(spark, hot):
+    """A time is one row, however many ask for it, and no window reaches to the end of a video for each row."""
+    got = catalog.QUERIES["nearest_keyframe"](spark, hot)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert same(got.toPandas(), duck(hot).execute(catalog.ORACLES["nearest_keyframe"]).fetchdf()) == ""
