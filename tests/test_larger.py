@@ -132,3 +132,39 @@ def test_a_scan_sends_on_few_pairs_and_loses_none(spark, tmp_path, monkeypatch):
     assert len(sent) == 3 and all(s.count() < every.count() / 3 for s in sent)
     monkeypatch.setattr(se, "TOKENS", 0)
     assert by_table == by_index == rows(se.search_text(q, d, ("w1",), 5)) and len(sent) == 3
+
+
+def test_words_inside_texts_are_found_by_a_scan(spark, monkeypatch):
+    """A table's texts are read once, without letter triples; a task sends on a query's first frames alone, and hits are those of all pairs."""
+    words = ["the", "then", "heat", "weather", "é rz", "nbsp ", "\U0001d11eab", "Straße", "ééé", "x" * 80]
+    texts = [" ".join(words[(i * k + k * k) % len(words)] + "zq"[: i % 3] for k in range(i % 4)).upper() + " \t" for i in range(900)]
+    rows = [(f"v{i % 3}", 900 - i // 2 * 2, t) for i, t in enumerate(texts)] + [("v0", None, "the"), (None, 1, "the"), ("v1", 3000, None)]
+    d = spark.createDataFrame(rows, "video_id string, frame_id long, text string")
+    asked = [(k, f"v{k % 4}", w) for k in range(12) for w in (words[k % 10], words[k * 7 % 10], "none")]
+    want = {(q, v, f) for q, v, w in asked for x, f, t in rows if x == v and f is not None and t is not None and w.lower() in t.lower()}
+    a = spark.createDataFrame(asked, "query_id long, video_id string, word string").withColumn("word", F.lower("word"))
+    monkeypatch.setattr(se.ti, "build_index", lambda *_, **__: pytest.fail("an index was built"))
+    monkeypatch.setattr(se, "PIECES", 5)
+    got = [tuple(r) for r in se.holding_words(a, d).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    few = {tuple(r) for r in se.holding_words(a, d.coalesce(1), 4).collect()}
+    firsts = {x for x in want if sum(y[:2] == x[:2] and y[2] < x[2] for y in want) < 4}
+    assert firsts and few <= want and firsts == few
+    v = d.where("text is not null and video_id is not null and frame_id is not null").select("video_id", "frame_id", F.array(F.sin("frame_id"), F.cos("frame_id")).alias("vec")).distinct()
+    q = spark.createDataFrame([(k, f"v{k % 3}", "Heat  WEATHER of", [1.0, 0.5]) for k in range(6)], "query_id long, video_id string, text string, qvec array<double>")
+    hits = se.video_qa(q, v, d.where("frame_id % 3 > 0"), d.where("frame_id % 3 = 0"), 7)
+    near = {tuple(r)[:3]: r.score for r in se.knn_in_scope(q, v, 7).collect()}
+    for r in q.collect():
+        texts_of = lambda low: {(r.query_id, x, f): 0.98 if low else 0.99 for x, f, t in rows if x == r.video_id and f and t and (f % 3 == 0) == low and ("heat" in t.lower() or "weather" in t.lower())}  # noqa: B023, E731
+        every = texts_of(True) | texts_of(False) | {k: s for k, s in near.items() if k[0] == r.query_id}
+        first = sorted(every.items(), key=lambda x: (-x[1], x[0]))[:7]
+        assert [tuple(h)[:4] for h in hits.where(F.col("query_id") == r.query_id).orderBy("rank").collect()] == [(*k, s) for k, s in first]
+
+
+def test_an_index_is_scanned_or_asked_for_triples(spark, tmp_path):
+    texts = ["weather now", "the heat", "ferret", "ab", "", "é the", "heath"]
+    d = spark.createDataFrame([("v", i, t) for i, t in enumerate(texts)], "video_id string, frame_id long, text string")
+    index = ti.build_index(d, f"file://{tmp_path}/x", 4, ("triples",))
+    for words in (["weather"], ["the", "eat"], ["ferret", "heath", "now"]):
+        a = spark.createDataFrame([(k, "v", w) for k, w in enumerate(words)], "query_id long, video_id string, word string")
+        assert {(r.query_id, r.frame_id) for r in se.holding_words(a, index).collect()} == {(k, i) for k, w in enumerate(words) for i, t in enumerate(texts) if w in t}
