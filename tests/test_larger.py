@@ -1,8 +1,10 @@
 """What differed from the SQL on larger tables only, on small ones that show it."""
 
 import os
+from difflib import SequenceMatcher
 
 import duckdb
+import pandas as pd
 import pytest
 from oracle import duck, same
 from pyspark.sql import functions as F
@@ -168,3 +170,31 @@ def test_an_index_is_scanned_or_asked_for_triples(spark, tmp_path):
     for words in (["weather"], ["the", "eat"], ["ferret", "heath", "now"]):
         a = spark.createDataFrame([(k, "v", w) for k, w in enumerate(words)], "query_id long, video_id string, word string")
         assert {(r.query_id, r.frame_id) for r in se.holding_words(a, index).collect()} == {(k, i) for k, w in enumerate(words) for i, t in enumerate(texts) if w in t}
+
+
+def test_likeness_is_that_of_texts(spark, tmp_path, monkeypatch):
+    """Of 600 documents with four texts, a query's letters are matched with each text once; every document with it is a hit."""
+    texts = ["click", "purchase", "sign up here", "Café"]
+    d = spark.createDataFrame([("v", i, texts[i % 4]) for i in range(600)], "video_id string, frame_id long, text string")
+    q = spark.createDataFrame([*enumerate(["clcik", "purchsae", "caef", "urchas"])], "query_id long, text string")
+    index = ti.build_index(d, f"file://{tmp_path}/x", 4)
+    asked, whole = spark.sparkContext.accumulator(0), se._ratio
+
+    def counted():
+        match = whole().func
+
+        @F.pandas_udf("double")
+        def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+            asked.add(len(a))
+            return match(a, b)
+
+        return ratio
+
+    monkeypatch.setattr(se, "_ratio", counted)
+    got = {}
+    for r in se.search_text(q, index, fuzzy=True).collect():
+        got.setdefault((r.query_id, r.score), set()).add(r.frame_id)
+    frames = lambda k: {*range(k, 600, 4)}
+    like = lambda a, b: round(0.65 + 0.22 * SequenceMatcher(None, a, b).ratio(), 3)
+    want = {(0, like("clcik", "click")): frames(0), (1, like("purchsae", "purchase")): frames(1), (2, like("caef", "cafe")): frames(3), (3, round(0.95 + 0.05 * 6 / 8, 3)): frames(1)}
+    assert got == want and 3 <= asked.value <= 16
